@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, quality_rules
+from lexloom.llm import decontaminate, jaccard_join, quality_rules
 
 
 def _docs(spark, d):
@@ -13,9 +13,13 @@ def op1_decontaminate(spark, d):
     return decontaminate.decontaminate(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def op4_jaccard(spark, d):
+    return jaccard_join.near_duplicates(_docs(spark, d))
+
+
 def op7_quality(spark, d):
     return quality_rules.judge(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op7_quality)}
 ORACLE_SQL: dict[str, str] = {}
