@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, quality_rules
+from lexloom.llm import decontaminate, jaccard_join, quality_rules, suffix_dedup
 
 
 def _docs(spark, d):
@@ -17,9 +17,13 @@ def op4_jaccard(spark, d):
     return jaccard_join.near_duplicates(_docs(spark, d))
 
 
+def op5_suffix(spark, d):
+    return suffix_dedup.deduplicate(_docs(spark, d))
+
+
 def op7_quality(spark, d):
     return quality_rules.judge(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality)}
 ORACLE_SQL: dict[str, str] = {}
