@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, quality_rules, suffix_dedup
+from lexloom.llm import decontaminate, jaccard_join, quality_rules, substring_dedup, suffix_dedup
 
 
 def _docs(spark, d):
@@ -25,5 +25,9 @@ def op7_quality(spark, d):
     return quality_rules.judge(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality)}
+def op9_substring(spark, d):
+    return substring_dedup.deduplicate(_docs(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality, op9_substring)}
 ORACLE_SQL: dict[str, str] = {}
