@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, quality_rules, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup
 
 
 def _docs(spark, d):
@@ -29,5 +29,9 @@ def op9_substring(spark, d):
     return substring_dedup.deduplicate(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality, op9_substring)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_lines(spark, d):
+    return line_dedup.deduplicate(_docs(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality, op9_substring, op10_lines)}
+ORACLE_SQL: dict[str, str] = {"op10_lines": line_dedup.ORACLE_SQL}
