@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, suffix_dedup
 
 
 def _docs(spark, d):
@@ -13,6 +13,10 @@ def op1_decontaminate(spark, d):
     return decontaminate.decontaminate(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def op2_pii(spark, d):
+    return pii.extract(_docs(spark, d))
+
+
 def op4_jaccard(spark, d):
     return jaccard_join.near_duplicates(_docs(spark, d))
 
@@ -33,5 +37,5 @@ def op10_lines(spark, d):
     return line_dedup.deduplicate(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_jaccard, op5_suffix, op7_quality, op9_substring, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op4_jaccard, op5_suffix, op7_quality, op9_substring, op10_lines)}
 ORACLE_SQL: dict[str, str] = {"op10_lines": line_dedup.ORACLE_SQL}
