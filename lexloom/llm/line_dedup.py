@@ -67,8 +67,9 @@ def deduplicate(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
 def clean(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents without repeated chunks, all columns kept; a null text stays null."""
     names = docs.columns
+    inner = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("_in"))
     text = F.expr("if(text is null, null, array_join(transform(_kept, c -> c.bytes), '\\n'))")
-    return _applied(docs, divisor, min_lines).withColumn("text", text).select(*names)
+    return _applied(inner, divisor, min_lines).select(*((text if n == "text" else F.col("_in").getField(n)).alias(n) for n in names))
 
 
 ORACLE_SQL = f"""

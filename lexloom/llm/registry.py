@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import decontaminate, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, suffix_dedup
+from lexloom.llm import decontaminate, jaccard_join, licenses, line_dedup, masked_lm, pieces, pii, quality_rules, substring_dedup, suffix_dedup
 
 
 def _docs(spark, d):
@@ -17,6 +17,10 @@ def op2_pii(spark, d):
     return pii.extract(_docs(spark, d))
 
 
+def op3_pieces(spark, d):
+    return pieces.encode(_docs(spark, d))
+
+
 def op4_jaccard(spark, d):
     return jaccard_join.near_duplicates(_docs(spark, d))
 
@@ -25,10 +29,18 @@ def op5_suffix(spark, d):
     return suffix_dedup.deduplicate(_docs(spark, d))
 
 
+def op6_licenses(spark, d):
+    return licenses.scan(_docs(spark, d))
+
+
 def op7_quality(spark, d):
     return quality_rules.judge(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
+def op8_masked_lm(spark, d):
+    return masked_lm.fit_and_score(_docs(spark, d))
+
+
 def op9_substring(spark, d):
     return substring_dedup.deduplicate(_docs(spark, d))
 
@@ -37,5 +49,8 @@ def op10_lines(spark, d):
     return line_dedup.deduplicate(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op4_jaccard, op5_suffix, op7_quality, op9_substring, op10_lines)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_pii, op3_pieces, op4_jaccard, op5_suffix, op6_licenses, op7_quality, op8_masked_lm, op9_substring, op10_lines)
+}
 ORACLE_SQL: dict[str, str] = {"op10_lines": line_dedup.ORACLE_SQL}
