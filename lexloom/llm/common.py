@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 _M = (1 << 64) - 1
 
 
@@ -68,8 +68,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 def attach(big: DataFrame, side: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a stored side table: by broadcast if its measured bytes are under the limit, else by a shuffled join."""
-    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in side.dtypes]
-    total = F.lit(0)
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.size(c) * 32 if t.startswith("array") else F.lit(16) for c, t in side.dtypes]
+    total = F.lit(32)
     for w in width:
         total = total + w
     size = side.agg(F.sum(total.cast("long"))).first()[0] or 0

@@ -1,18 +1,20 @@
 """N-gram Jaccard join with several global token orders.
 
 Documents link when the Jaccard similarity of their sets of word 5-grams reaches a threshold. Copies with equal sets
-form one class, named by a 128-bit sum over the set, and take part as one.
-
-1. Order by hash. A class keeps the first `n - ceil(t n) + c` tokens of its set in hash order. A linked pair has at
-   least c of its common tokens in both prefixes. Tasks keyed by token count the classes that hold each.
-2. Order by rarity. Within that prefix tokens are ordered by document frequency, then hash. The rarest common token of a
-   linked pair is followed by c - 1 common ones, so dropping the c - 1 most frequent of a prefix never loses it, while
-   frequent passages and phrases drop out. Classes left with fewer than c shared tokens are out.
-3. Order by rarity with other ties, by a second hash. A candidate pair must share a kept token in this order too; the
+form one class, named by a 64-bit sum over the set, and take part as one.
+
+1. Order by the words' rarity. A gram's estimated frequency comes from the corpus counts of its words (the WORDS most
+   frequent are told apart); a class keeps the first `n - ceil(t n) + c` tokens of its set in that order, ties by hash.
+   A linked pair has at least c of its common tokens in both prefixes, and chance phrases of common words are in few.
+2. Order by the grams' rarity. Within that prefix tokens are ordered by document frequency, then hash. The rarest common
+   token of a linked pair is followed by c - 1 common ones, so dropping the c - 1 most frequent of a prefix never loses
+   it, while frequent passages drop out. Classes left with fewer than c shared tokens are out.
+3. The same with other ties, by a second hash. A candidate pair must share a kept token in this order too; the
    filters are intersected before verification.
-4. Verification compares the sets. In each token's bucket all members are compared with a pivot at first. The links
-   found give components, and then only the pairs of a bucket that lie in different components are compared. So a
-   group of thousands of near copies costs about one comparison each, and no link between components is lost.
+4. Verification compares the sets. All members of a token's bucket are first compared with a pivot, the class that
+   shares most. The links found give components; then, among the members that met one pivot, those outside its component
+   are compared with each other and with its component, in tiles of at most TILE by TILE. So a group of thousands of
+   near copies costs about one comparison each, and no link between components is lost.
 
 Tokens move as packed arrays, a few rows for each task.
 
@@ -24,6 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,40 +36,56 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import SPACES, RunHash, Words, as_bytes, attach, batch, chunks, mixed, partitions, ship, stored
 from lexloom.llm.components import components
+from lexloom.llm.masked_lm import word_counts
 
 GRAM, PERCENT = 5, 75
-SLACK = 8
-BLOB = 1 << 16
+SLACK = 16
+WORDS, TILE = 4096, 1024
+HELD = 800_000
 
 _U = np.uint64
 
 
-def token_sets(texts: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, first): the sorted distinct gram hashes of text i are tokens[first[i]:first[i + 1]]."""
+class WordScores:
+    """16 times the log2 corpus count of the most frequent words, 0 for others; whole numbers, so that sums are exact."""
+
+    def __init__(self, docs: DataFrame | None = None, words: int = WORDS):
+        top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect() if docs is not None else []
+        table = sorted((r.word & ((1 << 64) - 1), round(16 * math.log2(r.n + 1))) for r in top)
+        self.hashes = np.array([t[0] for t in table], _U)
+        self.scores = np.array([t[1] for t in table], np.int64)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.scores[at], 0)
+
+
+def token_sets(texts: list[bytes], gram: int = GRAM, scores: WordScores | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first, estimates): the sorted distinct gram hashes of text i are tokens[first[i]:first[i + 1]]."""
     w = Words(texts, SPACES, lower=True)
     run = RunHash(w.hash)
     start, text = w.windows(gram)
-    token = run(start, start + gram)
+    end = start + gram
     counts = np.diff(w.first)
     short = np.flatnonzero((counts > 0) & (counts < gram))
     if len(short):
-        token = np.concatenate((token, run(w.first[short], w.first[short] + counts[short])))
-        text = np.concatenate((text, short))
+        start, end, text = (np.concatenate(x) for x in ((start, w.first[short]), (end, w.first[short] + counts[short]), (text, short)))
+    token = run(start, end)
+    total = np.concatenate(([0], np.cumsum(scores(w.hash)))) if scores else np.zeros(len(w) + 1, np.int64)
     order = np.lexsort((token, text))
     token, text = token[order], text[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
-    token, text = token[new], text[new]
-    return token, np.searchsorted(text, np.arange(len(texts) + 1))
+    order = order[new]
+    return token[new], np.searchsorted(text[new], np.arange(len(texts) + 1)), total[end[order]] - total[start[order]]
 
 
-def class_keys(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums of each set, which do not depend on the order of its tokens."""
-    out = []
-    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(mixed(token ^ _U(salt)))))
-        out.append(mixed(sums[first[1:]] - sums[first[:-1]] + (first[1:] - first[:-1]).astype(_U)))
-    return out[0], out[1]
+def class_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit sum over each set, which does not depend on the order of its tokens."""
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mixed(token ^ _U(0x9E3779B97F4A7C15)))))
+    return mixed(sums[first[1:]] - sums[first[:-1]] + (first[1:] - first[:-1]).astype(_U))
 
 
 def slack(n: np.ndarray) -> np.ndarray:
@@ -97,44 +116,46 @@ def _bucket(token: np.ndarray, n: int) -> np.ndarray:
     return ((token >> _U(40)) % _U(n)).astype(np.int32)
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("check", pa.int64())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 
 
 def signatures(docs: DataFrame, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            token, first = token_sets(texts, gram)
-            a, b = class_keys(token, first)
-            yield batch(_SIG, ids, np.diff(first), a.view(np.int64), b.view(np.int64))
+            token, first, _ = token_sets(texts, gram)
+            yield batch(_SIG, ids, np.diff(first), class_keys(token, first).view(np.int64))
 
-    return as_bytes(docs).mapInArrow(run, "doc_id long, n long, cls long, check long")
+    return as_bytes(docs).mapInArrow(run, "doc_id long, n long, cls long")
 
 
 _POST = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
 _POST_SQL = "bucket int, token binary, cls binary, n binary"
 
 
-def hash_prefixes(docs: DataFrame, gram: int, percent: int, buckets: int) -> DataFrame:
-    """Packed (token, class, set size) of the prefixes in hash order; copies within a stretch of a task count once."""
+def word_prefixes(docs: DataFrame, gram: int, percent: int, buckets: int, scores: WordScores) -> DataFrame:
+    """Packed (token, class, set size) of the prefixes by rarity of words; copies within a stretch of a task count once."""
+    shared = docs.sparkSession.sparkContext.broadcast(scores)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        token, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from packed(_POST, _bucket(token, buckets), token, cls, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size, seen = 0, set()
+        held, size, seen = [], 0, set()
         for _, texts in chunks(batches):
-            token, first = token_sets(texts, gram)
-            cls = class_keys(token, first)[0]
-            n = np.diff(first)
+            token, first, rarity = token_sets(texts, gram, shared.value)
+            cls, n = class_keys(token, first), np.diff(first)
             fresh = np.array([n[i] > 0 and not (c in seen or seen.add(c)) for i, c in enumerate(cls.tolist())], bool)
-            length = np.where(fresh, n - need(n, percent) + slack(n), 0)
-            length = np.minimum(length, n)
-            at = np.repeat(first[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            length = np.minimum(np.where(fresh, n - need(n, percent) + slack(n), 0), n)
+            order = np.lexsort((token, rarity, np.repeat(np.arange(len(n)), n)))
+            at = order[np.repeat(first[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
             held.append([token[at], np.repeat(cls, length), np.repeat(n, length).astype(np.int32)])
             size += len(at)
-            if size > buckets * BLOB // 8:
-                yield from packed(_POST, _bucket(held_token := np.concatenate([h[0] for h in held]), buckets), held_token, *(np.concatenate([h[i] for h in held]) for i in (1, 2)))
+            if size > HELD:
+                yield from flush(held)
                 held, size, seen = [], 0, set()
-        if held:
-            yield from packed(_POST, _bucket(held_token := np.concatenate([h[0] for h in held]), buckets), held_token, *(np.concatenate([h[i] for h in held]) for i in (1, 2)))
+        if size:
+            yield from flush(held)
 
     return as_bytes(docs).mapInArrow(run, _POST_SQL)
 
@@ -160,11 +181,13 @@ def shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
     return prefixes.groupBy("bucket").applyInArrow(run, "bucket int, cls binary, token binary, n binary, df binary")
 
 
-_KEPT = pa.schema([("token", pa.int64()), ("ord", pa.int32()), ("cls", pa.int64()), ("n", pa.int64())])
+_KEPT = pa.schema([("token", pa.int64()), ("ord", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """A row for each token that a class keeps under an order by rarity: ord 0 breaks ties by hash, ord 1 by another."""
+    """A row for each token that a class keeps under an order by rarity: ord 0 breaks ties by hash, ord 1 by another.
+
+    The weight, how much of the set is shared with how many, ranks classes as pivots."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, token, n, df = unpacked(table, [_U, _U, np.int32, np.int32])
@@ -177,11 +200,13 @@ def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
             rank = np.arange(len(c)) - np.repeat(start, count)
             least = slack(size)
             kept = (np.repeat(count, count) >= least) & (rank < np.repeat(count, count) - (least - 1))
-            out.append((token[order][kept], np.full(kept.sum(), k, np.int32), c[kept], size[kept]))
+            sums = np.concatenate(([0.0], np.cumsum(np.log2(df[order]))))
+            weight = np.repeat(sums[np.append(start[1:], len(c))] - sums[start], count) * 1000 / size if len(c) else np.zeros(0)
+            out.append((token[order][kept], np.full(kept.sum(), k, np.int32), c[kept], size[kept], weight[kept].astype(np.int64)))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.Table.from_batches([batch(_KEPT, cols[0].view(np.int64), cols[1], cols[2].view(np.int64), cols[3].astype(np.int64))], _KEPT)
+        return pa.Table.from_batches([batch(_KEPT, cols[0].view(np.int64), cols[1], cols[2].view(np.int64), cols[3].astype(np.int64), cols[4])], _KEPT)
 
-    return shared.groupBy("bucket").applyInArrow(run, "token long, ord int, cls long, n long")
+    return shared.groupBy("bucket").applyInArrow(run, "token long, ord int, cls long, n long, weight long")
 
 
 def candidate_sets(docs: DataFrame, sig: DataFrame, kept: DataFrame, gram: int) -> DataFrame:
@@ -192,8 +217,8 @@ def candidate_sets(docs: DataFrame, sig: DataFrame, kept: DataFrame, gram: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
         for wanted, texts in chunks(batches):
-            token, first = token_sets(texts, gram)
-            own = class_keys(token, first)[0].view(np.int64).tolist()
+            token, first, _ = token_sets(texts, gram)
+            own = class_keys(token, first).view(np.int64).tolist()
             rows = [i for i, c in enumerate(wanted) if own[i] == c]
             yield batch(schema, [wanted[i] for i in rows], [token[first[i] : first[i + 1]].tobytes() for i in rows])
 
@@ -219,28 +244,87 @@ def verified(pairs: DataFrame, second: DataFrame, sets: DataFrame, percent: int)
     return full.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of a few sets, by products of 0/1 matrices over the tokens that two or more hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    column = (np.cumsum(count > 1) - 1)[column[keep]]
+    owner = owner[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def compare_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components, among the classes of each tile (p, i, j): side 0 with side 1, or i = j."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, comp, side = (table.column(n).to_numpy() for n in ("cls", "comp", "side"))
+        tokens = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in tokens])
+        common = overlaps(tokens)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[0] == side[-1]) & (side.min() == side.max()))
+        parent = {c: c for c in comp.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((cls[i], cls[j]))
+        return pa.Table.from_batches([batch(_LINK, [o[0] for o in out], [o[1] for o in out])], _LINK)
+
+    full = members.join(sets, "cls")
+    return full.groupBy("p", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def tiles(met: DataFrame, tile: int) -> DataFrame:
+    """(p, i, j, side, cls, comp): of the classes that met pivot p, those outside its component (side 1) in tiles with
+    each other (j <= -1 stands for a tile of theirs) and with its component (side 0)."""
+    count = met.groupBy("p").agg(F.sum(F.when(F.col("comp") != F.col("home"), 1).otherwise(0)).alias("n1"), F.count(F.lit(1)).alias("n")).where("n1 > 0")
+    sized = met.join(count, "p").select("p", "cls", "comp", F.expr("if(comp = home, 0, 1)").alias("side"), F.ceil(F.col("n1") / tile).cast("int").alias("t1"), F.ceil((F.col("n") - F.col("n1")) / tile).cast("int").alias("t0"))
+    spot = F.pmod(F.xxhash64("cls"), F.when(F.col("side") == 1, F.col("t1")).otherwise(F.greatest("t0", F.lit(1)))).cast("int")
+    placed = sized.withColumn("s", spot)
+    home = placed.where("side = 0").select("p", F.explode(F.expr("sequence(0, t1 - 1)")).alias("i"), F.col("s").alias("j"), "side", "cls", "comp")
+    away = placed.where("side = 1 and t0 > 0").select("p", F.col("s").alias("i"), F.explode(F.expr("sequence(0, t0 - 1)")).alias("j"), "side", "cls", "comp")
+    among = placed.where("side = 1").select("p", "s", F.explode(F.expr("sequence(0, t1 - 1)")).alias("o"), "cls", "comp").select("p", F.least("s", "o").alias("i"), (-1 - F.greatest("s", "o")).alias("j"), F.when(F.col("s") <= F.col("o"), 0).otherwise(1).alias("side"), "cls", "comp")
+    return home.unionByName(away).unionByName(among)
+
+
+def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): a row per document, and verified links (a, b) of classes that connect all that is linked."""
     spark = docs.sparkSession
     ship(spark)
     buckets = partitions(spark) * 2
     sig = stored(signatures(docs, gram))
-    kept = stored(rare_prefixes(shared_tokens(hash_prefixes(docs, gram, percent, buckets), buckets), percent))
+    kept = stored(rare_prefixes(shared_tokens(word_prefixes(docs, gram, percent, buckets, WordScores(docs)), buckets), percent))
     sets = stored(candidate_sets(docs, sig, kept, gram))
     second = stored(kept.where("ord = 1").groupBy("cls").agg(F.collect_list("token").alias("kept")))
-    first = kept.where("ord = 0").select("token", "cls", "n")
-    fits = "{p} * greatest({a}, {b}) <= 100 * least({a}, {b})"
-    pivot = first.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    star = first.join(pivot, "token").where("cls > p.cls and " + fits.format(p=percent, a="n", b="p.n")).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    tried = stored(verified(star, second, sets, percent))
-    found = tried.where("linked").select("a", "b")
-    named = stored(attach(first, stored(components(found, "a", "b")).withColumnRenamed("node", "cls"), "cls").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp")))
-    apart = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = stored(named.join(apart, "token", "left_semi"))
-    cross = rest.alias("x").join(rest.alias("y"), F.expr("x.token = y.token and x.comp < y.comp and " + fits.format(p=percent, a="x.n", b="y.n")))
-    pairs = cross.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    new = stored(verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), second, sets, percent))
-    return sig, found.unionByName(new.where("linked").select("a", "b"))
+    first = kept.where("ord = 0").select("token", "cls", "n", "weight")
+    pivot = first.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = stored(first.join(pivot, "token").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.expr(f"{percent} * greatest(n, p.n) <= 100 * least(n, p.n)").alias("fits")).distinct())
+    found = stored(verified(met.where("a <> b and fits").select("a", "b"), second, sets, percent)).where("linked").select("a", "b")
+    label = stored(components(found, "a", "b"))
+    named = attach(met.select(F.col("a").alias("p"), F.col("b").alias("cls")), label.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
+    named = attach(named, label.select(F.col("node").alias("p"), F.col("component").alias("home")), "p")
+    rest = stored(tiles(named.select("p", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("home", "p").alias("home")), tile))
+    return sig, found.unionByName(stored(compare_tiles(rest, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
