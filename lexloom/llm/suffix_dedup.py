@@ -97,6 +97,20 @@ def post_regions(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFr
     return keyed(docs).mapInArrow(run, _POSTS_SQL)
 
 
+def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Ranges in order of document and place, those that touch made one: (doc, (rows, start, end))."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(doc):
+        return doc, (order, start, end)
+    number = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+    base = number * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + base)
+    head = np.append(True, (start + base)[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(head)[1:] - 1, len(doc) - 1)
+    return doc[head], (order[head], start[head], (reach - base)[last])
+
+
 def by_document(doc: np.ndarray, gone: tuple, ask: tuple) -> pa.Table:
     """A row for each document with the packed ranges gone (rows, start, end) and asked for (rows, start, more, hot)."""
     rows = np.concatenate((gone[0], ask[0]))
@@ -107,6 +121,9 @@ def by_document(doc: np.ndarray, gone: tuple, ask: tuple) -> pa.Table:
     for part, width in ((gone, 2), (ask, 3)):
         d = doc[part[0]]
         order = np.argsort(d, kind="stable")
+        if width == 2:
+            d, part = merged_ranges(d, *part[1:])
+            order = np.arange(len(d))
         lo, hi = np.searchsorted(d[order], ids), np.searchsorted(d[order], ids, side="right")
         for values in part[1 : 1 + width]:
             v = values[order].astype(np.int32)
@@ -150,7 +167,7 @@ def contexts(docs: DataFrame, asked: DataFrame, buckets: int, width: int, gram:
             for i in range(b.num_rows):
                 doc, text, starts, mores, hots = (c[i].as_py() for c in b.columns)
                 text = text or b""
-                start, more, hot = (np.frombuffer(b"".join(x), np.int32) for x in (starts, mores, hots))
+                start, more, hot = (np.frombuffer(x, np.int32) for x in (starts, mores, hots))
                 fits = start + more + width <= len(text)
                 start, more, hot = start[fits], more[fits], hot[fits]
                 if not len(start):
@@ -257,10 +274,10 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     ship(spark)
     buckets = partitions(spark) * 2
     first = stored(compare_regions(post_regions(docs, buckets, width, gram), width))
-    asked = stored(first.where("octet_length(ask_start) > 0").groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("ask_start", "ask_more", "ask_hot"))))
+    asked = stored(first.where("octet_length(ask_start) > 0").groupBy("doc_id").agg(*(F.listagg(c).alias(c) for c in ("ask_start", "ask_more", "ask_hot"))))
     second = compare_suffixes(contexts(docs, asked, buckets, width, gram), width)
     gone = first.select("doc_id", "gone_start", "gone_end").unionByName(second.select("doc_id", "gone_start", "gone_end")).where("octet_length(gone_start) > 0")
-    return gone.groupBy("doc_id").agg(F.collect_list("gone_start").alias("starts"), F.collect_list("gone_end").alias("ends"))
+    return gone.groupBy("doc_id").agg(F.listagg("gone_start").alias("starts"), F.listagg("gone_end").alias("ends"))
 
 
 def apply_ranges(docs: DataFrame, ranges: DataFrame, run, sql: str) -> DataFrame:
@@ -271,7 +288,7 @@ def apply_ranges(docs: DataFrame, ranges: DataFrame, run, sql: str) -> DataFrame
 
 def rows_with_ranges(b: pa.RecordBatch) -> Iterator[tuple]:
     for doc, text, starts, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        yield doc, text or b"", *(np.frombuffer(b"".join(x or []), np.int32).astype(np.int64) for x in (starts, ends))
+        yield doc, text or b"", *(np.frombuffer(x or b"", np.int32).astype(np.int64) for x in (starts, ends))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
