@@ -6,12 +6,7 @@ task holds a few megabytes whatever the size of its partition.
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import ship, work_dir  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 BROADCAST_BYTES = 8 << 20
 _M = (1 << 64) - 1
@@ -27,37 +24,6 @@ _M = (1 << 64) - 1
 # ---------------------------------------------------------------- session and tables
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="lexloom-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sc = spark.sparkContext
-    if getattr(sc, "_lexloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="lexloom-zip-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/lexloom_pkg.zip", "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    p = os.path.join(d, n)
-                    z.write(p, os.path.relpath(p, os.path.dirname(top)))
-    sc.addPyFile(f"{folder}/lexloom_pkg.zip")
-    sc._lexloom_shipped = True
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -120,17 +120,24 @@ def best_two(chunk: str, v: Vocabulary) -> tuple[bytes, int, float]:
 
 
 def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, tuple[int, ...]]]:
-    """The n best (score, ids) in order; equal scores in order of ids from the end."""
+    """The n best (score, ids) in order. Paths are linked lists, and of equal scores the one nearer its end goes first, so
+    that a long chunk with many equal paths costs n walks."""
     edges, best = lattice(chunk, v)
     out: list[tuple[int, tuple[int, ...]]] = []
-    heap = [(-best[-1], (), len(chunk), 0)]  # minus (score behind + best score ahead), ids behind, place, score behind
+    number = 0
+    heap: list[tuple] = [(-best[-1], len(chunk), 0, 0, None)]  # minus (score behind + best score ahead), place, number, score behind, path
     while heap and len(out) < n:
-        total, ids, at, behind = heapq.heappop(heap)
+        total, at, _, behind, path = heapq.heappop(heap)
         if at == 0:
-            out.append((-total, ids))
+            ids: list[int] = []
+            while path:
+                ids += path[0]
+                path = path[1]
+            out.append((-total, tuple(ids)))
             continue
         for i, piece, s in edges[at]:
-            heapq.heappush(heap, (-(behind + s + best[i]), piece + ids, i, behind + s))
+            number += 1
+            heapq.heappush(heap, (-(behind + s + best[i]), i, number, behind + s, (piece, path)))
     return out
 
 
