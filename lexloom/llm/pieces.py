@@ -5,7 +5,7 @@ position the best score of any path to it. Those scores are an exact heuristic f
 backwards, so the N best paths come out in order and nothing else is expanded to the end.
 
 No piece goes across a line break or from a letter into a space, so the lattice falls apart into chunks (spaces and
-the word after them). Each distinct chunk is searched once while it stays in the task's bounded cache. The N best
+the word after them). Each distinct chunk is searched once while it stays in the worker's bounded cache. The N best
 segmentations of a text differ from its best in its N - 1 cheapest chunks only (by the loss of a chunk's
 second-best segmentation), and are merged exactly from those chunks' own N best. A model whose pieces do cross is
 searched over whole texts.
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +34,15 @@ from pyspark.sql import DataFrame
 from lexloom.llm.common import as_bytes, batch, chunks, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST, CACHE = 4, 300_000
+N_BEST, CACHE = 4, 1_000_000
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ \n]*|\n+|[^ \n]+")
+_NONE = -(1 << 62)  # below any score
 
 
 @dataclass
 class Vocabulary:
-    """pieces: text (with plain spaces) -> (id, score), or () for what only begins a piece; byte ids; what each id decodes to."""
+    """pieces: text (with plain spaces) -> ((id,), score), or () for what only begins a piece; byte ids; what each id decodes to."""
 
     pieces: dict[str, tuple]
     byte_ids: list[int]
@@ -60,10 +62,10 @@ def load(model_file: str = MODEL) -> Vocabulary:
     total = sum(1 / (2 - s) for s in raw.values()) if ranked else 1.0
     score = {i: round(1e6 * (-math.log((2 - s) * total) if ranked else s)) for i, s in raw.items()}
     low = min(score.values())
-    pieces = {sp.id_to_piece(i).replace(SPACE, " "): (i, score[i]) for i in normal}
+    pieces = {sp.id_to_piece(i).replace(SPACE, " "): ((i,), score[i]) for i in normal}
     decoded = [b""] * len(ids)
     byte_ids = [-1] * 256
-    for p, (i, _) in pieces.items():
+    for p, ((i,), _) in pieces.items():
         decoded[i] = p.encode()
     for i in ids:
         if sp.is_byte(i):
@@ -79,24 +81,24 @@ def load(model_file: str = MODEL) -> Vocabulary:
 def lattice(chunk: str, v: Vocabulary) -> tuple[list[list], list]:
     """For each end the edges (start, ids, score) into it, and the best score of a path to it (forward Viterbi)."""
     get, n = v.pieces.get, len(chunk)
-    best, edges = [0, *[None] * n], [[] for _ in range(n + 1)]
+    best, edges = [0] + [_NONE] * n, [[] for _ in range(n + 1)]
     for i in range(n):
-        here, single = best[i], False
+        here = best[i]
         for j in range(i + 1, n + 1):
             hit = get(chunk[i:j])
-            if hit is None:
-                break
             if hit:
-                edges[j].append((i, hit[:1], hit[1]))
-                s = here + hit[1]
-                if best[j] is None or s > best[j]:
+                ids, s = hit
+                edges[j].append((i, ids, s))
+                s += here
+                if s > best[j]:
                     best[j] = s
-                single = single or j == i + 1
-        if not single:
+            elif hit is None:
+                break
+        if not edges[i + 1] or edges[i + 1][-1][0] != i:
             spelt = chunk[i].encode("utf-8", "surrogatepass")
             s = v.byte_score * len(spelt)
-            edges[i + 1].append((i, tuple(v.byte_ids[b] for b in spelt), s))
-            if best[i + 1] is None or here + s > best[i + 1]:
+            edges[i + 1].append((i, tuple([v.byte_ids[b] for b in spelt]), s))
+            if here + s > best[i + 1]:
                 best[i + 1] = here + s
     return edges, best
 
@@ -110,13 +112,16 @@ def best_two(chunk: str, v: Vocabulary) -> tuple[bytes, int, float]:
     edges, best = lattice(chunk, v)
     at, parts, loss = len(chunk), [], math.inf
     while at:
-        top = best[at]
-        ways = sorted(((best[i] + s, ids, i) for i, ids, s in edges[at]), key=lambda w: (-w[0], w[1])) if len(edges[at]) > 1 else [(top, edges[at][0][1], edges[at][0][0])]
-        if len(ways) > 1 and top - ways[1][0] < loss:
-            loss = top - ways[1][0]
-        parts.append(ways[0][1])
-        at = ways[0][2]
-    return np.array([x for p in reversed(parts) for x in p], np.int32).tobytes(), best[-1], loss
+        top, ways = best[at], edges[at]
+        if len(ways) == 1:
+            at, ids, _ = ways[0]
+        else:
+            ranked = sorted([(-best[i] - s, ids, i) for i, ids, s in ways])
+            _, ids, at = ranked[0]
+            if top + ranked[1][0] < loss:
+                loss = top + ranked[1][0]
+        parts.append(ids)
+    return struct.pack("%di" % sum(map(len, parts)), *[x for p in reversed(parts) for x in p]), best[-1], loss
 
 
 def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, tuple[int, ...]]]:
@@ -142,15 +147,19 @@ def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, tuple[int, ...]
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of chunks: (ids as bytes, score, loss of the second best)."""
+    """Encodes texts with a bounded cache of chunks: (ids as bytes, score, loss of the second best).
+
+    The cache has two generations of half the limit each: the old one goes when the young one is full, and what is
+    used again moves to the young one, so frequent chunks stay.
+    """
 
     def __init__(self, v: Vocabulary, n: int = N_BEST, cache: int = CACHE):
-        self.v, self.n, self.limit, self.cache = v, n, cache, {}
+        self.v, self.n, self.limit, self.cache, self.old = v, n, max(cache // 2, 1), {}, {}
 
     def _chunk(self, chunk: str) -> tuple[bytes, int, float]:
-        entry = best_two(chunk, self.v)
+        entry = self.old.get(chunk) or best_two(chunk, self.v)
         if len(self.cache) >= self.limit:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         self.cache[chunk] = entry
         return entry
 
@@ -178,6 +187,17 @@ class Encoder:
         return b"".join([table[i] for i in ids.tolist()])[1:]
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(shared, key: tuple) -> Encoder:
+    """The encoder of this Python worker, which later tasks of the worker use again; one model at a time."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(shared.value, key[1])
+    return _ENCODERS[key]
+
+
 def encode(docs: DataFrame, model_file: str = MODEL, n: int = N_BEST, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, score, gaps of the N best to the best, digests of the ids and of the ways they differ, and
     whether the ids decode to the text; with_ids adds the ids."""
@@ -188,7 +208,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, n: int = N_BEST, with_ids:
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(shared.value, n)
+        e = _encoder(shared, (model_file, n))
         for ids, texts in chunks(batches):
             out = []
             for doc, text in zip(ids, texts, strict=True):
