@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from lexloom.llm.common import as_bytes, batch, chunks, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST, CACHE = 4, 1_000_000
+N_BEST, CACHE = 4, 500_000
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ \n]*|\n+|[^ \n]+")
 _NONE = -(1 << 62)  # below any score
+_HEAD = np.dtype([("score", np.int64), ("loss", np.int64)])  # of an entry of the cache; the ids follow
 
 
 @dataclass
@@ -103,14 +104,14 @@ def lattice(chunk: str, v: Vocabulary) -> tuple[list[list], list]:
     return edges, best
 
 
-def best_two(chunk: str, v: Vocabulary) -> tuple[bytes, int, float]:
-    """(ids of the best path as bytes, its score, the loss of the second best).
+def best_two(chunk: str, v: Vocabulary) -> bytes:
+    """Score of the best path, loss of the second best (-_NONE if there is none) and the best path's ids, as bytes.
 
     The second best leaves the best path, seen from the end, at one place by another edge, and from there on has the
     best score ahead: the first step of the A-star search, without its queue.
     """
     edges, best = lattice(chunk, v)
-    at, parts, loss = len(chunk), [], math.inf
+    at, parts, loss = len(chunk), [], -_NONE
     while at:
         top, ways = best[at], edges[at]
         if len(ways) == 1:
@@ -121,7 +122,7 @@ def best_two(chunk: str, v: Vocabulary) -> tuple[bytes, int, float]:
             if top + ranked[1][0] < loss:
                 loss = top + ranked[1][0]
         parts.append(ids)
-    return struct.pack("%di" % sum(map(len, parts)), *[x for p in reversed(parts) for x in p]), best[-1], loss
+    return struct.pack("=qq%di" % sum(map(len, parts)), best[-1], loss, *[x for p in reversed(parts) for x in p])
 
 
 def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, tuple[int, ...]]]:
@@ -147,7 +148,7 @@ def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, tuple[int, ...]
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of chunks: (ids as bytes, score, loss of the second best).
+    """Encodes texts with a bounded cache of what best_two gives for chunks, one bytes object each.
 
     The cache has two generations of half the limit each: the old one goes when the young one is full, and what is
     used again moves to the young one, so frequent chunks stay.
@@ -156,7 +157,7 @@ class Encoder:
     def __init__(self, v: Vocabulary, n: int = N_BEST, cache: int = CACHE):
         self.v, self.n, self.limit, self.cache, self.old = v, n, max(cache // 2, 1), {}, {}
 
-    def _chunk(self, chunk: str) -> tuple[bytes, int, float]:
+    def _chunk(self, chunk: str) -> bytes:
         entry = self.old.get(chunk) or best_two(chunk, self.v)
         if len(self.cache) >= self.limit:
             self.old, self.cache = self.cache, {}
@@ -170,16 +171,18 @@ class Encoder:
         pieces = _CHUNK.findall(" " + text) if self.v.separable else [" " + text]
         get, fill = self.cache.get, self._chunk
         found = [get(c) or fill(c) for c in pieces]
-        ids = np.frombuffer(b"".join([e[0] for e in found]), np.int32)
+        size = _HEAD.itemsize
+        ids = np.frombuffer(b"".join([e[size:] for e in found]), np.int32)
+        head = np.frombuffer(b"".join([e[:size] for e in found]), _HEAD)
         best: list[tuple[int, dict]] = [(0, {})]
         if self.n > 1:
-            loss = np.array([e[2] for e in found])
+            loss = head["loss"]
             k = min(self.n - 1, len(loss))
             near = np.flatnonzero(loss <= np.partition(loss, k - 1)[k - 1])
             for c in near[np.lexsort((near, loss[near]))][:k].tolist():
                 own = n_best(pieces[c], self.n, self.v)
                 best = heapq.nsmallest(self.n, ((a + own[0][0] - s, {**d, c: way} if i else d) for a, d in best for i, (s, way) in enumerate(own)), key=lambda x: (x[0], sorted(x[1].items())))
-        return ids, sum([e[1] for e in found]), best
+        return ids, int(head["score"].sum()), best
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of piece ids; the first space is the one that encoding put in front."""

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import struct
 
 import brute
 import numpy as np
@@ -125,8 +126,8 @@ def test_pieces(edges):
         for n in (1, 3, 6):
             ways = pieces.n_best(chunk, n, v)
             assert [w[0] for w in ways] == sorted((s for s, _ in table), reverse=True)[:n]
-        best = pieces.best_two(chunk, v)
-        assert best[1] == ways[0][0] and (len(ways) < 2 or best[2] == ways[0][0] - ways[1][0])
+        score, loss = struct.unpack_from("=qq", pieces.best_two(chunk, v))
+        assert score == ways[0][0] and (len(ways) < 2 or loss == ways[0][0] - ways[1][0])
     e = pieces.Encoder(v, 3)
     ids, score, ways = e.encode("the cat\nsat")
     every = sorted((sum(c) for c in itertools.product(*([s for s, _ in lattice_paths(c, v)] for c in (" the", " cat", "\n", "sat")))), reverse=True)
