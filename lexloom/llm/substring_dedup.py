@@ -60,8 +60,8 @@ def _first_of_each(*keys: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
-    """Packed region entries by anchor bucket. Of equal regions in one stretch of a task the smallest document's comes
-    as an entry (more >= 0), and the others as ranges already known to be repeated (more < 0: minus the length)."""
+    """Packed region entries by anchor bucket. Of equal regions in one stretch of a task all of the smallest document's
+    come as entries (more >= 0), and the others as ranges already known to be repeated (more < 0: minus the length)."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -72,8 +72,7 @@ def fingerprints(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFr
         spread = anchor.copy()
         spread[later] = doc[later].astype(_U) << _U(33)
         more = np.where(later, -(more + width), more)
-        keep = head | later  # the smallest document's further copies of a region add nothing
-        yield from packed(_RUN, bucket_of(spread[keep], buckets), *(c[keep].astype(t, copy=False) for c, t in zip((anchor, content, check, doc, start, more), _TYPES, strict=True)))
+        yield from packed(_RUN, bucket_of(spread, buckets), *(c.astype(t, copy=False) for c, t in zip((anchor, content, check, doc, start, more), _TYPES, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -125,7 +124,9 @@ def merge_join(runs: DataFrame | None, fresh: DataFrame, width: int) -> DataFram
         begin = np.flatnonzero(_first_of_each(a))
         count = np.diff(np.append(begin, len(a)))
         has_new = np.add.reduceat(new[firsts].astype(np.int64), begin) if len(begin) else begin
-        asked = firsts[np.repeat((count > 1) & (has_new > 0), count)]
+        several = np.zeros(len(head), bool)
+        several[firsts] = np.repeat((count > 1) & (has_new > 0), count)
+        asked = np.flatnonzero(several[lead] & (head | new & (doc == doc[lead])))  # each copy in the smallest document
         fresh_rows = np.flatnonzero(head & new)
         out = []
         for kind, rows in ((_KIND_NEW, [c[fresh_rows] for c in cols]), (_KIND_GONE, gone), (_KIND_ASK, [c[asked] for c in cols])):

@@ -67,6 +67,30 @@ def test_exact_operators(request, spark, which):
     same(substring_dedup.deduplicate(df, batches=6, max_runs=1), brute.op9(rows))
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_passages_repeated_inside_one_document(spark, batches):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+
+    def prose(n):
+        return [r.choice(words) for _ in range(n)]
+
+    passage, line, near = prose(200), prose(7), prose(120)
+    far = near[:60] + ["x"] + near[61:]
+    texts = [
+        prose(20) + passage + prose(20),
+        prose(30) + line * 30 + prose(5),
+        prose(9) + far + prose(9),
+        prose(80),
+        prose(10) + passage + prose(60) + passage + prose(10) + passage[50:],
+        line * 40 + prose(60) + line * 25,
+        prose(15) + near + prose(70) + near + prose(3) + near,
+    ]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    same(substring_dedup.deduplicate(df, batches=batches), brute.op9(rows))
+
+
 def test_empty_tables_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
