@@ -2,12 +2,14 @@
 
 Words that occur once in the text and once in the template are anchors; the longest increasing subsequence of their
 places (by patience sorting) is kept, and the gaps between the kept anchors are aligned in the same way, where more
-words are unique. A template's coverage is the share of its words that are aligned within a stretch of text of at
-most SPREAD times its length.
+words are unique; a gap without such words, as between repeated notices, is aligned by all pairs of equal words. A
+template's coverage is the share of its words that are aligned within a stretch of text of at most SPREAD times its
+length. Each template word of the text may begin a stretch; of equal coverage the tightest place, then the first, counts.
 
 Only stretches that can reach `min_coverage` are aligned: a text must hold enough of a template's words at all, and
 every match that good holds one of the template's `allowed misses + 1` words that are rarest in the text, so the
-surroundings of those words' occurrences are all there is to look at. Nothing is left out by this.
+surroundings of those words' occurrences are all there is to look at; and a stretch must itself hold enough of the
+template's words. Nothing is left out by this.
 
 Defined results: null and empty texts have no words and no license; of licenses of equal coverage the longer
 template, then the first by name, is reported; repeated rows each get their row; an empty table gives an empty result; other columns
@@ -61,6 +63,15 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(a: list[int], b: list[int], i: int, j: int, k: int, m: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of a[i:j] and b[k:m]: patience sorting of all pairs of equal words."""
+    at_b: dict[int, list[int]] = {}
+    for q in range(m - 1, k - 1, -1):
+        at_b.setdefault(b[q], []).append(q)
+    pairs = [(p, q) for p in range(i, j) for q in at_b.get(a[p], ())]
+    return [pairs[x] for x in longest_increasing([q for _, q in pairs])]
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal words, increasing in both; gaps are worked off a stack, not by recursion."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -77,7 +88,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:j]), Counter(b[k:m])
         at_b = {x: p for p, x in enumerate(b[k:m], k) if in_b[x] == 1}
         anchors = [(p, at_b[x]) for p, x in enumerate(a[i:j], i) if in_a[x] == 1 and x in at_b]
-        kept = [anchors[x] for x in longest_increasing([q for _, q in anchors])]
+        kept = [anchors[x] for x in longest_increasing([q for _, q in anchors])] or common(a, b, i, j, k, m)
         if not kept:
             continue
         out += kept
@@ -86,13 +97,24 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def densest(places: np.ndarray, reach: int) -> tuple[int, int, int]:
-    """(count, first, last): the most places within `reach` words."""
-    if not len(places):
-        return 0, 0, 0
-    upto = np.searchsorted(places, places + reach)
-    i = int(np.argmax(upto - np.arange(len(places))))
-    return int(upto[i] - i), int(places[i]), int(places[upto[i] - 1])
+def best_stretch(t: list[int], need: list[int], p: list[int], w: list[int], reach: int, least: float) -> tuple[int, int, int]:
+    """(aligned, first, last) of the best stretch of less than `reach` words, given the places and ids of template words."""
+    have, bound, e, best = Counter(), 0, 0, (0, 0, 0)
+    for s, place in enumerate(p):
+        while e < len(p) and p[e] < place + reach:
+            bound += have[w[e]] < need[w[e]]
+            have[w[e]] += 1
+            e += 1
+        tight = best[2] - best[1] + 1 == best[0]
+        if bound >= least and (bound > best[0] or bound == best[0] and not tight):
+            pairs = align(t, w[s:e])
+            if len(pairs) < bound:
+                pairs = max(pairs, common(t, w[s:e], 0, len(t), 0, e - s), key=len)
+            found = (len(pairs), p[s + pairs[0][1]], p[s + pairs[-1][1]]) if pairs else best
+            best = max(best, found, key=lambda x: (x[0], x[1] - x[2]))
+        have[w[s]] -= 1
+        bound -= have[w[s]] < need[w[s]]
+    return best
 
 
 class Scanner:
@@ -116,15 +138,11 @@ class Scanner:
             p, w = places[own], terms[own]
             spots = p[np.isin(w, seeds)]
             cuts = np.flatnonzero(np.diff(spots) > 2 * reach) + 1
-            best = (0, 0, 0)
+            best, need = (0, 0, 0), self.need[name].tolist()
             for group in np.split(spots, cuts):
                 lo, hi = np.searchsorted(p, group[0] - reach), np.searchsorted(p, group[-1] + reach, side="right")
-                for s in range(lo, hi, max(1, len(t))) if hi - lo > 4 * len(t) else (lo,):
-                    e = min(hi, s + 4 * len(t))
-                    pairs = align(t, w[s:e].tolist())
-                    best = max(best, densest(p[s:e][[k for _, k in pairs]], reach), key=lambda x: x[0])
-                    if e == hi:
-                        break
+                found = best_stretch(t, need, p[lo:hi].tolist(), w[lo:hi].tolist(), reach, self.min_coverage * len(t))
+                best = max(best, found, key=lambda x: (x[0], x[1] - x[2]))
             if best[0] >= self.min_coverage * len(t):
                 out.append((name, best[0] / len(t), best[1], best[2]))
         return sorted(out, key=lambda x: (-x[1], -len(self.templates[x[0]]), x[0]))

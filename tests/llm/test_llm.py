@@ -183,6 +183,27 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "MIT line", 4: None, 5: None, 6: None}
 
 
+def test_repeated_licenses_with_words_around():
+    from lexloom.llm.common import NOT_ALNUM, Words
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE)
+
+    def scan(text):
+        h = Words([text.encode()], NOT_ALNUM, lower=True).hash
+        at = np.minimum(np.searchsorted(scanner.vocabulary, h), len(scanner.vocabulary) - 1)
+        hit = np.flatnonzero(scanner.vocabulary[at] == h)
+        return scanner.scan(hit, at[hit], np.bincount(at[hit], minlength=len(scanner.vocabulary)))
+
+    line, mit = "Released under the MIT License. ", licenses.TEMPLATES["MIT"] + " "
+    assert scan("see the note: " + line * 2 + "the end") == [("MIT line", 1.0, 3, 7)]
+    for n in (2, 3, 9):
+        assert scan("of the " + mit * n + "the end of")[0][:2] == ("MIT", 1.0)
+        assert scan("".join(f"file {i} of the set " + mit + "def the(): return of " for i in range(n)))[0][:2] == ("MIT", 1.0)
+        cut = " ".join(x for i, x in enumerate(mit.split()) if i % 9) + " "
+        assert scan("to the " + cut * n + "and the rest")[0][0] == "MIT"
+    assert scan("license MIT the under released " * 9) == []
+
+
 def test_forest_tells_odd_rows(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, (500, 3)), rng.normal(8, 1, (5, 3))])
