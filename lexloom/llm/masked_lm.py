@@ -2,9 +2,9 @@
 
 Word counts over the whole corpus give a vocabulary of the VOCABULARY most frequent words and CLASSES classes of about
 equal mass; all other words share one more class. The network sees the embeddings of the RADIUS words on either side of a
-masked word and predicts its class; the word's share of its class comes from the counts. In training each task masks
-every MASK-th word of each of its documents, and the tasks' networks are averaged by their number of masked words after
-each round, so training covers all documents. A document's score is the sum over all of its words of the log-probability
+masked word and predicts its class; the word's share of its class comes from the counts. In training the places of each
+document's words modulo MASK are dealt over the rounds, so every word of the corpus is masked (with over MASK rounds
+again in turn), and the tasks' networks are averaged by their number of masked words after each round. A document's score is the sum over all of its words of the log-probability
 of the word given both sides.
 
 Only the counts of the vocabulary and the averaged parameters (both of a fixed size) reach the driver.
@@ -135,6 +135,13 @@ def windows(ids: np.ndarray, first: np.ndarray, padding: int, at: np.ndarray) ->
     return np.stack(columns, 1)
 
 
+def masked(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The words that round `turn` masks; the texts are first[i]:first[i + 1]. Over the rounds that is every word."""
+    place = np.arange(first[-1]) - first[:-1].repeat(np.diff(first))
+    cycle = min(rounds, MASK)
+    return np.flatnonzero(place % MASK % cycle == turn % cycle)
+
+
 def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Network:
     """Each task trains on all of its documents; the parameters are averaged over tasks after each round."""
     spark, net = docs.sparkSession, Network(lexicon)
@@ -152,7 +159,7 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Network:
             for _, texts in chunks(batches):
                 w = Words(texts, SPACES, lower=True)
                 ids = lex.ids(w.hash)
-                at = np.flatnonzero((np.arange(len(w)) - w.first[:-1].repeat(np.diff(w.first))) % MASK == turn * (MASK // 2) % MASK)
+                at = masked(w.first, turn, rounds)
                 near, target = windows(ids, w.first, lex.words + 1, at), lex.class_of[ids[at]]
                 mix = np.random.default_rng(SEED + turn).permutation(len(at))
                 for lo in range(0, len(at), BATCH):

@@ -226,6 +226,21 @@ def test_language_model_prefers_order(spark):
     assert got[1].per_word > got[2].per_word and got[3].pseudo_log_likelihood == 0 and math.isfinite(got[2].per_word)
 
 
+def test_language_model_trains_on_every_word(spark):
+    first = np.cumsum([0, 0, 1, 4, 2, 30, 0, 5])
+    for rounds in (1, 2, 3, 8):
+        assert sorted(np.concatenate([masked_lm.masked(first, turn, rounds) for turn in range(rounds)]).tolist()) == list(range(42))
+    pairs = ("red fox", "blue bird")
+    docs = spark.range(0, 40_000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("if(id % 2 = 0, 'red fox', 'blue bird')").alias("text"))
+    lexicon = masked_lm.Lexicon(masked_lm.word_counts(docs))
+    net = masked_lm.train(docs, lexicon)
+    pad, ids = lexicon.words + 1, [lexicon.ids(masked_lm.Words([t.encode()], masked_lm.SPACES, lower=True).hash) for t in pairs]
+    for i in (0, 1):
+        left, right = ids[i]
+        z = net.forward(np.array([[pad, left, pad, pad]]))[2][0]
+        assert z[lexicon.class_of[right]] > z[lexicon.class_of[ids[1 - i][1]]] and z[lexicon.class_of[right]] > np.log(1 / 8)
+
+
 def test_line_chunks_against_sql(spark):
     import duckdb
 
