@@ -12,20 +12,27 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode, where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lexloom-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Send this package to the executors once a session, and keep Arrow batches small where the session sets no size."""
+    for key, value in _BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if getattr(sc, "_lexloom_shipped", False):
         return
