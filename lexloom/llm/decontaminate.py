@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import NOT_ALNUM, RunHash, Words, as_bytes, batch, chunks, covered, ship, stored
+from lexloom.llm.common import NOT_ALNUM, Words, as_bytes, batch, chunks, covered, sequence_keys, ship, stored
 
 PHRASE, SHARD_BYTES, BLOCK_TERMS = 13, 4 << 20, 200_000
 SLOP, PROXIMITY_TERMS = 26, 4
@@ -72,7 +72,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             order = np.argsort(at[hit], kind="stable")
             present, start = np.unique(at[hit][order], return_index=True)
             blobs = first.astype(np.int64), present.astype(np.int32), np.append(start, len(hit)).astype(np.int32), place[hit][order].astype(np.int32)
-            keys = RunHash(w.hash)(w.first[:-1], w.first[1:]).view(np.int64)
+            keys = sequence_keys(w.hash, w.first).view(np.int64)
             yield batch(_INDEX, [ids], [keys], *([x.tobytes()] for x in blobs))
 
     return stored(as_bytes(docs).mapInArrow(run, _INDEX_SQL))

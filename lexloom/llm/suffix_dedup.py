@@ -3,19 +3,21 @@
 A byte goes if it lies in a `width`-byte string that also starts earlier: in a document with a smaller id, or earlier
 in the same one. Suffixes of the whole corpus are never sorted at once; content-defined anchors split the work:
 
-1. Each region (windows with one anchor) is compared by hash with the other regions of its anchor. Regions that are
-   equal to an earlier one are repeated as a whole, which settles the inside of every copy.
+1. Each region (windows with one anchor) is compared with the other regions of its anchor by two independent 64-bit
+   hashes. Regions that are equal to an earlier one are repeated as a whole, which settles the inside of every copy.
 2. Where an anchor has several different regions, at the borders of copies and in near copies, the bytes of its distinct
-   regions are brought together and a suffix array over them is built by doubling. The previous and next smaller
-   positions in suffix order give each suffix's longest previous factor; windows whose factor has `width` bytes go.
+   regions are brought together in blocks. A suffix array over a block is built by doubling, with the longest common
+   prefix of neighbours from the ranks of each doubling step. Among the suffixes of `width` bytes or more (others can't
+   matter) the previous and next smaller positions in suffix order give each one's longest previous factor; windows whose factor has `width` bytes or more go.
    An anchor with very many different regions (at the borders of a very common passage) is spread by the hashes of its windows.
 
 Equal regions are merged inside each task before the shuffle, so copies of one text by the million arrive as one
-row from each task. Strings are judged on the input, never on what is left.
+row from each task. Strings are judged on the input, never on what is left. The texts move twice, by document id: to
+cut out the regions that are asked for, and to apply the ranges. Buckets are numbered by the bytes of the whole table.
 
-Defined results: a null text is empty; texts shorter than `width` stay; rows that share an id count as copies of
-one document, in which a string at the same offset is no repetition, and each row has the removed ranges applied; a
-null id orders last; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text is empty; texts shorter than `width` stay; very long texts are hashed in stretches; rows
+that share an id count as copies of one document, in which a string at the same offset is no repetition, and each row
+has the removed ranges applied; a null id orders last; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.anchors import Regions, regions
-from lexloom.llm.common import _BYTE_VALUES, RunHash, as_bytes, attach, batch, chunks, covered, partitions, ship, stored
+from lexloom.llm.anchors import EIGHT, folded, regions
+from lexloom.llm.common import as_bytes, attach, batch, buckets_for, chunks, covered, mixed, ship, stored
 from lexloom.llm.jaccard_join import packed, unpacked
 
 WIDTH, GRAM = 100, 32
 HOT = 4096
-HELD, BLOCK = 400_000, 4 << 20
+HELD, BLOCK = 200_000, 1 << 20
 NULL_ID = (1 << 63) - 1
 _U = np.uint64
 
-_POSTS = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("anchor", "content", "doc", "start", "more"))])
-_POSTS_SQL = "bucket int, anchor binary, content binary, doc binary, start binary, more binary"
-_TYPES = [_U, _U, np.int64, np.int64, np.int32]
-_OUT = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in ("gone_start", "gone_end", "ask_start", "ask_more", "ask_hot"))])
-_OUT_SQL = "doc_id long, gone_start binary, gone_end binary, ask_start binary, ask_more binary, ask_hot binary"
+_TYPES = [_U, _U, _U, np.int64, np.int32, np.int32]
+_POSTS = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("anchor", "content", "check", "doc", "start", "more"))])
+_POSTS_SQL = "bucket int, anchor binary, content binary, check binary, doc binary, start binary, more binary"
+_RANGES = {"gone": (np.int32, np.int32), "ask": (np.int32, np.int32, np.int8, _U)}
+_NAMES = ("gone_start", "gone_end", "ask_start", "ask_more", "ask_hot", "ask_anchor")
+_OUT = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in _NAMES)])
+_OUT_SQL = "doc_id long, " + ", ".join(f"{n} binary" for n in _NAMES)
 
 
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
@@ -54,43 +58,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return as_bytes(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))))
 
 
-def text_run(texts: list[bytes]) -> tuple[RunHash, np.ndarray]:
-    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    return RunHash(_BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)]), first
+def byte_blocks(texts: list[bytes]):
+    """blocks(lo, hi) of the texts' bytes one after another, as `regions` takes them, and where each text begins."""
+    data = b"".join(texts)
 
+    def blocks(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        eight = np.ndarray((hi - lo - EIGHT + 1,), "<u8", data, lo, (1,)).astype(_U)
+        return eight, mixed(eight)
 
-def repeats(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, repeated): rows by content and place, and which of them have an earlier place with that content."""
-    order = np.lexsort((start, doc, content))
-    c, d, s = content[order], doc[order], start[order]
-    head = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)
+    return blocks, np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+
+
+def repeats(content: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first of its content, repeated): rows by content and place, and which have an earlier place with that content."""
+    order = np.lexsort((start, doc, check, content))
+    c, k, d, s = (x[order] for x in (content, check, doc, start))
+    head = np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])) if len(c) else np.zeros(0, bool)
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    return order, (d != d[lead]) | (s != s[lead])
+    return order, head, (d != d[lead]) | (s != s[lead])
 
 
 def post_regions(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
-    """Packed regions by anchor; rows with more < 0 are ranges already known to be repeated (content is their end)."""
+    """Packed regions by anchor; rows with more < 0 are ranges already known to be repeated (-more is their length)."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        anchor, content, doc, start, more = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, again = repeats(content, doc, start)
+        anchor, content, check, doc, start, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, _, again = repeats(content, check, doc, start)
         rows = order[again]
-        content[rows] = (start[rows] + more[rows] + width).astype(_U)
-        more[rows] = -1
+        more[rows] = -(more[rows] + width)
         spread = anchor.copy()
         spread[rows] = doc[rows].astype(_U) << _U(33)
-        yield from packed(_POSTS, bucket_of(spread, buckets), anchor, content, doc, start, more.astype(np.int32))
+        yield from packed(_POSTS, bucket_of(spread, buckets), anchor, content, check, doc, start.astype(np.int32), more.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for ids, texts in chunks(batches):
-            sequence, first = text_run(texts)
-            r = regions(sequence, int(first[-1]), first, width, gram)
-            held.append([r.anchor, r.content, np.array(ids, np.int64)[r.text], r.start, r.more])
-            size += len(r.anchor)
-            if size > HELD:
-                yield from flush(held)
-                held, size = [], 0
+            blocks, first = byte_blocks(texts)
+            for r in regions(blocks, first, width, gram):
+                held.append([r.anchor, r.content, r.check, np.array([NULL_ID if i is None else i for i in ids], np.int64)[r.text], r.start, r.more])
+                size += len(r.anchor)
+                if size > HELD:
+                    yield from flush(held)
+                    held, size = [], 0
         if size:
             yield from flush(held)
 
@@ -111,46 +120,41 @@ def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return doc[head], (order[head], start[head], (reach - base)[last])
 
 
-def by_document(doc: np.ndarray, gone: tuple, ask: tuple) -> pa.Table:
-    """A row for each document with the packed ranges gone (rows, start, end) and asked for (rows, start, more, hot)."""
+def by_document(doc: np.ndarray, gone: tuple, ask: tuple | None = None) -> pa.Table:
+    """A row for each document with the packed ranges gone (rows, start, end) and asked for (rows, start, more, hot, anchor)."""
+    ask = ask or (np.zeros(0, np.int64),) * 5
     rows = np.concatenate((gone[0], ask[0]))
     if not len(rows):
         return pa.Table.from_batches([], _OUT)
     ids = np.unique(doc[rows])
+    d, (_, *ranges) = merged_ranges(doc[gone[0]], *gone[1:])
+    order = np.argsort(doc[ask[0]], kind="stable")
     columns = []
-    for part, width in ((gone, 2), (ask, 3)):
-        d = doc[part[0]]
-        order = np.argsort(d, kind="stable")
-        if width == 2:
-            d, part = merged_ranges(d, *part[1:])
-            order = np.arange(len(d))
-        lo, hi = np.searchsorted(d[order], ids), np.searchsorted(d[order], ids, side="right")
-        for values in part[1 : 1 + width]:
-            v = values[order].astype(np.int32)
+    for kind, docs, values in (("gone", d, ranges), ("ask", doc[ask[0]][order], [x[order] for x in ask[1:]])):
+        lo, hi = np.searchsorted(docs, ids), np.searchsorted(docs, ids, side="right")
+        for v, t in zip(values, _RANGES[kind], strict=True):
+            v = v.astype(t)
             columns.append([v[a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
     return pa.Table.from_batches([batch(_OUT, ids, *columns)], _OUT)
 
 
 def compare_regions(posts: DataFrame, width: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        anchor, content, doc, start, more = unpacked(table, _TYPES)
+        anchor, content, check, doc, start, more = unpacked(table, _TYPES)
         known = np.flatnonzero(more < 0)
         live = np.flatnonzero(more >= 0)
-        order, again = repeats(content[live], doc[live], start[live])
+        order, head, again = repeats(content[live], check[live], doc[live], start[live])
         order = live[order]
-        gone = order[again]
-        lead = order[~again]
-        key = content[lead]
-        lead = lead[np.append(True, key[1:] != key[:-1])] if len(lead) else lead
+        gone, lead = order[again], order[head]
         lead = lead[np.argsort(anchor[lead], kind="stable")]
         a = anchor[lead]
-        head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(a)))
+        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(a)))
         size = np.repeat(size, size)
         ask, hot = lead[size > 1], (size > HOT)[size > 1]
         rows = np.concatenate((known, gone))
-        end = np.concatenate((content[known].astype(np.int64), start[gone] + more[gone] + width))
-        return by_document(doc, (rows, start[rows], end), (ask, start[ask], more[ask], hot))
+        length = np.concatenate((-more[known], more[gone] + width))
+        return by_document(doc, (rows, start[rows], start[rows] + length), (ask, start[ask], more[ask], hot, anchor[ask]))
 
     return posts.groupBy("bucket").applyInArrow(run, _OUT_SQL)
 
@@ -158,50 +162,90 @@ def compare_regions(posts: DataFrame, width: int) -> DataFrame:
 _CONTEXT = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("more", pa.int32()), ("bytes", pa.binary())])
 
 
-def contexts(docs: DataFrame, asked: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
+def contexts(docs: DataFrame, asked: DataFrame, buckets: int, width: int) -> DataFrame:
     """The bytes of each region asked for, by anchor; of a hot anchor each window by its own hash."""
-    texts = attach(keyed(docs), asked, "doc_id", "inner").select("doc_id", "text", "ask_start", "ask_more", "ask_hot")
+    names = ("ask_start", "ask_more", "ask_hot", "ask_anchor")
+    texts = attach(keyed(docs), asked, "doc_id", "inner").select("doc_id", "text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                doc, text, starts, mores, hots = (c[i].as_py() for c in b.columns)
+                doc, text, *asks = (c[i].as_py() for c in b.columns)
                 text = text or b""
-                start, more, hot = (np.frombuffer(x, np.int32) for x in (starts, mores, hots))
-                fits = start + more + width <= len(text)
-                start, more, hot = start[fits], more[fits], hot[fits]
-                if not len(start):
-                    continue
-                sequence, first = text_run([text])
-                r: Regions = regions(sequence, len(text), first, width, gram)
-                at = np.minimum(np.searchsorted(r.start, start), len(r.start) - 1)
-                anchor = r.anchor[at]
-                cold = hot == 0
+                start, more, hot, anchor = (np.frombuffer(x, t) for x, t in zip(asks, _RANGES["ask"], strict=True))
+                fits = start.astype(np.int64) + more + width <= len(text)
+                cold, warm = np.flatnonzero(fits & (hot == 0)), np.flatnonzero(fits & (hot != 0))
                 rows = [anchor[cold], start[cold].astype(np.int64), more[cold]]
                 pieces = [text[s : s + m + width] for s, m in zip(start[cold].tolist(), more[cold].tolist(), strict=True)]
-                if not cold.all():
-                    each = np.concatenate([np.arange(s, s + m + 1) for s, m in zip(start[~cold].tolist(), more[~cold].tolist(), strict=True)])
-                    rows = [np.concatenate((rows[0], sequence(each, each + width))), np.concatenate((rows[1], each)), np.concatenate((rows[2], np.zeros(len(each), np.int32)))]
-                    pieces += [text[s : s + width] for s in each.tolist()]
-                yield batch(_CONTEXT, bucket_of(rows[0], buckets), rows[0].view(np.int64), np.full(len(pieces), doc), rows[1], rows[2], pieces)
+                for s, m in zip(start[warm].tolist(), more[warm].tolist(), strict=True):
+                    each = np.arange(m + 1)
+                    own = folded(byte_blocks([text[s : s + m + width]])[0](0, m + width)[0], each, each + width, width)
+                    rows = [np.concatenate(x) for x in zip(rows, (own, s + each, np.zeros(m + 1, np.int32)), strict=True)]
+                    pieces += [text[x : x + width] for x in range(s, s + m + 1)]
+                if pieces:
+                    yield batch(_CONTEXT, bucket_of(rows[0], buckets), rows[0].view(np.int64), np.full(len(pieces), doc), rows[1], rows[2], pieces)
 
     return texts.mapInArrow(run, "bucket int, anchor long, doc long, start long, more int, bytes binary")
 
 
-def suffix_classes(data: np.ndarray, width: int) -> np.ndarray:
-    """A rank for the suffix at each place, by its first `width` bytes (a power of two at least is reached by doubling)."""
-    wide = np.concatenate((data, np.zeros(8, np.uint8)))
-    key = np.zeros(len(data), _U)
-    for j in range(8):
-        key = (key << _U(8)) | wide[j : j + len(data)].astype(_U)
-    rank, length = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
-    while length < width:
-        step = min(length, width - length)
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - step] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1].astype(np.int64)
-        length += step
-    return rank
+_GROUP = 4  # symbols of 9 bits in the first key: a byte plus one, or 0 beyond the piece's end
+
+
+def _order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, which keys in order differ from the one before); keys of `bits` bits are sorted with their places in them."""
+    low = max(len(key) - 1, 1).bit_length()
+    if bits + low > 63:
+        order = np.argsort(key)
+        k = key[order]
+    else:
+        k = np.sort((key << low) | np.arange(len(key)))
+        order = k & ((1 << low) - 1)
+        k >>= low
+    return order, np.append(False, k[1:] != k[:-1])
+
+
+def suffix_array(data: np.ndarray, ends: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of the suffixes of at least `least` symbols of pieces that lie one after another; ends[i] is the end of i's piece.
+
+    Suffixes end with their piece, shorter before longer, equal ones in order of place. lcp[i] is what suffixes
+    order[i - 1] and order[i] have in common, from the ranks of each doubling step.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide, left = np.append(data, np.zeros(_GROUP, np.uint8)), ends - np.arange(n)
+    first = np.zeros(n, np.int64)
+    for j in range(_GROUP):
+        first = (first << 9) | np.where(left > j, wide[j : j + n].astype(np.int64) + 1, 0)
+    key, bits, steps, length, half = first, 9 * _GROUP, [], _GROUP, (n + 1).bit_length()
+    while True:
+        order, new = _order(key, bits)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        steps.append((length, rank.astype(np.int32)))
+        if length >= left.max() or new.sum() == n - 1:
+            break
+        ahead = np.zeros(n, np.int64)
+        inside = np.flatnonzero(left > length)
+        ahead[inside] = rank[inside + length] + 1
+        key, bits, length = (rank << half) | ahead, 2 * half, 2 * length
+    order = _order((rank << half) | np.arange(n), 2 * half)[0] if new.sum() < n - 1 else order
+    order = order[left[order] >= least]
+    a, b = np.append(order[:1], order[:-1]), order
+    common = np.zeros(len(order), np.int64)
+    most = np.minimum(left[a], left[b])
+    for size, ranks in reversed(steps):
+        go = np.flatnonzero(common < most)
+        go = go[ranks[a[go] + common[go]] == ranks[b[go] + common[go]]]
+        common[go] = np.minimum(common[go] + size, most[go])
+    go = np.flatnonzero(common < most)
+    x = first[a[go] + common[go]] ^ first[b[go] + common[go]]  # fewer than _GROUP symbols are left
+    same = np.zeros(len(go), np.int64)
+    for j in range(1, _GROUP):
+        same += (x >> (9 * (_GROUP - j))) == 0
+    common[go] = np.minimum(common[go] + same, most[go])
+    common[:1] = 0
+    return order, common
 
 
 def _smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -210,24 +254,22 @@ def _smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     lcp[i] is shared by i - 1 and i; index -1 stands for none.
     """
     prev, low = np.arange(len(position)) - 1, lcp.copy()
-    todo = np.flatnonzero((prev >= 0) & (position[prev] >= position))
+    todo = np.flatnonzero((prev >= 0) & (position[prev] >= position) & (low > 0))
     while len(todo):
         p = prev[todo]
         low[todo] = np.minimum(low[todo], low[p])
         prev[todo] = prev[p]
         todo = todo[(prev[todo] >= 0) & (position[prev[todo]] >= position[todo]) & (low[todo] > 0)]
-    low[prev < 0] = 0
+    low[(prev < 0) | (position[prev] >= position)] = 0
     return low
 
 
-def previous_factors(rank: np.ndarray, position: np.ndarray, width: int) -> np.ndarray:
-    """Longest previous factor of each suffix, of `width` or (shorter ones) zero: over both smaller neighbours in suffix order."""
-    order = np.lexsort((position, rank))
-    pos, r = position[order], rank[order]
-    same = np.where(np.append(False, r[1:] == r[:-1]), width, 0) if len(r) else np.zeros(0, np.int64)
-    before = _smaller(pos, same)
-    after = _smaller(pos[::-1], np.append(0, same[1:][::-1]) if len(r) else same)[::-1]
-    out = np.zeros(len(rank), np.int64)
+def previous_factors(order: np.ndarray, lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix: the longer of what it shares with the previous and the next smaller position."""
+    pos = position[order]
+    before = _smaller(pos, lcp)
+    after = _smaller(pos[::-1], np.append(0, lcp[1:][::-1]) if len(lcp) else lcp)[::-1]
+    out = np.zeros(len(position), np.int64)
     out[order] = np.maximum(before, after)
     return out
 
@@ -235,17 +277,14 @@ def previous_factors(rank: np.ndarray, position: np.ndarray, width: int) -> np.n
 def compare_suffixes(found: DataFrame, width: int) -> DataFrame:
     def block(doc: np.ndarray, start: np.ndarray, more: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        base = np.cumsum(lengths) - lengths
-        rank = suffix_classes(np.frombuffer(b"".join(pieces), np.uint8), width)
-        each = np.repeat(np.arange(len(pieces)), more + 1)
-        shift = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-        place = start[each] + shift
-        order = np.lexsort((place, doc[each]))
-        position = np.empty(len(each), np.int64)
-        d, p = doc[each][order], place[order]
-        position[order] = np.cumsum(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])))
-        gone = previous_factors(rank[base[each] + shift], position, width) >= width
-        return doc[each][gone], place[gone]
+        piece = np.repeat(np.arange(len(pieces)), lengths)
+        ends = np.cumsum(lengths)
+        shift = np.arange(len(piece)) - (ends - lengths)[piece]
+        at = start[piece] + shift
+        position = (np.unique(doc, return_inverse=True)[1].astype(np.int64)[piece] << 32) | at  # a text has under 2**31 bytes
+        order, lcp = suffix_array(np.frombuffer(b"".join(pieces), np.uint8), ends[piece], width)
+        gone = previous_factors(order, lcp, position) >= width
+        return doc[piece][gone], at[gone]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("anchor")
@@ -262,20 +301,18 @@ def compare_suffixes(found: DataFrame, width: int) -> DataFrame:
             places.append(p)
             lo = hi
         d, p = np.concatenate(docs), np.concatenate(places)
-        none = np.zeros(0, np.int64)
-        return by_document(d, (np.arange(len(d)), p, p + width), (none, none, none, none))
+        return by_document(d, (np.arange(len(d)), p, p + width))
 
     return found.groupBy("bucket").applyInArrow(run, _OUT_SQL)
 
 
 def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, starts, ends): packed ranges to remove of each document that has some."""
-    spark = docs.sparkSession
-    ship(spark)
-    buckets = partitions(spark) * 2
+    ship(docs.sparkSession)
+    buckets = buckets_for(docs)
     first = stored(compare_regions(post_regions(docs, buckets, width, gram), width))
-    asked = stored(first.where("octet_length(ask_start) > 0").groupBy("doc_id").agg(*(F.listagg(c).alias(c) for c in ("ask_start", "ask_more", "ask_hot"))))
-    second = compare_suffixes(contexts(docs, asked, buckets, width, gram), width)
+    asked = first.where("octet_length(ask_start) > 0").groupBy("doc_id").agg(*(F.listagg(c).alias(c) for c in _NAMES[2:]))
+    second = compare_suffixes(contexts(docs, asked, buckets, width), width)
     gone = first.select("doc_id", "gone_start", "gone_end").unionByName(second.select("doc_id", "gone_start", "gone_end")).where("octet_length(gone_start) > 0")
     return gone.groupBy("doc_id").agg(F.listagg("gone_start").alias("starts"), F.listagg("gone_end").alias("ends"))
 
