@@ -5,15 +5,16 @@ merge-joined, bucket by bucket, with the sorted immutable runs that earlier batc
 it also starts in a document with a smaller id.
 
 An entry of a run stands for a region: neighbouring windows that share a content-defined anchor. It holds two
-independent 64-bit hashes of the region's words, so that a match of the first is verified by the second. A region
-equal to that of a smaller document is repeated as a whole. Where an anchor has several different regions, the windows of the batch's
-and the history's regions are fingerprinted one by one from the stored documents and compared. Each batch adds one
-sorted run with the regions that are new; when `max_runs` have gathered they are merged into one (compaction), which
-keeps of each region the smallest document.
+64-bit hashes of the region's words that rest on independent hashes of the words' bytes, so that a match of the first is verified by
+the second. A region equal to that of a smaller document is repeated as a whole. Where an anchor has several different
+regions, the windows of the batch's and the history's regions are fingerprinted one by one from the stored documents and
+compared (`resolve`). Each batch adds one sorted run with the regions that are new; when more than `max_runs` have gathered they are
+merged into one (compaction), which keeps of each region the smallest document. Runs are stored in buckets, so that
+neither a merge-join nor a compaction shuffles them.
 
 Equal regions merge inside each task before the shuffle. Nothing but counts reaches the driver.
 
-Defined results: a null text has no words; texts of fewer words than `width` stay; rows that share an id count as
+Defined results: a null text has no words; texts of fewer words than `width` stay; very long texts are hashed in stretches; rows that share an id count as
 one document and each row has the removed ranges applied; a null id orders last; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -25,18 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.anchors import regions
-from lexloom.llm.common import SPACES, RunHash, Words, attach, batch, chunks, covered, mixed, partitions, ship, stored
+from lexloom.llm.anchors import eights, regions
+from lexloom.llm.common import SPACES, RunHash, Words, attach, batch, buckets_for, chunks, covered, ship, stored_by
 from lexloom.llm.jaccard_join import packed, unpacked
 from lexloom.llm.suffix_dedup import NULL_ID, apply_ranges, bucket_of, keyed, rows_with_ranges
 
 WIDTH, GRAM = 50, 12
-BATCHES, MAX_RUNS = 3, 2
-HELD = 400_000
+BATCHES, MAX_RUNS = 4, 2
+HELD = 200_000
 _U = np.uint64
 
 _NAMES = ("anchor", "content", "check", "doc", "start", "more")
@@ -45,11 +45,6 @@ _RUN = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in _NAMES)])
 _RUN_SQL = "bucket int, " + ", ".join(f"{n} binary" for n in _NAMES)
 
 
-def hashes(texts: list[bytes]) -> tuple[Words, RunHash, RunHash]:
-    w = Words(texts, SPACES, lower=False)
-    return w, RunHash(w.hash), RunHash(mixed(w.hash ^ _U(0x5851F42D4C957F2D)))
-
-
 def _first_of_each(*keys: np.ndarray) -> np.ndarray:
     """Which rows of sorted columns differ from the row before."""
     if not len(keys[0]):
@@ -59,14 +54,20 @@ def _first_of_each(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
+def _sorted(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Entries in the order of a run: anchor, content, check, document, place."""
+    order = np.lexsort(cols[4::-1])
+    return [c[order] for c in cols]
+
+
 def fingerprints(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
     """Packed region entries by anchor bucket. Of equal regions in one stretch of a task all of the smallest document's
     come as entries (more >= 0), and the others as ranges already known to be repeated (more < 0: minus the length)."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        anchor, content, check, doc, start, more = (c[np.lexsort((columns[4], columns[3], columns[2], columns[1]))] for c in columns)
-        head = _first_of_each(content, check)
+        columns = _sorted([np.concatenate(x) for x in zip(*held, strict=True)])
+        anchor, content, check, doc, start, more = columns
+        head = _first_of_each(anchor, content, check)
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = doc != doc[lead]
         spread = anchor.copy()
@@ -77,19 +78,65 @@ def fingerprints(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for ids, texts in chunks(batches):
-            w, one, two = hashes(texts)
-            r = regions(one, len(w), w.first, width, gram)
-            held.append([r.anchor, r.content, two(r.at, r.at + r.more + width), np.array(ids, np.int64)[r.text], r.start, r.more])
-            size += len(r.anchor)
-            if size > HELD:
-                yield from flush(held)
-                held, size = [], 0
+            w = Words(texts, SPACES, lower=False, check=True)
+            for r in regions(lambda lo, hi, w=w: (eights(w.hash[lo:hi]), eights(w.check[lo:hi])), w.first, width, gram):
+                held.append([r.anchor, r.content, r.check, np.array(ids, np.int64)[r.text], r.start, r.more])
+                size += len(r.anchor)
+                if size > HELD:
+                    yield from flush(held)
+                    held, size = [], 0
         if size:
             yield from flush(held)
 
     return docs.mapInArrow(run, _RUN_SQL)
 
 
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Two sorted runs as one, by binary search of the shorter one's keys in the longer, and which rows are b's."""
+    if len(a[0]) < len(b[0]):
+        cols, of_b = _merged(b, a)
+        return cols, ~of_b
+
+    def keys(cols: list[np.ndarray]) -> np.ndarray:
+        wide = np.column_stack([c.view(_U) if c.dtype == np.int64 else c.astype(_U) for c in cols[:5]])
+        return np.ascontiguousarray(wide.astype(">u8")).view("S40").ravel() if len(wide) else np.zeros(0, "S40")
+
+    low = np.searchsorted(a[0], b[0]), np.searchsorted(a[0], b[0], side="right")
+    at = low[0].copy()
+    clash = np.flatnonzero(low[1] > low[0])  # only keys whose anchor is in both runs are compared further
+    if len(clash):
+        rows = np.flatnonzero(covered(len(a[0]), low[0][clash], low[1][clash]))
+        every = np.concatenate((keys([c[rows] for c in a]), keys([c[clash] for c in b])))
+        order = np.argsort(every, kind="stable")
+        from_a = order < len(rows)
+        rank = np.empty(len(every), np.int64)
+        rank[order] = np.cumsum(from_a)
+        smaller = rank[len(rows) :]  # rows of a, among those compared, that come first
+        at[clash] = np.where(smaller > 0, rows[np.maximum(smaller - 1, 0)] + 1, 0)
+        at[clash] = np.maximum(at[clash], low[0][clash])
+    spot = at + np.arange(len(at))
+    of_b = np.zeros(len(a[0]) + len(at), bool)
+    of_b[spot] = True
+    out = []
+    for x, y in zip(a, b, strict=True):
+        c = np.empty(len(of_b), x.dtype)
+        c[of_b], c[~of_b] = y, x
+        out.append(c)
+    return out, of_b
+
+
+def _entries(table: pa.Table) -> list[list[np.ndarray]]:
+    """The runs of a bucket: each row of a run's table is sorted in itself."""
+    return [[np.frombuffer(table.column(n)[i].as_py(), t) for n, t in zip(_NAMES, _TYPES, strict=True)] for i in range(table.num_rows)]
+
+
+def _one(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    runs = runs or [[np.zeros(0, t) for t in _TYPES]]
+    while len(runs) > 1:
+        runs = [_merged(runs[i], runs[i + 1])[0] if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
 _KIND_NEW, _KIND_GONE, _KIND_ASK = 0, 1, 2
 _MERGED = pa.schema([("kind", pa.int32()), *_RUN])
 
@@ -100,20 +147,17 @@ def merge_join(runs: DataFrame | None, fresh: DataFrame, width: int) -> DataFram
     Gives by kind: entries for the batch's run, ranges of the batch that are repeated, and the regions (of batch and
     history) whose windows have to be compared one by one.
     """
-    history = fresh.limit(0) if runs is None else runs
-    both = history.withColumn("age", F.lit(0)).unionByName(fresh.withColumn("age", F.lit(1)))
+    history = fresh.sparkSession.createDataFrame([], _RUN_SQL) if runs is None else runs
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [(age, table.filter(pc.equal(table.column("age"), age))) for age in (0, 1)]
-        columns = [unpacked(t, _TYPES) for _, t in parts]
-        new = np.repeat([False, True], [len(c[0]) for c in columns])
-        cols = [np.concatenate(x) for x in zip(*columns, strict=True)]
+    def run(old: pa.Table, young: pa.Table) -> pa.Table:
+        if not young.num_rows:
+            return pa.Table.from_batches([], _MERGED)
+        number = young.column("bucket")[0].as_py()
+        cols = unpacked(young, _TYPES)
         known = cols[5] < 0
         gone = [c[known] for c in cols]
         gone[5] = -gone[5]
-        cols, new = [c[~known] for c in cols], new[~known]
-        order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-        cols, new = [c[order] for c in cols], new[order]
+        cols, new = _merged(_one(_entries(old)), _sorted([c[~known] for c in cols]))
         anchor, content, check, doc, start, more = cols
         head = _first_of_each(anchor, content, check)
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -131,29 +175,23 @@ def merge_join(runs: DataFrame | None, fresh: DataFrame, width: int) -> DataFram
         out = []
         for kind, rows in ((_KIND_NEW, [c[fresh_rows] for c in cols]), (_KIND_GONE, gone), (_KIND_ASK, [c[asked] for c in cols])):
             if len(rows[0]):
-                bucket = np.full(len(rows[0]), table.column("bucket")[0].as_py(), np.int32)
-                (b,) = packed(_RUN, bucket, *(r.astype(t, copy=False) for r, t in zip(rows, _TYPES, strict=True)))
+                (b,) = packed(_RUN, np.full(len(rows[0]), number, np.int32), *(r.astype(t, copy=False) for r, t in zip(rows, _TYPES, strict=True)))
                 out.append(pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *b.columns], schema=_MERGED))
         return pa.Table.from_batches(out, _MERGED)
 
-    return both.groupBy("bucket").applyInArrow(run, "kind int, " + _RUN_SQL)
+    return history.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInArrow(run, "kind int, " + _RUN_SQL)
 
 
-def compact(runs: list[DataFrame]) -> DataFrame:
-    """Merge runs into one sorted run; of equal regions the smallest document's entry stays."""
-    union = runs[0]
-    for r in runs[1:]:
-        union = union.unionByName(r)
+def compact(runs: DataFrame) -> DataFrame:
+    """Merge the runs of each bucket into one sorted run; of equal regions the smallest document's entry stays."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = unpacked(table, _TYPES)
-        order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-        cols = [c[order] for c in cols]
+        cols = _one(_entries(table))
         keep = _first_of_each(cols[0], cols[1], cols[2])
-        bucket = np.full(int(keep.sum()), table.column("bucket")[0].as_py(), np.int32)
-        return pa.Table.from_batches(packed(_RUN, bucket, *(c[keep] for c in cols)), _RUN)
+        number = np.full(int(keep.sum()), table.column("bucket")[0].as_py(), np.int32)
+        return pa.Table.from_batches(packed(_RUN, number, *(c[keep] for c in cols)), _RUN)
 
-    return stored(union.groupBy("bucket").applyInArrow(run, _RUN_SQL))
+    return runs.groupBy("bucket").applyInArrow(run, _RUN_SQL)
 
 
 _RANGES_SQL = "doc_id long, start binary, end binary"
@@ -177,18 +215,30 @@ _WINDOWS = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("cont
 def compare_windows(docs: DataFrame, asked: DataFrame, buckets: int, width: int) -> DataFrame:
     """Ranges of windows that also start in a smaller document, among the regions asked for."""
     ends = asked.groupBy("doc_id").agg(F.listagg("start").alias("starts"), F.listagg("end").alias("ends"))
-    texts = attach(docs, stored(ends), "doc_id", "inner").select("doc_id", "text", "starts", "ends")
+    texts = attach(docs, ends, "doc_id", "inner").select("doc_id", "text", "starts", "ends")
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        content, check, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from packed(_WINDOWS, bucket_of(content, buckets), content, check, doc, start)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for doc, text, starts, ends in rows_with_ranges(b):
-                w, one, two = hashes([text])
+                w = Words([text], SPACES, lower=False, check=True)
                 ok = ends + width - 1 <= len(w)
                 starts, ends = starts[ok], ends[ok]
-                if len(starts):
-                    each = np.unique(np.concatenate([np.arange(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
-                    content = one(each, each + width)
-                    yield from packed(_WINDOWS, bucket_of(content, buckets), content, two(each, each + width), np.full(len(each), doc), each.astype(np.int32))
+                if not len(starts):
+                    continue
+                each = np.flatnonzero(covered(len(w), starts, ends))
+                one, two = (RunHash(h, (width, width)) for h in (w.hash, w.check))
+                held.append([one(each, each + width), two(each, each + width), np.full(len(each), doc), each.astype(np.int32)])
+                size += len(each)
+                if size > HELD:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
 
     def compare(table: pa.Table) -> pa.Table:
         content, check, doc, start = unpacked(table, [_U, _U, np.int64, np.int32])
@@ -204,25 +254,34 @@ def compare_windows(docs: DataFrame, asked: DataFrame, buckets: int, width: int)
 
 
 class FingerprintIndex:
-    """The runs so far. `ingest` takes the next batch (ids above those seen) and returns its repeated ranges."""
+    """The runs so far. `ingest` takes the next batch (ids above those seen) and gives its ranges that are repeated as whole
+    regions; `resolve` compares the windows that were asked for since the last call, given the texts seen so far."""
 
     def __init__(self, buckets: int, width: int = WIDTH, gram: int = GRAM, max_runs: int = MAX_RUNS):
         self.buckets, self.width, self.gram, self.max_runs = buckets, width, gram, max_runs
         self.runs: list[DataFrame] = []
-        self.seen: DataFrame | None = None
+        self.asked: list[DataFrame] = []
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
-        history = None
+    def _history(self) -> DataFrame | None:
+        out = None
         for r in self.runs:
-            history = r if history is None else history.unionByName(r)
-        merged = stored(merge_join(history, fingerprints(docs, self.buckets, self.width, self.gram), self.width))
-        self.runs.append(merged.where(f"kind = {_KIND_NEW}").drop("kind"))
+            out = r if out is None else out.unionByName(r)
+        return out
+
+    def ingest(self, docs: DataFrame) -> DataFrame:
         if len(self.runs) > self.max_runs:
-            self.runs = [compact(self.runs)]
-        self.seen = docs if self.seen is None else self.seen.unionByName(docs)
-        asked = per_document(merged.where(f"kind = {_KIND_ASK}"), extra=1)  # more + 1 window starts
-        windows = compare_windows(self.seen, asked, self.buckets, self.width)
-        return stored(per_document(merged.where(f"kind = {_KIND_GONE}")).unionByName(windows))
+            self.runs = [stored_by(compact(self._history()).withColumn("kind", F.lit(_KIND_NEW)), "bucket", self.buckets, "kind").drop("kind")]
+        merged = stored_by(merge_join(self._history(), fingerprints(docs, self.buckets, self.width, self.gram), self.width), "bucket", self.buckets, "kind")
+        self.runs.append(merged.where(f"kind = {_KIND_NEW}").drop("kind"))
+        self.asked.append(per_document(merged.where(f"kind = {_KIND_ASK}"), extra=1))  # more + 1 window starts
+        return per_document(merged.where(f"kind = {_KIND_GONE}"))
+
+    def resolve(self, seen: DataFrame) -> DataFrame | None:
+        asked, self.asked = self.asked, []
+        every = None
+        for a in asked:
+            every = a if every is None else every.unionByName(a)
+        return None if every is None else compare_windows(seen, every, self.buckets, self.width)
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -242,11 +301,12 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 def removed_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
     ship(docs.sparkSession)
-    index = FingerprintIndex(partitions(docs.sparkSession) * 2, width, gram, max_runs)
-    gone = None
-    for part in batches_of(keyed(docs), batches):
+    index = FingerprintIndex(buckets_for(docs), width, gram, max_runs)
+    rows, gone = keyed(docs), None
+    for part in batches_of(rows, batches):
         found = index.ingest(part)
         gone = found if gone is None else gone.unionByName(found)
+    gone = gone.unionByName(index.resolve(rows))
     return gone.groupBy("doc_id").agg(F.listagg("start").alias("starts"), F.listagg("end").alias("ends"))
 
 
