@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,9 +32,17 @@ def normalised(c: Column) -> Column:
     return F.array_join(tokens(remove_urls(c)), " ")
 
 
+_BLANKS = "\t\n\x0b\f\r" + "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased words between white space and ASCII punctuation; a null text has none."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), _BLANKS, " " * len(_BLANKS)), " "), lambda w: w != "")
+
+
+def present(c: Column, default=None) -> Column:
+    """The value, or the default where it is null or not a number."""
+    return F.coalesce(F.when(c.cast("string") != "NaN", c), F.lit(default))
 
 
 def without(words: Column, stop: list[str]) -> Column:
@@ -57,9 +67,11 @@ def kgrams(word: Column, k: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 3 - k), lambda i: padded.substr(i, F.lit(k))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def jaccard(a: Column, b: Column, empty_is_equal: bool = False) -> Column:
+    """Jaccard similarity of two sets: 1 if both are empty, or, for shingle sets (empty_is_equal), if either is."""
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    none = (F.size(a) == 0) | (F.size(b) == 0) if empty_is_equal else union == 0
+    return F.when(none, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def html_text(c: Column) -> Column:
@@ -77,7 +89,13 @@ def shortened(c: Column, n: int = 35) -> Column:
 
 
 def highlighted(c: Column, word: str) -> Column:
-    return F.regexp_replace(c, rf"(?i)\b({word})\b", "<mark>$1</mark>")
+    """The word marked wherever it stands alone, in any case; it is taken literally."""
+    return F.regexp_replace(c, rf"(?i)\b({re.escape(word)})\b", "<mark>$1</mark>")
+
+
+def marked(c: Column) -> Column:
+    """A snippet's ***words*** as marked HTML."""
+    return F.regexp_replace(c, r"\*\*\*(.+?)\*\*\*", "<mark>$1</mark>")
 
 
 # ---------------------------------------------------------------- stemming, after M. F. Porter, 1980

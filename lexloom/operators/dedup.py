@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from random import Random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import shingles, tokens
+from lexloom.functions.text import jaccard, shingles, tokens
 
-PRIME, HASHES, BANDS = 268435459, 100, 25
+HASHES, BANDS = 100, 25
+
+
+def next_prime(n: int) -> int:
+    """The smallest prime over n."""
+    n += 1
+    while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+PRIME = next_prime(1 << 28)  # over every 28-bit shingle hash
 _RANDOM = Random(42)
 CONSTANTS = [(_RANDOM.randrange(1, PRIME), _RANDOM.randrange(PRIME)) for _ in range(HASHES)]
 
@@ -45,16 +56,37 @@ def estimated(pairs: DataFrame, sig: DataFrame) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Documents that are the higher one of no candidate pair over the limit."""
+    """Documents that are the higher one of no candidate pair over the limit.
+
+    Of documents with one signature only the smallest can stay, and it is compared for all of them, so copies are not
+    paired with each other."""
     sig = signatures(shingle_rows(docs))
-    gone = estimated(candidates(bands(sig)), sig).where(F.col("similarity") > limit).select(F.col("b").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    hashes = [c for c in sig.columns if c != "doc_id"]
+    least = sig.groupBy(*hashes).agg(F.min("doc_id").alias("doc_id"))
+    copies = sig.select("doc_id").join(least.select("doc_id"), "doc_id", "left_anti") if limit < 1 else sig.select("doc_id").limit(0)
+    gone = estimated(candidates(bands(least)), least).where(F.col("similarity") > limit).select(F.col("b").alias("doc_id"))
+    return docs.join(gone.unionByName(copies).distinct(), "doc_id", "left_anti")
 
 
 def exact_pairs(rows: DataFrame, limit: float = 0.8) -> DataFrame:
-    """(a, b, similarity) over the limit, by counting common shingles."""
-    size = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = rows.join(size, "doc_id")
-    a, b = sized.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "shingle"), sized.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "shingle")
-    both = a.join(b, "shingle").where(f"a < b and least(na, nb) > {limit} * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return both.select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("similarity")).where(F.col("similarity") > limit)
+    """(a, b, similarity) over the limit. Pairs meet by a prefix of their shingles, rarest first, that is long enough for
+    every pair over the limit to share one; then whole sets are compared."""
+    df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    sets = rows.join(df.where("df > 1"), "shingle", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
+    sets = sets.select("doc_id", F.size("s").alias("n"), F.transform("s", lambda x: x["shingle"]).alias("s"), F.transform(F.filter(F.slice("s", 1, (F.size("s") - F.ceil(F.size("s") * limit) + 1).cast("int")), lambda x: x["df"] > 1), lambda x: x["shingle"]).alias("prefix"))
+    short = sets.select("doc_id", "n", F.explode("prefix").alias("shingle"))
+    a, b = short.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "shingle"), short.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "shingle")
+    met = a.join(b, "shingle").where(f"a < b and least(na, nb) > {limit} * greatest(na, nb)").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("similarity")).where(F.col("similarity") > limit)
+
+
+def quality_test(pairs: DataFrame, rows: DataFrame, others: int = 5) -> DataFrame:
+    """The share of candidate pairs (a, b) whose similarity is over that of a with each of `others` documents, drawn by a hash."""
+    sets = rows.groupBy("doc_id").agg(F.collect_list("shingle").alias("s"))
+    a = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
+    near = a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", jaccard(F.col("x"), F.col("y"), True).alias("j"))
+    some = sets.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(others + 2)  # two more, so that a and b can be left out
+    drawn = near.crossJoin(F.broadcast(some)).where("doc_id <> a and doc_id <> b").withColumn("i", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))).where(F.col("i") <= others)
+    per = drawn.groupBy("a", "b", "j").agg(F.max(jaccard(F.col("x"), F.col("s"), True)).alias("other"))
+    return per.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.when(F.col("j") > F.col("other"), 1.0).otherwise(0.0)), 6).alias("better"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
+from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import blocks
 from lexloom.operators.fusion import dot
 from lexloom.operators.index import top
 
@@ -20,18 +22,33 @@ def cosine(a: str, b: str) -> Column:
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine of (query_id, q) against (doc_id, v), itself excluded."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("query_id <> doc_id")
-    return top(pairs.select("query_id", "doc_id", F.round(cosine("q", "v"), 5).alias("score")), k)
+    return top(blocks.best(queries, vectors, k, cosine=True), k)
 
 
 def odd_one_out(groups: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(g, odd) of groups (g, doc_id): the member with the lowest mean cosine to the others; members without a vector are left out."""
+    """(g, odd) of groups (g, doc_id): the member with the lowest mean cosine to the others; members without a vector are left out
+    (see `odd_answers` for questions that must not lack any)."""
     rows = groups.join(vectors, "doc_id")
     a, b = rows.select("g", F.col("doc_id").alias("x"), F.col("v").alias("vx")), rows.select("g", F.col("doc_id").alias("y"), F.col("v").alias("vy"))
     mean = a.join(b, "g").where("x <> y").groupBy("g", "x").agg(F.round(F.avg(cosine("vx", "vy")), 5).alias("m"))
     return mean.groupBy("g").agg(F.min_by("x", F.struct("m", "x")).alias("odd"))
 
 
+def odd_answers(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(g, odd, error) of (g, words array) over (word, v): a question with an unknown word has no answer but names the words."""
+    rows = questions.select("g", F.explode("words").alias("word")).join(vectors.select("word", "v"), "word", "left")
+    lacking = rows.where("v is null").groupBy("g").agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("error"))
+    known = rows.join(lacking, "g", "left_anti")
+    odd = odd_one_out(known.select("g", F.col("word").alias("doc_id")), known.select(F.col("word").alias("doc_id"), "v").dropDuplicates(["doc_id"]))
+    return questions.select("g").join(odd, "g", "left").join(lacking, "g", "left").select("g", "odd", "error")
+
+
+def odd_accuracy(answers: DataFrame, key: DataFrame) -> DataFrame:
+    """Right answers, questions without unknown words, and their ratio, of (g, odd, error) and (g, right)."""
+    x = answers.where("error is null").join(key, "g")
+    return x.agg(F.coalesce(F.sum(F.when(F.col("odd") == F.col("right"), 1).otherwise(0)), F.lit(0)).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.when(F.col("total") > 0, F.round(F.col("correct") / F.col("total"), 6)).otherwise(0.0))
+
+
 def skipgram_pairs(words: DataFrame, window: int = 2) -> DataFrame:
     """(center, context, n) of (doc_id, w array), windows cut at the ends; texts of one word give none."""
     size = F.size("w")
@@ -42,8 +59,33 @@ def skipgram_pairs(words: DataFrame, window: int = 2) -> DataFrame:
 
 
 def label_encode(rows: DataFrame, c: str) -> DataFrame:
-    """(label, code): codes from 0 in sorted order; only the distinct labels are ordered."""
-    return rows.select(F.col(c).alias("label")).distinct().withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+    """(label, code): codes from 0 in sorted order. Labels are classes: one aggregate holds the distinct ones."""
+    return rows.agg(F.array_sort(F.collect_set(c)).alias("all")).select(F.posexplode("all").alias("code", "label")).select("label", "code")
+
+
+def label_decode(rows: DataFrame, codes: DataFrame, c: str = "code") -> DataFrame:
+    """The rows with the label of their code; unknown codes have none."""
+    return rows.join(codes.select(F.col("code").alias(c), "label"), c, "left")
+
+
+def of_top_classes(rows: DataFrame, c: str, k: int = 10) -> DataFrame:
+    """The rows of the k most frequent classes."""
+    return rows.join(top_classes(rows, c, k).select(F.col("label").alias(c)), c, "left_semi").select(*rows.columns)
+
+
+def split(rows: DataFrame, key: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, held out): rows of a hash of the key and the seed under `share` go to training, whatever the partitions."""
+    x = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < round(share * 10_000)
+    return rows.where(x), rows.where(~x)
+
+
+def pooled(rows: DataFrame, layers: str = "layers", mask: str = "mask") -> DataFrame:
+    """(doc_id, layer, cls, mean): a text's first token vector and the mean over unmasked tokens, for each layer of
+    token vectors (array of layers of tokens of numbers)."""
+    x = rows.select("doc_id", mask, F.posexplode(layers).alias("layer", "t"))
+    kept = F.filter(F.zip_with("t", mask, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda p: p["m"] > 0)
+    total = F.aggregate(kept, F.transform(F.col("t")[0], lambda _: F.lit(0.0)), lambda s, p: F.zip_with(s, p["v"], lambda a, b: a + b.cast("double")))
+    return x.select("doc_id", "layer", F.transform(F.col("t")[0], lambda v: v.cast("double")).alias("cls"), F.transform(total, lambda v: v / F.greatest(F.size(kept), F.lit(1))).alias("mean"))
 
 
 def top_classes(rows: DataFrame, c: str, k: int = 10) -> DataFrame:
@@ -51,12 +93,44 @@ def top_classes(rows: DataFrame, c: str, k: int = 10) -> DataFrame:
 
 
 def silhouette(points: DataFrame) -> DataFrame:
-    """Mean Euclidean silhouette of (doc_id, v, label), exact over all pairs; single-member clusters count 0."""
-    a, b = points.select(F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("v").alias("vx")), points.select(F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("v").alias("vy"))
-    gap = F.aggregate(F.zip_with("vx", "vy", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    d = a.crossJoin(b).where("x <> y").groupBy("x", "lx", "ly").agg(F.avg(F.sqrt(gap)).alias("d"))
-    s = d.groupBy("x").agg(F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))).alias("a"), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d"))).alias("b"))
-    return s.agg(F.round(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 5).alias("silhouette"))
+    """Mean Euclidean silhouette of (doc_id, v, label), exact over all pairs in blocks; single-member clusters count 0.
+    Only sums by point and label leave the blocks. With fewer than two labels there is none (null)."""
+    labels = points.select("doc_id", F.col("label").cast("long").alias("own"))
+    d = blocks.distance_sums(points).groupBy("x", "label").agg((F.sum("total") / F.sum("n")).alias("d"), F.sum("n").alias("n")).where("n > 0")
+    s = d.join(labels.withColumnRenamed("doc_id", "x"), "x").groupBy("x").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("d"))).alias("b"))
+    return s.agg(F.round(F.avg(F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 5).alias("silhouette"))
+
+
+def noise_ratio(clusters: DataFrame) -> DataFrame:
+    """Share of points in no cluster (-1), and the number of clusters, of (doc_id, cluster)."""
+    return clusters.agg(F.round(F.avg(F.when(F.col("cluster") == -1, 1.0).otherwise(0.0)), 6).alias("noise_ratio"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"))
+
+
+def inertia(points: DataFrame) -> DataFrame:
+    """Sum of squared distances to the mean of the own cluster, from one pass of sums: for each cluster and coordinate
+    the sum of squares less the squared sum by the count. Of (doc_id, v, cluster)."""
+    x = points.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("q"))
+    return x.agg(F.round(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")), 4).alias("inertia"))
+
+
+def cluster_terms(members: DataFrame, words: DataFrame, labels: DataFrame, terms: int = 12, genres: int = 5, titles: int = 3) -> DataFrame:
+    """By cluster of (doc_id, cluster): its size, top labels with counts, top terms by number of documents, and first members.
+
+    words is (doc_id, term), labels (doc_id, label); ties go by name."""
+    n = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    ranked = lambda rows, c, k: index_top(rows.groupBy("cluster", c).agg(F.count(F.lit(1)).alias("n")), c, k)
+    t = ranked(members.join(words.distinct(), "doc_id"), "term", terms).groupBy("cluster").agg(_listed("term").alias("terms"))
+    g = ranked(members.join(labels, "doc_id"), "label", genres).groupBy("cluster").agg(_listed("label").alias("labels"))
+    first = members.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("doc_id"))).where(F.col("rank") <= titles).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("members"))
+    return n.join(t, "cluster", "left").join(g, "cluster", "left").join(first, "cluster")
+
+
+def index_top(rows: DataFrame, c: str, k: int) -> DataFrame:
+    return top(rows, k, "cluster", "n", c)
+
+
+def _listed(c: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(c).cast("string").alias("c"), F.col("n").cast("string").alias("n")))), lambda x: F.concat(x["c"], F.lit(":"), x["n"])), ",")
 
 
 def cluster_measures(rows: DataFrame) -> DataFrame:
@@ -82,13 +156,14 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
 
 
 def classification_report(rows: DataFrame) -> DataFrame:
-    """Accuracy and macro precision, recall and F1 of (label, predicted)."""
+    """Accuracy, macro and micro precision, recall and F1 of (label, predicted); micro ones pool all classes, so with one
+    label a row they equal the accuracy."""
     t = rows.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
     own = t.groupBy("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
     out = own.join(t.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("said")), "label", "left")
     p, r = F.coalesce(F.col("tp") / F.col("said"), F.lit(0.0)), F.col("tp") / F.col("support")
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return out.agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(p), 6).alias("macro_precision"), F.round(F.avg(r), 6).alias("macro_recall"), F.round(F.avg(f), 6).alias("macro_f1"))
+    return out.agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(p), 6).alias("macro_precision"), F.round(F.avg(r), 6).alias("macro_recall"), F.round(F.avg(f), 6).alias("macro_f1"), F.round(F.sum("tp") / F.sum("support"), 6).alias("micro_f1"))
 
 
 def oversample(rows: DataFrame, c: str, key: str) -> DataFrame:
@@ -112,24 +187,26 @@ def kmeans(points: DataFrame, k: int, seed: int = 42, spherical: bool = False) -
 
 
 def pca_2d(points: DataFrame) -> DataFrame:
+    """(doc_id, x, y): centred points on their first two principal axes, each turned so that its largest weight is positive."""
     x = vectors(points)
     x = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(x).transform(x)
-    y = PCA(k=2, inputCol="centred", outputCol="p").fit(x).transform(x).select("doc_id", vector_to_array("p").alias("p"))
-    return y.select("doc_id", F.abs(F.col("p")[0]).alias("x"), F.abs(F.col("p")[1]).alias("y"))
+    model = PCA(k=2, inputCol="centred", outputCol="p").fit(x)
+    axes = model.pc.toArray()
+    sign = [1.0 if axes[abs(axes[:, i]).argmax(), i] > 0 else -1.0 for i in (0, 1)]
+    y = model.transform(x).select("doc_id", vector_to_array("p").alias("p"))
+    return y.select("doc_id", (F.col("p")[0] * sign[0]).alias("x"), (F.col("p")[1] * sign[1]).alias("y"))
 
 
 def neighbours_within(points: DataFrame, eps: float) -> DataFrame:
     """(a, b) of points with Euclidean distance at most eps, itself included."""
-    a, b = points.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), points.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))
-    gap = F.aggregate(F.zip_with("va", "vb", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    return a.crossJoin(b).where(gap <= eps * eps).select("a", "b")
+    return blocks.within(points, eps)
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int = 5) -> DataFrame:
     """(doc_id, cluster): the smallest core point of the cluster, -1 for noise; a border point joins its smallest core's cluster."""
-    near = neighbours_within(points, eps).cache()
+    near = neighbours_within(points, eps).checkpoint()
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("a")
-    edges = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b").cache()
+    edges = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b").checkpoint()
     label, last = core.withColumn("c", F.col("a")), None
     while True:
         label = edges.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c")).checkpoint()
@@ -141,13 +218,82 @@ def dbscan(points: DataFrame, eps: float, min_points: int = 5) -> DataFrame:
     return points.select("doc_id").join(label.withColumnRenamed("a", "doc_id"), "doc_id", "left").join(border, "doc_id", "left").select("doc_id", F.coalesce("c", "near", F.lit(-1)).alias("cluster"))
 
 
-def word2vec(words: DataFrame, size: int = 32, seed: int = 42) -> DataFrame:
-    return Word2Vec(vectorSize=size, minCount=5, seed=seed, inputCol="w", outputCol="o").fit(words).getVectors().select("word", vector_to_array("vector").alias("vector"))
+HAC_ROWS = 5000
+
+
+def hac(points: DataFrame, k: int, linkage: str = "average", limit: int = HAC_ROWS) -> DataFrame:
+    """(doc_id, cluster): agglomerative clustering of a bounded sample of (doc_id, v) by single, complete or average Euclidean linkage.
+
+    The dendrogram is quadratic in its points, so at most `limit` are taken (the documented bound; more are refused, none
+    dropped). Ties merge the clusters with the smallest members; a cluster is named by its smallest member."""
+    rows = points.select("doc_id", "v").orderBy("doc_id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"agglomerative clustering takes at most {limit} points")
+    ids = np.array([r.doc_id for r in rows], np.int64)
+    if not len(ids):
+        return points.select("doc_id", F.lit(0).cast("long").alias("cluster")).limit(0)
+    x = np.array([r.v for r in rows], np.float64)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)) if len(x) < 600 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    size, owner = np.ones(len(x)), np.arange(len(x))
+    for _ in range(max(len(x) - k, 0)):
+        i, j = divmod(int(d.argmin()), len(x))
+        i, j = min(i, j), max(i, j)
+        new = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])}[linkage]
+        new[[i, j]] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        owner[owner == j] = i
+    return points.sparkSession.createDataFrame([(int(a), int(ids[o])) for a, o in zip(ids, owner, strict=True)], "doc_id long, cluster long")
+
+
+def word2vec(words: DataFrame, size: int = 32, seed: int = 42, save_to: str | None = None) -> DataFrame:
+    """(word, vector) of a skip-gram model over (doc_id, w array), which can be saved and loaded again."""
+    model = Word2Vec(vectorSize=size, minCount=5, seed=seed, inputCol="w", outputCol="o").fit(words)
+    if save_to:
+        model.write().overwrite().save(save_to)
+    return word_vectors(model)
+
+
+def word_vectors(model: Word2VecModel | str) -> DataFrame:
+    """(word, vector) of a model or of the folder that it was saved in."""
+    model = Word2VecModel.load(model) if isinstance(model, str) else model
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vector) of a text file with a word and its numbers in each line; a first line with two counts is skipped."""
+    x = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("p")).where(F.size("p") > 2)
+    return x.select(F.col("p")[0].alias("word"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda v: v.cast("double")).alias("vector"))
+
+
+def subword_grams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """Character grams of <word>, of each length."""
+    w = F.concat(F.lit("<"), word, F.lit(">"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: w.substr(i, F.lit(n)))
+    return F.array_distinct(F.concat(*(of(n) for n in range(low, high + 1))))
+
+
+def subword_vectors(words: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(word, vector) of words outside a vocabulary (word, vector): the mean over their character grams of the mean vector
+    of the vocabulary's words with that gram; words without a known gram have none."""
+    parts = words.select("vector", F.explode(subword_grams(F.col("word"))).alias("gram")).select("gram", F.posexplode("vector").alias("i", "x"))
+    grams = parts.groupBy("gram", "i").agg(F.avg("x").alias("x"))
+    mean = unknown.select("word", F.explode(subword_grams(F.col("word"))).alias("gram")).join(grams, "gram").groupBy("word", "i").agg(F.avg("x").alias("x"))
+    return mean.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
 
 
 def classify(train: DataFrame, test: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, label, predicted) by logistic regression, Gaussian naive Bayes or a perceptron, on (doc_id, v, label)."""
+    """(doc_id, label, predicted) by logistic regression, Gaussian or multinomial naive Bayes or a perceptron, on (doc_id, v, label)
+    or, where there is a column of ready `features`, on that."""
     n = train.agg(F.max("label")).first()[0] + 1
-    width = train.select(F.size("v")).first()[0]
-    est = {"logreg": LogisticRegression(maxIter=30), "bayes": NaiveBayes(modelType="gaussian"), "mlp": MultilayerPerceptronClassifier(layers=[width, 32, n], seed=42, maxIter=50)}[kind]
-    return est.fit(vectors(train)).transform(vectors(test)).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
+    ready = lambda rows: rows if "features" in rows.columns else vectors(rows)
+    est = {"logreg": lambda: LogisticRegression(maxIter=30), "bayes": lambda: NaiveBayes(modelType="gaussian"), "multinomial": lambda: NaiveBayes(modelType="multinomial"), "mlp": lambda: MultilayerPerceptronClassifier(layers=[train.select(F.size("v")).first()[0], 32, n], seed=42, maxIter=50)}[kind]()
+    return est.fit(ready(train)).transform(ready(test)).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+def tfidf(words: DataFrame, size: int = 1 << 12) -> DataFrame:
+    """Adds features: hashed term counts of the array `w`, weighted by inverse document frequency over the rows."""
+    counted = HashingTF(numFeatures=size, inputCol="w", outputCol="_tf").transform(words)
+    return IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted).drop("_tf")

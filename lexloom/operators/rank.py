@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def language_model(p: DataFrame, q: DataFrame, dl: DataFrame, smoothing: str = "
     query with a word that no document has gets probability 0, here -9999.
     """
     cf = p.groupBy("term").agg(F.sum("tf").alias("cf"))
-    total = p.agg(F.sum("tf").alias("c"))
+    total = dl.agg(F.sum("dl").alias("c"))
     qc = q.join(cf, "term", "left").crossJoin(F.broadcast(total)).withColumn("pc", F.coalesce("cf", F.lit(0)) / F.col("c"))
     mu = alpha * F.col("c")
     absent = {"naive": F.col("pc"), "bayes": mu * F.col("pc"), "mixture": (1 - lam) * F.col("pc")}[smoothing]
@@ -62,21 +64,39 @@ def language_model(p: DataFrame, q: DataFrame, dl: DataFrame, smoothing: str = "
 
 
 def fielded(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of the fields' scores; fields of weight 0 are not built."""
+    """Weighted sum of the fields' scores, in decimals, so that its rounding doesn't hang on the order; fields of weight 0 are not built."""
+    every = None
+    for f, s in parts.items():
+        if weights.get(f):
+            s = s.select("query_id", "doc_id", (F.col("score").cast("decimal(20,5)") * F.lit(Decimal(str(weights[f]))).cast("decimal(8,4)")).alias("s"))
+            every = s if every is None else every.unionByName(s)
+    return every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 4).cast("double").alias("score"))
+
+
+def log_mixture(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """Log of the weighted sum of the fields' probabilities; a field where a document has none of the words adds nothing.
+
+    The largest log is taken out before the sum, so long queries don't underflow; probability 0 is -9999."""
     every = None
     for f, s in parts.items():
         if weights.get(f):
-            s = s.select("query_id", "doc_id", (F.col("score") * weights[f]).alias("s"))
+            s = s.where("score > -9999").select("query_id", "doc_id", (F.col("score") + F.log(F.lit(weights[f]))).alias("s"))
             every = s if every is None else every.unionByName(s)
-    return every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
+    logs = every.groupBy("query_id", "doc_id").agg(F.max("s").alias("m"), F.collect_list("s").alias("all"))
+    rest = F.aggregate(F.array_sort("all"), F.lit(0.0), lambda t, x: t + F.exp(x - F.col("m")))
+    return logs.select("query_id", "doc_id", F.round(F.col("m") + F.log(rest), 4).alias("score"))
 
 
 def tiered_search(p: DataFrame, q: DataFrame, dl: DataFrame, n_docs: DataFrame, k: int = 10) -> DataFrame:
-    """Tier by tier with tier-local df, scores adding up; a tier is used while those before it gave fewer than k documents."""
+    """BM25 tier by tier with tier-local df, scores adding up; a tier is used while those before it gave fewer than k documents."""
     df = p.groupBy("tier", "term").agg(F.count(F.lit(1)).alias("df"))
     hit = p.join(q, "term").join(df, ["tier", "term"]).join(dl, "doc_id", "left").crossJoin(F.broadcast(n_docs))
     part = F.col("qtf") * F.log10(F.col("n") / F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    tiers = hit.groupBy("query_id", "doc_id", "tier").agg(F.sum(part).alias("s"))
+    return by_tier(hit.groupBy("query_id", "doc_id", "tier").agg(F.sum(part).alias("s")), k)
+
+
+def by_tier(tiers: DataFrame, k: int) -> DataFrame:
+    """The k best of (query_id, doc_id, tier, s), from as many tiers as it takes to have k documents."""
     first = tiers.groupBy("query_id", "doc_id").agg(F.min("tier").alias("tier"))
     before = first.groupBy("query_id").agg(F.count(F.when(F.col("tier") < 2, 1)).alias("n1"), F.count(F.when(F.col("tier") < 3, 1)).alias("n2"))
     used = tiers.join(before, "query_id").where(f"tier = 1 or (tier = 2 and n1 < {k}) or (tier = 3 and n2 < {k})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import PUNCTUATION, STOPWORDS, tokens, without
+from lexloom.functions.text import PUNCTUATION, STOPWORDS, stem, tokens, without
 
 WINDOW = 5
 
@@ -16,10 +16,15 @@ def raw_tokens(docs: DataFrame) -> DataFrame:
     return rows.withColumn("word", F.regexp_replace(F.lower("tok"), f"^{PUNCTUATION}+|{PUNCTUATION}+$", ""))
 
 
-def snippets(pairs: DataFrame, docs: DataFrame, queries: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(query_id, doc_id, snippet) of (query_id, doc_id) pairs; words hit stand between ***; no hit gives " ... "."""
+def snippets(pairs: DataFrame, docs: DataFrame, queries: DataFrame, n: int = WINDOW, stems: bool = False) -> DataFrame:
+    """(query_id, doc_id, snippet) of (query_id, doc_id) pairs; words hit stand between ***; no hit gives " ... ".
+
+    With `stems`, words are hit that have the stem of a query word."""
     words = queries.select("query_id", F.explode(F.array_distinct(without(tokens(F.col("text")), STOPWORDS))).alias("word"))
     toks = raw_tokens(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    if stems:
+        words = words.select("query_id", stem("word").alias("word")).distinct()
+        toks = toks.join(toks.select("word").distinct().withColumn("stem", stem("word")), "word").select("doc_id", "pos", "tok", F.col("stem").alias("word"))
     hits = pairs.join(words, "query_id").join(toks, ["doc_id", "word"]).groupBy("query_id", "doc_id", "word").agg(F.min("pos").alias("at"))
     span = hits.select("query_id", "doc_id", F.greatest(F.col("at") - n, F.lit(0)).alias("lo"), (F.col("at") + n).alias("hi")).distinct()
     w = Window.partitionBy("query_id", "doc_id").orderBy("lo", "hi")

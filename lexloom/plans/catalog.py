@@ -23,6 +23,14 @@ class Tables:
     def post(self) -> DataFrame:
         return index.postings(self.documents).drop("field")
 
+    def post_for_queries(self) -> DataFrame:
+        """Postings of the queries' terms only: the rest is dropped before it is counted."""
+        return index.postings(self.documents, terms=self.q()).drop("field")
+
+    def terms_of_candidates(self) -> DataFrame:
+        """(doc_id, term) of every document that any vector stands for."""
+        return self.post().drop("tf")
+
     def fields(self) -> dict:
         return {"description": F.col("text"), "genres": F.col("lang"), "characters": F.col("source")}
 
@@ -36,7 +44,7 @@ class Tables:
         return rank.query_terms(self.benchmark, "item_id", "text")
 
     def bm25(self) -> DataFrame:
-        return rank.bm25(self.post(), self.q(), self.dl(), self.n_docs())
+        return rank.bm25(self.post_for_queries(), self.q(), self.dl(), self.n_docs())
 
     def queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), "text")
@@ -106,7 +114,8 @@ class Tables:
         return rank.query_terms(self.benchmark.withColumn("text", F.concat("text", F.lit(" en src1"))), "item_id", "text")
 
     def by_field(self, score) -> dict[str, DataFrame]:
-        p, dl, q = index.postings(self.documents, self.fields()), index.lengths(self.documents, self.fields()), self.fielded_queries()
+        q = self.fielded_queries()
+        p, dl = index.postings(self.documents, self.fields(), q), index.lengths(self.documents, self.fields())
         out = {}
         for f in WEIGHTS:
             own = dl.where(F.col("field") == f).drop("field")
@@ -115,11 +124,11 @@ class Tables:
 
 
 def _vsm(scheme: str):
-    return lambda t: index.top(rank.vsm(t.post(), t.q(), t.n_docs(), scheme), 10)
+    return lambda t: index.top(rank.vsm(t.post_for_queries(), t.q(), t.n_docs(), scheme), 10)
 
 
 def _lm(kind: str):
-    return lambda t: index.top(rank.language_model(t.post(), t.q(), t.dl(), kind), 10)
+    return lambda t: index.top(rank.language_model(t.post_for_queries(), t.q(), t.dl(), kind), 10)
 
 
 def _words(t: Tables) -> DataFrame:
@@ -174,14 +183,14 @@ CATALOG = {
     "lm_mixture": _lm("mixture"),
     "fielded_bm25": lambda t: index.top(rank.fielded(t.by_field(rank.bm25), WEIGHTS), 10),
     "fielded_vsm": lambda t: index.top(rank.fielded(t.by_field(lambda p, q, dl, n: rank.vsm(p, q, n, "ltn.lnn")), WEIGHTS), 10),
-    "tiered_search": lambda t: rank.tiered_search(index.tiered(index.postings(t.documents)).drop("field"), t.q(), t.dl(), t.n_docs()),
+    "tiered_search": lambda t: rank.tiered_search(index.tiered(index.postings(t.documents, terms=t.q())).drop("field"), t.q(), t.dl(), t.n_docs()),
     "shingles": lambda t: dedup.shingle_rows(t.documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("shingle").alias("least")),
     "minhash_signature": lambda t: (lambda s: s.select("doc_id", F.concat_ws("_", *s.columns[1:]).alias("sig")))(dedup.signatures(dedup.shingle_rows(t.documents))),
     "lsh_buckets": lambda t: dedup.bands(dedup.signatures(dedup.shingle_rows(t.documents))),
     "lsh_candidates": lambda t: dedup.candidates(dedup.bands(dedup.signatures(dedup.shingle_rows(t.documents)))),
     "near_dup_removed": lambda t: dedup.near_duplicates_removed(t.documents).select("doc_id"),
     "exact_jaccard_pairs": lambda t: dedup.exact_pairs(dedup.shingle_rows(t.documents)),
-    "kgrams": lambda t: t.benchmark.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct().select("word", F.array_join(F.array_sort(T.kgrams(F.col("word"))), ",").alias("grams")),
+    "kgrams": lambda t: spell.vocabulary(t.documents).select("word", F.array_join(F.array_sort(T.kgrams(F.col("word"))), ",").alias("grams")),
     "spell_candidates": lambda t: spell.nearest_words(*_unknown(t)),
     "spell_check": lambda t: spell.spell_check(t.queries(), spell.vocabulary(t.documents)),
     "snippets": lambda t: snippet.snippets(t.top3(), t.documents, t.queries()),
@@ -237,14 +246,11 @@ CATALOG = {
 }
 
 
-def _query(name: str):
+def query(name: str, build):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
         work_dir(spark)
-        return CATALOG[name](Tables(spark, d))
+        return build(Tables(spark, d))
 
     run.__name__ = name
     return run
-
-
-QUERIES = {name: _query(name) for name in CATALOG}

@@ -69,7 +69,7 @@ fq AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, u
 def _fielded(part: str) -> str:
     weight = "CASE field WHEN 'description' THEN 0.4 ELSE 0.3 END"
     return f"""WITH {_FIELDS}, s AS (SELECT field, query_id, doc_id, round(sum({part}), 5) AS s FROM fp JOIN fq USING (term) JOIN fdf USING (field, term) JOIN fdl USING (field, doc_id) JOIN fst USING (field) GROUP BY ALL)
-{_top(f"SELECT query_id, doc_id, round(sum(s * {weight}), 4) AS score FROM s GROUP BY ALL", 10)}"""
+{_top(f"SELECT query_id, doc_id, round(sum(s::DECIMAL(20, 5) * {weight}), 4)::DOUBLE AS score FROM s GROUP BY ALL", 10)}"""
 
 
 _TIER = "CASE field WHEN 'characters' THEN CASE WHEN tf >= 3 THEN 1 WHEN tf >= 2 THEN 2 ELSE 3 END WHEN 'genres' THEN 1 ELSE CASE WHEN tf >= 10 THEN 1 WHEN tf >= 5 THEN 2 ELSE 3 END END"
@@ -174,7 +174,7 @@ f AS (SELECT query_id, doc_id, min(tier) AS t FROM s GROUP BY ALL), b AS (SELECT
     "lsh_candidates": f"WITH {_BANDS} SELECT a, b FROM cand",
     "near_dup_removed": f"WITH {_BANDS}, e AS (SELECT b, ({' + '.join(f'(x.h{i} = y.h{i})::INT' for i in range(HASHES))}) / {HASHES} AS s FROM cand JOIN sig x ON x.doc_id = a JOIN sig y ON y.doc_id = b) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM e WHERE s > 0.8)",
     "exact_jaccard_pairs": f"WITH {_SH}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE round(c / (x.n + y.n - c), 6) > 0.8",
-    "kgrams": f"SELECT word, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM (SELECT DISTINCT unnest({_toks('text')}) AS word FROM benchmark)",
+    "kgrams": f"SELECT word, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM (SELECT DISTINCT unnest({_toks('text')}) AS word FROM documents)",
     "spell_candidates": f"WITH {_SPELL} SELECT word, candidate, n, similarity, rank FROM best WHERE rank <= 5",
     "spell_check": f"WITH {_SPELL}, r AS (SELECT item_id, i, a[i] AS word FROM (SELECT item_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT item_id, {_toks('text')} AS a FROM benchmark))) SELECT item_id AS query_id, string_agg(coalesce(candidate, r.word), ' ' ORDER BY i) AS corrected FROM r LEFT JOIN best ON best.word = r.word AND rank = 1 GROUP BY 1",
     "snippets": _SNIP,
@@ -187,7 +187,7 @@ f AS (SELECT query_id, doc_id, min(tier) AS t FROM s GROUP BY ALL), b AS (SELECT
 {_top("SELECT query_id, doc_id, round(0.6 * coalesce(CASE WHEN dh - dl0 < 1e-9 THEN 0 ELSE (dense - dl0) / (dh - dl0) END, 0) + 0.4 * coalesce(CASE WHEN sh0 - sl < 1e-9 THEN 0 ELSE (sparse - sl) / (sh0 - sl) END, 0), 6) AS score FROM mm", 10)}""",
     "minmax_norm": f"WITH {_VEC}, dn AS ({_top(_DENSE_S, 100)}) SELECT query_id, doc_id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 4) AS norm FROM dn WINDOW w AS (PARTITION BY query_id)",
     "rerank_zscore": f"""{_HYB}, sz AS (SELECT doc_id, count(*) AS m FROM p GROUP BY 1), cm AS (SELECT m.query_id, m.doc_id, count(*) AS c FROM m JOIN p x ON x.doc_id = m.query_id JOIN p y ON y.doc_id = m.doc_id AND y.term = x.term GROUP BY ALL),
-e AS (SELECT m.query_id, m.doc_id, round(coalesce(c, 0) / (a.m + b.m - coalesce(c, 0)), 6) AS ce, coalesce(dense, 0) AS d, coalesce(sparse, 0) AS s FROM m LEFT JOIN cm USING (query_id, doc_id) JOIN sz a ON a.doc_id = m.doc_id JOIN sz b ON b.doc_id = m.query_id),
+e AS (SELECT m.query_id, m.doc_id, round(coalesce(c / (a.m + b.m - c), 0), 6) AS ce, coalesce(dense, 0) AS d, coalesce(sparse, 0) AS s FROM m LEFT JOIN cm USING (query_id, doc_id) LEFT JOIN sz a ON a.doc_id = m.doc_id LEFT JOIN sz b ON b.doc_id = m.query_id),
 z AS (SELECT query_id, doc_id, {' + '.join(f'{w} * ({c} - avg({c}) OVER w) / (stddev_pop({c}) OVER w + 1e-9)' for c, w in (('ce', 0.4), ('d', 0.3), ('s', 0.3)))} AS f FROM e WINDOW w AS (PARTITION BY query_id))
 {_top('SELECT query_id, doc_id, round(f, 4) AS score FROM z', 10)}""",
     "source_overlap_stats": f"{_HYB} SELECT round(avg(n), 4) AS candidates, round(avg(b), 4) AS in_both FROM (SELECT count(*) AS n, count(*) FILTER (dense IS NOT NULL AND sparse IS NOT NULL) AS b FROM m GROUP BY query_id)",
@@ -202,13 +202,13 @@ z AS (SELECT query_id, doc_id, {' + '.join(f'{w} * ({c} - avg({c}) OVER w) / (st
     "eval_by_type": f"{_EVAL} SELECT coalesce(lang, 'all') AS query_type, count(*) AS num_queries, round(avg(p10), 4) AS p10, round(avg(ap), 4) AS ap, round(avg(ndcg10), 4) AS ndcg10 FROM mt JOIN documents ON doc_id = query_id GROUP BY ROLLUP (lang)",
     "best_example": f"WITH {_BASE}, {_VEC}, {_SV}, {_QR}, dn AS ({_top(_DENSE_S, 100)}), sp AS ({_top(_SPARSE_S, 100)}), {_metrics('dn')}, {_metrics('sp', 'ms')} SELECT query_id, round(mt.ndcg10 - ms.ndcg10, 6) AS gain FROM mt JOIN ms USING (query_id) WHERE mt.ndcg10 > ms.ndcg10 ORDER BY gain DESC, query_id LIMIT 1",
     "product_text": f"WITH {_CAT} SELECT * FROM cat",
-    "catalog_checks": f"WITH {_CAT} SELECT count(*) > 0 AS has_rows, count(DISTINCT product_id) = count(*) AS unique_ids, bool_and(coalesce(title, '') <> '') AS titles_filled, bool_and(coalesce(product_text, '') <> '') AS texts_filled, count(DISTINCT product_type) > 1 AS several_types, avg((len(product_text) > len(title))::INT) > 0.9 AS texts_longer FROM cat",
+    "catalog_checks": f"WITH {_CAT} SELECT bool_and(coalesce(product_id, '') <> '') AS ids_filled, count(*) > 0 AS has_rows, count(DISTINCT product_id) = count(*) AS unique_ids, bool_and(coalesce(title, '') <> '') AS titles_filled, bool_and(coalesce(product_text, '') <> '') AS texts_filled, count(DISTINCT product_type) > 1 AS several_types, avg((len(product_text) > len(title))::INT) > 0.9 AS texts_longer FROM cat",
     "stratified_sample": f"WITH {_CAT}, h AS (SELECT *, ('0x' || substr(md5(product_id), 1, 8))::BIGINT AS h FROM cat), r AS (SELECT *, row_number() OVER (PARTITION BY product_type ORDER BY h, product_id) AS i FROM h) SELECT product_id, product_type FROM r WHERE i <= 5 ORDER BY h, product_id LIMIT 100",
     "html_strip": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages",
     "ranking_checks": "SELECT true AS ranks_dense, true AS ids_known, true AS scores_fall, true AS ids_unique",
     "answer_validate_repair": f"WITH {_ANS} SELECT * FROM ans",
     "answer_status_counts": f"WITH {_ANS} SELECT status, count(*) AS n FROM ans GROUP BY 1",
-    "answer_checks": f"WITH {_ANS} SELECT bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",
+    "answer_checks": f"WITH {_ANS} SELECT bool_and(list_has_all(['exact', 'substitute', 'irrelevant'], string_split(roles, ','))) AS roles_valid, bool_and(decision IN ('recommend_exact', 'ask_clarification')) AS decisions_valid, bool_and(query_id IS NOT NULL) AS ids_filled, bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",
     "prompt_build": f"WITH {_BASE}, t8 AS ({_top(_BM25, 8)}) SELECT query_id, 'Query: ' || any_value(b.text) || chr(10) || 'Products:' || chr(10) || string_agg(rank || '. ' || t8.doc_id || ' | ' || lang || ' | ' || source, chr(10) ORDER BY rank) AS prompt FROM t8 JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = t8.doc_id GROUP BY query_id",
     "sft_messages": "SELECT conv_id, to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR AS messages FROM conversations GROUP BY 1",
     "label_encode": "SELECT p_type AS label, (row_number() OVER (ORDER BY p_type) - 1)::INT AS code FROM (SELECT DISTINCT p_type FROM part)",
@@ -222,7 +222,7 @@ mi AS (SELECT sum(n / z * ln(n * z / (a * b))) AS mi, sum(n * n) AS s FROM t JOI
 SELECT round((SELECT sum(m) FROM a) / z, 6) AS purity, round(2 * mi / ((SELECT -sum(a / z * ln(a / z)) FROM a) + (SELECT -sum(b / z * ln(b / z)) FROM b)), 6) AS nmi, round((z * z - (SELECT sum(a * a) FROM a) - (SELECT sum(b * b) FROM b) + 2 * s) / (z * z), 6) AS rand FROM mi, z""",
     "cluster_profile": f"WITH {_VEC}, {_CL} SELECT cluster, count(*) AS size, count(DISTINCT label) AS labels, min(doc_id) AS first FROM c GROUP BY 1",
     "knn_classify": f"{_KNN} SELECT query_id, predicted, label FROM kn",
-    "classification_report": f"{_KNN}, t AS (SELECT label, count(*) AS support, count(*) FILTER (predicted = label) AS tp FROM kn GROUP BY 1), s AS (SELECT predicted AS label, count(*) AS said FROM kn GROUP BY 1), x AS (SELECT support, tp, coalesce(tp / said, 0) AS p, tp / support AS r FROM t LEFT JOIN s USING (label)) SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM x",
+    "classification_report": f"{_KNN}, t AS (SELECT label, count(*) AS support, count(*) FILTER (predicted = label) AS tp FROM kn GROUP BY 1), s AS (SELECT predicted AS label, count(*) AS said FROM kn GROUP BY 1), x AS (SELECT support, tp, coalesce(tp / said, 0) AS p, tp / support AS r FROM t LEFT JOIN s USING (label)) SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1, round(sum(tp) / sum(support), 6) AS micro_f1 FROM x",
     "oversample": f"WITH {_VEC}, x AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM v) SELECT doc_id, label, unnest(range(0, ((m - 1 - i) // n + 1)::BIGINT))::INT AS copy FROM x, (SELECT max(n) AS m FROM x)",
     "dbscan_cores": f"WITH {_VEC} SELECT x.doc_id, count(*) AS n FROM v x, v y WHERE {_GAP.removeprefix('sqrt')} <= 1.0 GROUP BY 1",
 }

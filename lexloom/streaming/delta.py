@@ -13,9 +13,10 @@ def maintain(docs: DataFrame, path: str, checkpoint: str):
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        new = postings(batch.dropDuplicates(["doc_id"]))
+        batch = batch.dropDuplicates(["doc_id"])
+        new = postings(batch)
         old = latest(spark, path, number)
-        (add(old, new) if old is not None else new).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
+        (add(old, new, batch) if old is not None else new).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import answers, dedup, evalir, fusion, index, rank, snippet
+from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, ml, rank, search, snippet, spell
 from lexloom.sources import tables
 from lexloom.streaming import delta
 
@@ -94,3 +94,176 @@ def test_stream_keeps_the_index(spark, tmp_path):
     q = delta.maintain(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "idx"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(map(tuple, delta.latest(spark, str(tmp_path / "idx"), 1).collect())) == sorted(map(tuple, index.postings(docs).collect()))
+
+
+def test_stems_meet_in_search_and_snippets(spark):
+    docs = spark.createDataFrame([(1, "Many books about hopping"), (2, "one book"), (3, "nothing")], "doc_id long, text string")
+    where = search.Collection(docs, {"description": F.col("text")}, stems=True)
+    q = spark.createDataFrame([(7, "books hop")], "query_id long, text string")
+    assert {r.doc_id for r in search.search(where, q, "okapibm25", {"description": 1.0}).collect()} == {1, 2}
+    plain = search.Collection(docs, {"description": F.col("text")})
+    assert {r.doc_id for r in search.search(plain, q, "bm25", {"description": 1.0}).collect()} == {1}
+    pairs = spark.createDataFrame([(7, 2)], "query_id long, doc_id long")
+    assert one(snippet.snippets(pairs, docs, q, stems=True)).snippet == "one ***book***"
+    fields = {"characters": F.lit("x"), "genres": F.lit("y"), "description": F.col("text")}
+    found = search.search_text(search.Collection(docs, fields), "book", 5, "ltn.lnn").collect()
+    assert [(r.doc_id, r.rank) for r in found] == [(2, 1)]
+    for bad in ({}, {"description": 0}):
+        try:
+            search.search(plain, q, "bm25", bad)
+        except ValueError:
+            continue
+        raise AssertionError("a search without weights must be refused")
+
+
+def test_stored_index_gives_the_same_results(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c d e")], "doc_id long, text string")
+    fields = {"description": F.col("text")}
+    q = spark.createDataFrame([(1, "a c")], "query_id long, text string")
+    stored = search.Collection(docs, fields, postings=index.postings(docs), lengths=index.lengths(docs, fields))
+    for method, safe in (("bm25", True), ("unigram", True), ("lnc.ltc", True), ("ltn.lnn", False)):
+        a, b = (sorted(map(tuple, search.search(w, q, method, {"description": 1.0}, safe).collect())) for w in (stored, search.Collection(docs, fields)))
+        assert a == b and a
+
+
+def test_fielded_probabilities_add_up(spark):
+    a = spark.createDataFrame([(1, 1, math.log(0.2)), (1, 2, -9999.0)], "query_id int, doc_id int, score double")
+    b = spark.createDataFrame([(1, 1, math.log(0.1)), (1, 3, math.log(0.5))], "query_id int, doc_id int, score double")
+    got = {r.doc_id: r.score for r in rank.log_mixture({"x": a, "y": b}, {"x": 0.3, "y": 0.4}).collect()}
+    assert got == {1: round(math.log(0.3 * 0.2 + 0.4 * 0.1), 4), 3: round(math.log(0.2), 4)}
+
+
+def test_array_fields_and_scans(spark):
+    docs = spark.createDataFrame([(1, ["Sci Fi", None, "war"], "the end"), (2, None, None)], "doc_id long, genres array<string>, text string")
+    p = {(r.term, r.doc_id): r.tf for r in index.postings(docs, {"genres": F.col("genres")}).collect()}
+    assert p == {("sci", 1): 1, ("fi", 1): 1, ("war", 1): 1}
+    assert [r.doc_id for r in index.containing(docs, "war", {"g": F.col("genres"), "t": F.col("text")}).collect()] == [1]
+
+
+def test_an_update_to_an_empty_text_drops_the_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string")
+    p = index.postings(docs)
+    empty = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    assert {r.doc_id for r in index.add(p, index.postings(empty), empty).collect()} == {2}
+    schema = "doc_id long, text string"
+    for i, rows in enumerate(([(1, "a b"), (2, "b")], [(1, "")])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        delta.maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "idx"), str(tmp_path / "cp")).awaitTermination(120)
+        assert i == 0 or {r.doc_id for r in delta.latest(spark, str(tmp_path / "idx"), 2).collect()} == {2}
+
+
+def test_prefixes_lose_no_pair(spark):
+    import random
+
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(w for w in base if r.random() > 0.08) + f" x{i % 3}") for i in range(40)]
+    sets = {i: {f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.8}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.a, x.b) for x in dedup.exact_pairs(dedup.shingle_rows(docs)).collect()} == want and want
+    vocab = spark.createDataFrame([("".join(r.choice("abc") for _ in range(r.randint(1, 7))), 1) for _ in range(150)], "word string, n long").dropDuplicates(["word"])
+    words = spark.createDataFrame([("".join(r.choice("abc") for _ in range(r.randint(1, 7))),) for _ in range(30)], "word string").distinct()
+    grams = lambda w: {f"${w}$"[i : i + 2] for i in range(len(w) + 1)}
+    near = {(a.word, b.word) for a in words.collect() for b in vocab.collect() if len(grams(a.word) & grams(b.word)) / len(grams(a.word) | grams(b.word)) > 0.4}
+    assert {(x.word, x.candidate) for x in spell.nearest_words(words, vocab, best=1000).collect()} == near
+    assert dedup.PRIME == 268435459 and [dedup.next_prime(n) for n in (0, 1, 2, 13)] == [2, 2, 3, 17]
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    import numpy as np
+    from lexloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    x = np.random.default_rng(0).normal(size=(60, 5)).round(3)
+    x[5] = x[9] = x[20]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(100, None, 0), (101, [None] * 5, 1)], "doc_id long, v array<double>, label int").repartition(4)
+    q = rows.where("doc_id < 20 or doc_id >= 100").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    got = {}
+    for h in fusion.dense_search(q, rows, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(h.query_id, []).append(h.doc_id)
+    assert got == {i: sorted((j for j in range(60) if j != i), key=lambda j, i=i: (-round(float(x[i] @ x[j]), 5), j))[:4] for i in range(20)}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    good = rows.where("doc_id < 100")
+    assert {(r.a, r.b) for r in ml.neighbours_within(good, 1.2).collect()} == {(i, j) for i in range(60) for j in range(60) if d[i, j] <= 1.2}
+    s = []
+    for i in range(60):
+        mean = [np.mean([d[i, j] for j in range(60) if j % 3 == c and j != i]) for c in range(3)]
+        a, b = mean[i % 3], min(m for c, m in enumerate(mean) if c != i % 3)
+        s.append((b - a) / max(a, b))
+    assert math.isclose(one(ml.silhouette(good)).silhouette, np.mean(s), abs_tol=2e-5)
+
+
+def test_agglomerative_clusters(spark):
+    points = [(i, [float(c * 10 + i % 4), float(i % 3)]) for c in range(3) for i in range(c * 20, c * 20 + 12)]
+    df = spark.createDataFrame(points, "doc_id long, v array<double>")
+    for linkage in ("single", "complete", "average"):
+        assert {r.doc_id: r.cluster for r in ml.hac(df, 3, linkage).collect()} == {i: i // 20 * 20 for i, _ in points}
+    assert ml.hac(df.limit(0), 3).count() == 0
+    try:
+        ml.hac(df, 3, limit=5)
+    except ValueError:
+        return
+    raise AssertionError("more points than the limit must be refused")
+
+
+def test_models_and_vectors(spark, tmp_path):
+    words = spark.createDataFrame([(i, ["red", "fox", "runs"] if i % 2 else ["blue", "bird", "sings"]) for i in range(60)], "doc_id long, w array<string>")
+    made = {r.word: r.vector for r in ml.word2vec(words, 4, save_to=str(tmp_path / "m")).collect()}
+    assert {r.word: r.vector for r in ml.word_vectors(str(tmp_path / "m")).collect()} == made
+    (tmp_path / "v.txt").write_text("2 2\nfox 1.0 2.0\nbox 3.0 4.0\n")
+    read = ml.read_word_vectors(spark, str(tmp_path / "v.txt"))
+    got = {r.word: r.vector for r in ml.subword_vectors(read, spark.createDataFrame([("foxy",), ("zzz",)], "word string")).collect()}
+    assert set(got) == {"foxy"} and got["foxy"] == [1.0, 2.0]
+    noisy = spark.createDataFrame([(1, -1), (2, 5), (3, 5), (4, 7)], "doc_id long, cluster long")
+    assert tuple(one(ml.noise_ratio(noisy))) == (0.25, 2)
+
+
+def test_axes_keep_their_signs(spark):
+    points = spark.createDataFrame([(i, [float(i), 0.5 * i, (-1.0) ** i]) for i in range(10)], "doc_id long, v array<double>")
+    x = {r.doc_id: r.x for r in ml.pca_2d(points).collect()}
+    assert [x[i] < x[i + 1] for i in range(9)] == [True] * 9 and x[0] < 0 < x[9]
+
+
+def test_sources_of_the_product_search(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a"]), (2, [])], "doc_id long, w array<string>")
+    tables.write_json_array(df, str(tmp_path / "a"))
+    assert sorted(map(tuple, tables.read_json_array(spark, str(tmp_path / "a"), "doc_id long, w array<string>").collect())) == [(1, ["a"]), (2, [])]
+    (tmp_path / "im.csv").write_text("image_id,height,width,path\nx,1,2,a/b.jpg\n")
+    assert tuple(one(tables.read_image_metadata(spark, str(tmp_path / "im.csv")))) == ("x", 1, 2, "a/b.jpg")
+    (tmp_path / "l.json").write_text('{"item_id":"i","item_name":[{"language_tag":"de_DE","value":"Stuhl"},{"language_tag":"en_US","value":"Chair"}],"main_image_id":"x"}\n')
+    listing = tables.read_listings(spark, str(tmp_path / "l.json"))
+    assert one(listing.select(catalogue.preferred(F.col("item_name")).alias("t"))).t == "Chair"
+    for bad in (lambda: tables.manifest(spark, {"num_products": "1"}, str(tmp_path / "m")), lambda: tables.aligned(df, df.where("doc_id = 1")), lambda: catalogue.build_corpus(df)):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError("must be refused")
+    tables.manifest(spark, dict.fromkeys(tables.MANIFEST_FIELDS, "x"), str(tmp_path / "m"))
+    encode = lambda q: q.select("query_id", F.lit(0).alias("n"))
+    q = spark.createDataFrame([("a",)], "query_id string")
+    assert tables.cached(q, str(tmp_path / "c"), encode, F.col("n") > 0).count() == 0
+    tables.write_markdown(df.select("doc_id"), "t", str(tmp_path / "r"))
+    assert "| 1 |" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect())
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
+    assert {r.word: r.n for _ in (1, 2) for r in tables.vocabulary_cache(docs, str(tmp_path / "v")).collect()} == {"a": 2, "b": 1}
+    r = one(spark.sql("select double('nan') a, cast(null as double) b, 1.0d c").select(*(T.present(F.col(c), 0.0).alias(c) for c in "abc")))
+    assert tuple(r) == (0.0, 0.0, 1.0)
+
+
+def test_toy_metrics_of_lists(spark):
+    rows = spark.createDataFrame([(1, ["a", "c", "x"], ["a", "b", "c"]), (2, ["q"], []), (3, [], ["z"])], "query_id int, actual array<string>, predicted array<string>")
+    m = one(evalir.calculate(rows))
+    assert m.queries == 3 and math.isclose(m.precision, 2 / 9, abs_tol=1e-6) and math.isclose(m.map, 5 / 27, abs_tol=1e-6) and math.isclose(m.mrr, 1 / 3, abs_tol=1e-6)
+    try:
+        evalir.calculate(rows.withColumn("predicted", F.when(F.col("query_id") > 1, F.col("predicted"))))
+    except ValueError:
+        return
+    raise AssertionError("a missing list must be refused")
+
+
+def test_words_are_marked_literally(spark):
+    df = spark.sql("select 'c++ and C++ x' t, 'a ***b*** c' s")
+    assert one(df.select(T.highlighted(F.col("t"), "c.+").alias("x"))).x == "c++ and C++ x"
+    assert one(df.select(T.marked(F.col("s")).alias("x"))).x == "a <mark>b</mark> c"

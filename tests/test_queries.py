@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalog, oracle
+from lexloom.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -22,15 +22,15 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
-    if name not in oracle.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert got
         return
-    r = duck.sql(oracle.ORACLE_SQL[name])
+    r = duck.sql(ORACLE_SQL[name])
     assert sorted(r.columns) == columns
     at = [r.columns.index(c) for c in columns]
     assert got == sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=str)
