@@ -9,18 +9,20 @@ form one class, named by a 64-bit sum over the set, and take part as one.
 2. Order by the grams' rarity. Within that prefix tokens are ordered by document frequency, then hash. The rarest common
    token of a linked pair is followed by c - 1 common ones, so dropping the c - 1 most frequent of a prefix never loses
    it, while frequent passages drop out. Classes left with fewer than c shared tokens are out.
-3. The same with other ties, by a second hash. A candidate pair must share a kept token in this order too; the
-   filters are intersected before verification.
+3. Two orders by independent scramblings of the tokens, over the whole sets. Linked sets share a token among the first
+   `n - ceil(t n) + 1` of each in any order; a candidate pair must do so in both, or is out before verification. Sets
+   with little in common seldom do.
 4. Verification compares the sets. All members of a token's bucket are first compared with a pivot, the class that
    shares most. The links found give components; then, among the members that met one pivot, those outside its component
    are compared with each other and with its component, in tiles of at most TILE by TILE. So a group of thousands of
-   near copies costs about one comparison each, and no link between components is lost.
+   near copies costs about one comparison each, and no link between components is lost. `pairs` instead compares all
+   members that met a pivot with each other, and gives every link between different sets.
 
 Tokens move as packed arrays, a few rows for each task.
 
 Defined results: a text of fewer words than the gram is one gram; null and empty texts have an empty set, no links
 and their own id as component; rows with equal ids are judged one by one and each get their row; a null id takes
-the smallest id of its component, and null if there is none; an empty table gives an empty result; other columns
+the smallest id of its component, and null if there is none; very long texts are hashed in one piece; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -34,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACES, RunHash, Words, as_bytes, attach, batch, chunks, mixed, partitions, ship, stored
+from lexloom.llm.common import SPACES, RunHash, Words, as_bytes, attach, batch, buckets_for, chunks, mixed, ship, stored
 from lexloom.llm.components import components
 from lexloom.llm.masked_lm import word_counts
 
 GRAM, PERCENT = 5, 75
 SLACK = 16
 WORDS, TILE = 4096, 1024
-HELD = 800_000
+HELD = 200_000
+_ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 _U = np.uint64
 
@@ -65,7 +68,7 @@ class WordScores:
 def token_sets(texts: list[bytes], gram: int = GRAM, scores: WordScores | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, first, estimates): the sorted distinct gram hashes of text i are tokens[first[i]:first[i + 1]]."""
     w = Words(texts, SPACES, lower=True)
-    run = RunHash(w.hash)
+    run = RunHash(w.hash, (1, gram))
     start, text = w.windows(gram)
     end = start + gram
     counts = np.diff(w.first)
@@ -181,55 +184,63 @@ def shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
     return prefixes.groupBy("bucket").applyInArrow(run, "bucket int, cls binary, token binary, n binary, df binary")
 
 
-_KEPT = pa.schema([("token", pa.int64()), ("ord", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
+_KEPT = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
 
 
 def rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """A row for each token that a class keeps under an order by rarity: ord 0 breaks ties by hash, ord 1 by another.
+    """A row for each token that a class keeps in the order by rarity.
 
     The weight, how much of the set is shared with how many, ranks classes as pivots."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, token, n, df = unpacked(table, [_U, _U, np.int32, np.int32])
-        out = []
-        for k, tie in enumerate((token, mixed(token ^ _U(0xA24BAED4963EE407)))):
-            order = np.lexsort((tie, df, cls))
-            c, size = cls[order], n[order]
-            start = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-            count = np.diff(np.append(start, len(c)))
-            rank = np.arange(len(c)) - np.repeat(start, count)
-            least = slack(size)
-            kept = (np.repeat(count, count) >= least) & (rank < np.repeat(count, count) - (least - 1))
-            sums = np.concatenate(([0.0], np.cumsum(np.log2(df[order]))))
-            weight = np.repeat(sums[np.append(start[1:], len(c))] - sums[start], count) * 1000 / size if len(c) else np.zeros(0)
-            out.append((token[order][kept], np.full(kept.sum(), k, np.int32), c[kept], size[kept], weight[kept].astype(np.int64)))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.Table.from_batches([batch(_KEPT, cols[0].view(np.int64), cols[1], cols[2].view(np.int64), cols[3].astype(np.int64), cols[4])], _KEPT)
-
-    return shared.groupBy("bucket").applyInArrow(run, "token long, ord int, cls long, n long, weight long")
-
-
-def candidate_sets(docs: DataFrame, sig: DataFrame, kept: DataFrame, gram: int) -> DataFrame:
-    """(cls, tokens): the whole set, sorted, of each class that is still in, from its first document."""
-    least = stored(sig.where("doc_id is not null").join(kept.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    chosen = attach(as_bytes(docs), least, "doc_id", "inner").select("cls", "text")
+        order = np.lexsort((token, df, cls))
+        c, size = cls[order], n[order]
+        start = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(c)))
+        rank = np.arange(len(c)) - np.repeat(start, count)
+        least = slack(size)
+        kept = (np.repeat(count, count) >= least) & (rank < np.repeat(count, count) - (least - 1))
+        sums = np.concatenate(([0.0], np.cumsum(np.log2(df[order]))))
+        weight = np.repeat(sums[np.append(start[1:], len(c))] - sums[start], count) * 1000 / size if len(c) else np.zeros(0)
+        return pa.Table.from_batches([batch(_KEPT, token[order][kept].view(np.int64), c[kept].view(np.int64), size[kept].astype(np.int64), weight[kept].astype(np.int64))], _KEPT)
+
+    return shared.groupBy("bucket").applyInArrow(run, "token long, cls long, n long, weight long")
+
+
+def scrambled_prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 tokens in an order by scrambling, cut to 32 bits (which can only add agreements)."""
+    h = np.sort(mixed(tokens ^ _U(order)))
+    return (h[: len(h) - int(need(np.int64(len(h)), percent)) + 1] >> _U(32)).astype(np.uint32).view(np.int32)
+
+
+def candidate_sets(docs: DataFrame, sig: DataFrame, kept: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(cls, tokens, second, third): the whole set, sorted, of each class that is still in, from its first document, and
+    its prefixes under the two scrambled orders. A class without an id is found by its key."""
+    least = stored(sig.join(kept.select("cls").distinct().hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    chosen = attach(as_bytes(docs), least.where("doc_id is not null"), "doc_id", "inner").select("cls", "text")
+    nameless = as_bytes(docs.where("doc_id is null")).select(F.lit(None).cast("long").alias("cls"), "text")
+    schema = pa.schema([("cls", pa.int64()), ("tokens", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
         for wanted, texts in chunks(batches):
             token, first, _ = token_sets(texts, gram)
             own = class_keys(token, first).view(np.int64).tolist()
-            rows = [i for i, c in enumerate(wanted) if own[i] == c]
-            yield batch(schema, [wanted[i] for i in rows], [token[first[i] : first[i + 1]].tobytes() for i in rows])
+            rows = [i for i, c in enumerate(wanted) if (c is None or own[i] == c) and first[i + 1] > first[i]]
+            sets = [token[first[i] : first[i + 1]] for i in rows]
+            yield batch(schema, [own[i] for i in rows], [x.tobytes() for x in sets], *([scrambled_prefix(x, o, percent) for x in sets] for o in _ORDERS))
 
-    return chosen.mapInArrow(run, "cls long, tokens binary")
+    sql = "cls long, tokens binary, second array<int>, third array<int>"
+    rest = attach(nameless.mapInArrow(run, sql), least.where("doc_id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return chosen.mapInArrow(run, sql).unionByName(rest)
 
 
-def verified(pairs: DataFrame, second: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs that also share a kept token in the second order; the others can't be linked."""
-    both = pairs.join(second.select(F.col("cls").alias("a"), F.col("kept").alias("ka")), "a").join(second.select(F.col("cls").alias("b"), F.col("kept").alias("kb")), "b")
-    some = both.where(F.arrays_overlap("ka", "kb")).select("a", "b")
-    full = some.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of the pairs that share a token in both scrambled prefixes; the others can't be linked."""
+    side = lambda x, *names: sets.select(F.col("cls").alias(x), *(F.col(n).alias(f"{n}_{x}") for n in names)).hint("merge")
+    both = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b")
+    some = both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    full = some.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").select("a", "b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -254,27 +265,26 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        m = np.zeros((len(sets), 2048), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def compare_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join different components, among the classes of each tile (p, i, j): side 0 with side 1, or i = j."""
+def compare_tiles(members: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links among the classes of each tile (p, i, j), side 0 with side 1, or all if there is one side: those that join
+    different components, or every one."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp, side = (table.column(n).to_numpy() for n in ("cls", "comp", "side"))
         tokens = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
         size = np.array([len(x) for x in tokens])
-        common = overlaps(tokens)
-        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-        linked &= (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[0] == side[-1]) & (side.min() == side.max()))
+        common, one_side = overlaps(tokens), side.min() == side.max()
         parent = {c: c for c in comp.tolist()}
 
         def root(x: int) -> int:
@@ -283,14 +293,20 @@ def compare_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-            x, y = root(int(comp[i])), root(int(comp[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((cls[i], cls[j]))
+        for lo in range(0, len(cls), 128):
+            rows = slice(lo, lo + 128)
+            both = common[rows].astype(np.int64)
+            linked = (100 * both >= percent * (size[rows, None] + size[None, :] - both)) & (np.arange(len(cls)) > np.arange(len(cls))[rows, None])
+            linked &= one_side | (side[rows, None] != side[None, :])
+            linked &= (cls[rows, None] != cls[None, :]) if every else (comp[rows, None] != comp[None, :])
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = root(int(comp[lo + i])), root(int(comp[j]))
+                if every or x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((cls[lo + i], cls[j]))
         return pa.Table.from_batches([batch(_LINK, [o[0] for o in out], [o[1] for o in out])], _LINK)
 
-    full = members.join(sets, "cls")
+    full = members.join(sets.select("cls", "tokens").hint("merge"), "cls")
     return full.groupBy("p", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -307,19 +323,22 @@ def tiles(met: DataFrame, tile: int) -> DataFrame:
     return home.unionByName(away).unionByName(among)
 
 
-def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(signatures, links): a row per document, and verified links (a, b) of classes that connect all that is linked."""
-    spark = docs.sparkSession
-    ship(spark)
-    buckets = partitions(spark) * 2
+def candidates(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, sets, met): a row per document, the sets of classes still in, and the classes b that met a pivot a."""
+    ship(docs.sparkSession)
+    buckets = buckets_for(docs)
     sig = stored(signatures(docs, gram))
     kept = stored(rare_prefixes(shared_tokens(word_prefixes(docs, gram, percent, buckets, WordScores(docs)), buckets), percent))
-    sets = stored(candidate_sets(docs, sig, kept, gram))
-    second = stored(kept.where("ord = 1").groupBy("cls").agg(F.collect_list("token").alias("kept")))
-    first = kept.where("ord = 0").select("token", "cls", "n", "weight")
-    pivot = first.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = stored(first.join(pivot, "token").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.expr(f"{percent} * greatest(n, p.n) <= 100 * least(n, p.n)").alias("fits")).distinct())
-    found = stored(verified(met.where("a <> b and fits").select("a", "b"), second, sets, percent)).where("linked").select("a", "b")
+    sets = stored(candidate_sets(docs, sig, kept, gram, percent))
+    pivot = kept.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = stored(kept.join(pivot.hint("merge"), "token").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.expr(f"{percent} * greatest(n, p.n) <= 100 * least(n, p.n)").alias("fits")).distinct())
+    return sig, sets, met
+
+
+def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(signatures, links): a row per document, and verified links (a, b) of classes that connect all that is linked."""
+    sig, sets, met = candidates(docs, gram, percent)
+    found = stored(verified(met.where("a <> b and fits").select("a", "b"), sets, percent)).where("linked").select("a", "b")
     label = stored(components(found, "a", "b"))
     named = attach(met.select(F.col("a").alias("p"), F.col("b").alias("cls")), label.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     named = attach(named, label.select(F.col("node").alias("p"), F.col("component").alias("home")), "p")
@@ -327,13 +346,21 @@ def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int =
     return sig, found.unionByName(stored(compare_tiles(rest, sets, percent)))
 
 
+def pairs(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(signatures, links): a row per document with its class, and every link (a < b) between classes."""
+    sig, sets, met = candidates(docs, gram, percent)
+    rest = stored(tiles(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), F.col("b").alias("comp"), F.col("a").alias("home")), tile))
+    found = compare_tiles(rest, sets, percent, every=True)
+    return sig, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     sig, found = links(docs, gram, percent)
     label = components(found, "a", "b").withColumnRenamed("node", "cls")
     classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = classes.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = attach(classes, label, "cls").withColumn("component", F.coalesce("component", "cls"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = stored(named.join(ids, "component").select("cls", "component_id"))
+    by_class = attach(named, ids, "component", "inner").select("cls", "component_id")
     full = attach(sig.withColumn("cls", F.expr("if(n > 0, cls, null)")), by_class, "cls")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
