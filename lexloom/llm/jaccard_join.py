@@ -14,7 +14,7 @@ form one class, named by a 64-bit sum over the set, and take part as one.
    with little in common seldom do.
 4. Verification compares the sets. All members of a token's bucket are first compared with a pivot, the class that
    shares most. The links found give components; then, among the members that met one pivot, those outside its component
-   are compared with each other and with its component, in tiles of at most TILE by TILE. So a group of thousands of
+   are compared with each other and with its component, in tiles of about TILE by TILE sets or TILE_TOKENS tokens a side. So a group of thousands of
    near copies costs about one comparison each, and no link between components is lost. `pairs` instead compares all
    members that met a pivot with each other, and gives every link between different sets.
 
@@ -42,7 +42,7 @@ from lexloom.llm.masked_lm import word_counts
 
 GRAM, PERCENT = 5, 75
 SLACK = 16
-WORDS, TILE = 4096, 1024
+WORDS, TILE, TILE_TOKENS = 4096, 512, 1 << 18
 HELD = 200_000
 _ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
@@ -313,8 +313,10 @@ def compare_tiles(members: DataFrame, sets: DataFrame, percent: int, every: bool
 def tiles(met: DataFrame, tile: int) -> DataFrame:
     """(p, i, j, side, cls, comp): of the classes that met pivot p, those outside its component (side 1) in tiles with
     each other (j <= -1 stands for a tile of theirs) and with its component (side 0)."""
-    count = met.groupBy("p").agg(F.sum(F.when(F.col("comp") != F.col("home"), 1).otherwise(0)).alias("n1"), F.count(F.lit(1)).alias("n")).where("n1 > 0")
-    sized = met.join(count, "p").select("p", "cls", "comp", F.expr("if(comp = home, 0, 1)").alias("side"), F.ceil(F.col("n1") / tile).cast("int").alias("t1"), F.ceil((F.col("n") - F.col("n1")) / tile).cast("int").alias("t0"))
+    away = F.col("comp") != F.col("home")
+    load = F.lit(1 / tile) + F.col("n") / TILE_TOKENS  # of a tile, by number of sets and by tokens
+    count = met.groupBy("p").agg(F.sum(F.when(away, load).otherwise(0.0)).alias("l1"), F.sum(F.when(away, 0.0).otherwise(load)).alias("l0")).where("l1 > 0")
+    sized = met.join(count, "p").select("p", "cls", "comp", F.expr("if(comp = home, 0, 1)").alias("side"), F.ceil("l1").cast("int").alias("t1"), F.ceil("l0").cast("int").alias("t0"))
     spot = F.pmod(F.xxhash64("cls"), F.when(F.col("side") == 1, F.col("t1")).otherwise(F.greatest("t0", F.lit(1)))).cast("int")
     placed = sized.withColumn("s", spot)
     home = placed.where("side = 0").select("p", F.explode(F.expr("sequence(0, t1 - 1)")).alias("i"), F.col("s").alias("j"), "side", "cls", "comp")
@@ -324,14 +326,14 @@ def tiles(met: DataFrame, tile: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, gram: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, sets, met): a row per document, the sets of classes still in, and the classes b that met a pivot a."""
+    """(signatures, sets, met): a row per document, the sets of classes still in, and the classes b (of n tokens) that met a pivot a."""
     ship(docs.sparkSession)
     buckets = buckets_for(docs)
     sig = stored(signatures(docs, gram))
     kept = stored(rare_prefixes(shared_tokens(word_prefixes(docs, gram, percent, buckets, WordScores(docs)), buckets), percent))
     sets = stored(candidate_sets(docs, sig, kept, gram, percent))
     pivot = kept.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = stored(kept.join(pivot.hint("merge"), "token").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.expr(f"{percent} * greatest(n, p.n) <= 100 * least(n, p.n)").alias("fits")).distinct())
+    met = stored(kept.join(pivot.hint("merge"), "token").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), "n", F.expr(f"{percent} * greatest(n, p.n) <= 100 * least(n, p.n)").alias("fits")).distinct())
     return sig, sets, met
 
 
@@ -340,16 +342,16 @@ def links(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int =
     sig, sets, met = candidates(docs, gram, percent)
     found = stored(verified(met.where("a <> b and fits").select("a", "b"), sets, percent)).where("linked").select("a", "b")
     label = stored(components(found, "a", "b"))
-    named = attach(met.select(F.col("a").alias("p"), F.col("b").alias("cls")), label.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
+    named = attach(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), "n"), label.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     named = attach(named, label.select(F.col("node").alias("p"), F.col("component").alias("home")), "p")
-    rest = stored(tiles(named.select("p", "cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("home", "p").alias("home")), tile))
+    rest = stored(tiles(named.select("p", "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("home", "p").alias("home")), tile))
     return sig, found.unionByName(stored(compare_tiles(rest, sets, percent)))
 
 
 def pairs(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): a row per document with its class, and every link (a < b) between classes."""
     sig, sets, met = candidates(docs, gram, percent)
-    rest = stored(tiles(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), F.col("b").alias("comp"), F.col("a").alias("home")), tile))
+    rest = stored(tiles(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), "n", F.col("b").alias("comp"), F.col("a").alias("home")), tile))
     found = compare_tiles(rest, sets, percent, every=True)
     return sig, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
