@@ -21,6 +21,7 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lexloom-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
