@@ -1,18 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-`build_index` stores training token postings: the documents are cut into shards and each shard becomes one row with,
-for each term, the sorted positions where it occurs. A posting list holds places in the shard's word sequence, so
+`build_index` stores training token postings, once for any benchmark: the documents are cut into shards and each shard becomes one row with,
+for each of its terms, the sorted positions where it occurs. A posting list holds places in the shard's word sequence, so
 that one number gives document and position, and a gap is left between documents so that no phrase crosses them.
 `search` takes the benchmark in blocks of at most `block_terms` words. For each test phrase it starts from the posting
 list of the term that is rarest in the whole training corpus, and intersects the lists of the others, each shifted by
 its offset in the phrase, from the rarest on. What is left are exact phrase matches; a proximity match needs the
 phrase's rarest terms only within `slop` words of each other, in any order.
 
-The index keeps postings of terms that the benchmark uses (others can't be in a match), never leaves its shard and
-is written to the shared folder. Each block of the benchmark that is sent to the executors has a fixed bound.
+The index never leaves its shard and is written to the shared folder; every block of the benchmark searches the same
+one. Each block that is sent to the executors has a fixed bound.
 
 Defined results: null and empty texts have no words and no matches; an item without words is ignored, null item ids
-read "null"; repeated document rows each get their row; repeated items count once; empty tables give no matches;
+read "null" (as would an item of that name); a very long text is a shard of its own; repeated document rows each get their row; repeated items count once; empty tables give no matches;
 other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import NOT_ALNUM, Words, as_bytes, batch, chunks, covered, sequence_keys, ship, stored
 
-PHRASE, SHARD_BYTES, BLOCK_TERMS = 13, 4 << 20, 200_000
+PHRASE, SHARD_BYTES, BLOCK_TERMS = 13, 1 << 20, 200_000
 SLOP, PROXIMITY_TERMS = 26, 4
 
 _INDEX = pa.schema([("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()), ("offsets", pa.binary()), ("places", pa.binary())])
@@ -54,42 +54,49 @@ def benchmark_blocks(benchmark: DataFrame, block_terms: int = BLOCK_TERMS) -> It
         yield block
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """One row per shard: its documents, where each begins, and the postings of the given terms (sorted hashes)."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row per shard: its documents, where each begins, and the postings of its terms in order of their hashes."""
     ship(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = known.value
         for ids, texts in chunks(batches, SHARD_BYTES):
             w = Words(texts, NOT_ALNUM, lower=True)
             counts = np.diff(w.first)
             first = np.concatenate(([0], np.cumsum(counts + 1)))  # a free place after each document
             place = np.arange(len(w)) + np.repeat(np.arange(len(ids)), counts)
-            at = np.searchsorted(terms, w.hash)
-            at[at == len(terms)] = 0
-            hit = np.flatnonzero(terms[at] == w.hash) if len(terms) else np.zeros(0, np.int64)
-            order = np.argsort(at[hit], kind="stable")
-            present, start = np.unique(at[hit][order], return_index=True)
-            blobs = first.astype(np.int64), present.astype(np.int32), np.append(start, len(hit)).astype(np.int32), place[hit][order].astype(np.int32)
+            order = np.argsort(w.hash, kind="stable")
+            terms = w.hash[order]
+            start = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+            blobs = first.astype(np.int64), terms[start], np.append(start, len(terms)).astype(np.int32), place[order].astype(np.int32)
             keys = sequence_keys(w.hash, w.first).view(np.int64)
             yield batch(_INDEX, [ids], [keys], *([x.tobytes()] for x in blobs))
 
     return stored(as_bytes(docs).mapInArrow(run, _INDEX_SQL))
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
+def _present(vocabulary: np.ndarray, terms: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(which terms of the sorted vocabulary a shard has, where in the shard's)."""
+    own = np.frombuffer(terms, np.uint64)
+    at = np.searchsorted(own, vocabulary)
+    at[at == len(own)] = 0
+    hit = np.flatnonzero(own[at] == vocabulary) if len(own) else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Corpus frequency of each term of the vocabulary, from the posting lists' lengths."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, np.int64)
+        total = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for terms, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[np.frombuffer(terms, np.int32)] += np.diff(np.frombuffer(offsets, np.int32))
+                hit, at = _present(shared.value, terms)
+                total[hit] += np.diff(np.frombuffer(offsets, np.int32))[at]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["term", "n"])
 
-    out = np.zeros(n_terms, np.int64)
+    out = np.zeros(len(vocabulary), np.int64)
     for r in index.select("terms", "offsets").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.term] = r.n
     return out
@@ -144,17 +151,19 @@ def _near_docs(terms: list[int], lists: dict[int, np.ndarray], first: np.ndarray
 
 def search(index: DataFrame, block: list, vocabulary: np.ndarray, counts: np.ndarray, width: int = PHRASE, slop: int = SLOP, terms_near: int = PROXIMITY_TERMS) -> DataFrame:
     """A row per document: items with an exact phrase match, items with a proximity match, and the matched word ranges."""
-    shared = index.sparkSession.sparkContext.broadcast(_phrases(block, vocabulary, counts, width))
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, _phrases(block, vocabulary, counts, width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, phrases = shared.value
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 ids = row["doc_ids"]
                 first = np.frombuffer(row["first"], np.int64)
                 offsets, places = np.frombuffer(row["offsets"], np.int32), np.frombuffer(row["places"], np.int32)
-                lists = {t: places[offsets[i] : offsets[i + 1]] for i, t in enumerate(np.frombuffer(row["terms"], np.int32).tolist())}
+                lists = {t: places[offsets[k] : offsets[k + 1]] for t, k in zip(*(x.tolist() for x in _present(known, row["terms"])), strict=True)}
                 found: list[dict] = [{} for _ in ids]
-                for item, n, terms in shared.value:
+                for item, n, terms in phrases:
                     if terms[0][0] not in lists:
                         continue
                     if slop:
@@ -173,13 +182,12 @@ def search(index: DataFrame, block: list, vocabulary: np.ndarray, counts: np.nda
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = PHRASE, slop: int = SLOP, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """doc_id, n_words, items, near_items and matched word ranges of each document, over all blocks of the benchmark."""
     ship(docs.sparkSession)
-    parts = []
+    index, parts = build_index(docs), []
     for block in benchmark_blocks(benchmark, block_terms):
         vocabulary = np.unique(np.concatenate([w for _, w in block]))
-        index = build_index(docs, vocabulary)
-        parts.append(search(index, block, vocabulary, term_counts(index, len(vocabulary)), width, slop))
+        parts.append(search(index, block, vocabulary, term_counts(index, vocabulary), width, slop))
     if not parts:
-        parts = [search(build_index(docs, np.zeros(0, np.uint64)), [], np.zeros(0, np.uint64), np.zeros(0, np.int64), width, slop)]
+        parts = [search(index, [], np.zeros(0, np.uint64), np.zeros(0, np.int64), width, slop)]
     if len(parts) == 1:
         return parts[0]
     # a document's rows of all blocks meet by its id and the hash of its words; equal rows are numbered
