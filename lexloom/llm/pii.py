@@ -1,20 +1,21 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
 Base spans of e-mail addresses, IP addresses, payment cards and phone numbers follow fixed patterns with checks (parts
-of an address, Luhn digits, number of digits). They are the seed entities. The extraction around them:
+of an address, Luhn digits, number of digits). They are the seed entities, with a kind that has no base spans: secrets,
+seeded by runs of 32 lower-case hexadecimal digits or more. The extraction around them:
 
 1. Candidates are runs of words that hold a digit or an at sign. Each has the words around it as context.
 2. Contexts are patterns: the word before, the two words before, and the word before with the word after. Distinct
    (pattern, instance) pairs are the edges of a bipartite graph.
 3. In each round a pattern scores for a kind as the share of its instances that are known to be of that kind, if
    there are MIN_SUPPORT of them; an unseen instance of a fitting shape gets the noisy-or of its patterns that score
-   MIN_SCORE or more, and from MIN_CONFIDENCE on counts as known in the next round.
-4. Occurrences of the instances found become further spans; base spans always stay, and no span is added over one.
+   MIN_SCORE or more, and from MIN_CONFIDENCE on counts as known from the next round on. Rounds end when one adds nothing.
+4. Occurrences of secrets and of the instances found become further spans; base spans always stay, and no span is added over one.
 
 Regular expressions are possessive and begin only where a match can, so that long runs take linear time. All
 aggregates are pre-aggregated by pattern or instance; nothing but tables in the shared folder passes between rounds.
 
-Defined results: null and empty texts have no spans; counts are of base spans; repeated rows each get their row; an
+Defined results: null and empty texts have no spans; very long texts take linear time for positions; counts by kind are of base spans, n_added of the others; repeated rows each get their row; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -34,10 +35,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+SECRET = r"^[0-9a-f]{32,}+$"
+SEEDED = (*KINDS, "secret")
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 
-ROUNDS, MIN_SUPPORT, MIN_SCORE, MIN_CONFIDENCE, CONTEXT = 3, 3, 0.6, 0.8, 64
+MIN_SUPPORT, MIN_SCORE, MIN_CONFIDENCE, CONTEXT = 3, 0.6, 0.8, 64
+BLOCK = 256  # matches are located in blocks, since Spark copies an array that grows
 
 _WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+"
@@ -96,16 +100,17 @@ def matches(text: Column, pattern: str, when: Column) -> tuple[Column, Column]:
 
 def located(found: str, pieces: str) -> Column:
     """Matches with start and end in code points, from the lengths of all that stands before."""
-    return F.expr(
-        f"aggregate(zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> struct(p, m)), "
-        f"struct(0 as at, cast(array() as {_SPAN}) as o), "
-        "(a, x) -> struct(a.at + char_length(x.p) + char_length(x.m) as at, "
-        "concat(a.o, array(struct(a.at + char_length(x.p) as s, a.at + char_length(x.p) + char_length(x.m) as e, x.m as v))) as o)).o"
-    )
+    size = "(a, x) -> a + x.p + x.m"
+    span = "struct(a.at + x.p as s, a.at + x.p + x.m as e, x.v as v)"
+    parts = f"zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> struct(char_length(p) as p, char_length(m) as m, m as v))"
+    blocks = f"transform(sequence(0, size({found}) div {BLOCK}), b -> slice({parts}, b * {BLOCK} + 1, {BLOCK}))"
+    begin = f"aggregate(blocks, struct(0 as at, cast(array() as array<int>) as o), (a, x) -> struct(a.at + aggregate(x, 0, {size}) as at, concat(a.o, array(a.at)) as o)).o"
+    inside = f"aggregate(xs, struct(at as at, cast(array() as {_SPAN}) as o), (a, x) -> struct(a.at + x.p + x.m as at, concat(a.o, array({span})) as o)).o"
+    return F.expr(f"flatten(transform(transform(array({blocks}), blocks -> struct(blocks, {begin} as begin)), t -> flatten(zip_with(t.blocks, t.begin, (xs, at) -> {inside}))))")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, _t (the text) and for each kind its base spans as an array of (s, e, v)."""
+    """doc_id, _row and for each kind its base spans as an array of (s, e, v)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_row", F.xxhash64("doc_id", "_t"))
     text = F.col("_t")
     raw = {}
@@ -113,7 +118,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         raw[f"_m_{k}"], raw[f"_p_{k}"] = matches(text, PATTERNS[k], _hint(k, text))
     df = once(df, **raw)
     df = once(df, **{k: F.filter(located(f"_m_{k}", f"_p_{k}"), passes(k, "v")) for k in KINDS})
-    return df.drop(*raw)
+    return df.drop("_t", *raw)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -135,35 +140,40 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     lead = F.length(F.regexp_extract("v", r"^[^0-9A-Za-z+@]*", 0))
     df = df.withColumns({"s": F.col("s0") + lead, "e": F.col("s0") + lead + F.length("core"), "inst": F.lower("core")}).where("core <> ''")
-    kind = F.coalesce(*(F.when(F.exists(F.regexp_extract_all("v", F.lit(PATTERNS[k]), F.lit(0)), passes(k)), F.lit(k)) for k in KINDS))
+    kind = F.coalesce(*(F.when(F.exists(F.regexp_extract_all("v", F.lit(PATTERNS[k]), F.lit(0)), passes(k)), F.lit(k)) for k in KINDS), F.when(F.col("core").rlike(SECRET), F.lit("secret")))
     n = F.length(_digits(F.col("core")))
     shape = F.concat(
         F.when(F.contains("core", F.lit("@")), F.lit("email,")).otherwise(""),
         F.when(F.col("core").rlike(r"^[0-9a-fA-F]+([.:][0-9a-fA-F]*){3,}$"), F.lit("ip,")).otherwise(""),
         F.when(n.between(12, 19), F.lit("card,")).otherwise(""),
         F.when(n.between(7, 15), F.lit("phone,")).otherwise(""),
+        F.when(F.col("core").rlike("^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[0-9A-Za-z_-]{16,}$"), F.lit("secret,")).otherwise(""),
     )
     near = lambda a, i: F.try_element_at(a, F.lit(i))
     pattern = F.array_compact(F.array(F.concat(F.lit("1 "), near("l", -1)), F.concat(F.lit("2 "), near("l", -2), F.lit(" "), near("l", -1)), F.concat(F.lit("3 "), near("l", -1), F.lit(" _ "), near("r", 1))))
     return df.select("_row", "s", "e", "inst", kind.alias("kind"), shape.alias("shape"), pattern.alias("patterns"))
 
 
-def bootstrap(rows: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(inst, kind, confidence) of the unseen instances that the pattern-instance graph makes known."""
+def bootstrap(rows: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(inst, kind, confidence) of the unseen instances that the pattern-instance graph makes known, up to the fixed point.
+
+    What is known stays known, so every round but the last adds an instance."""
     nodes = rows.groupBy("inst").agg(F.min("kind").alias("seed"), F.max("shape").alias("shape"))
     edges = stored(rows.select("inst", F.explode("patterns").alias("pattern")).distinct().join(nodes, "inst"))
-    known = edges.where("seed is not null").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-    seeds, found = known, None
-    for _ in range(rounds):
-        scored = edges.select("pattern", "inst").join(known, "inst", "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("confidence")).otherwise(0.0)).alias(k) for k in KINDS))
-        long = scored.select("pattern", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("hits")) for k in KINDS))).alias("x")).where(f"x.hits >= {min_support}")
+    seeds = edges.where("seed is not null").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+    found = stored(seeds.limit(0))
+    while True:
+        known = seeds.unionByName(found)
+        scored = edges.select("pattern", "inst").join(known, "inst", "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("confidence")).otherwise(0.0)).alias(k) for k in SEEDED))
+        long = scored.select("pattern", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("hits")) for k in SEEDED))).alias("x")).where(f"x.hits >= {min_support}")
         good = long.select("pattern", F.col("x.kind").alias("kind"), (F.col("x.hits") / F.col("n")).alias("score")).where(f"score >= {min_score}")
-        fits = edges.where("seed is null and shape <> ''").join(good, "pattern").where("contains(shape, concat(kind, ','))")
+        fits = edges.where("seed is null and shape <> ''").join(good, "pattern").where("contains(shape, concat(kind, ','))").join(found.select("inst"), "inst", "left_anti")
         conf = fits.groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("confidence"))
         best = conf.groupBy("inst").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind")).alias("b"))
-        found = stored(best.select("inst", "b.kind", "b.confidence").where(f"confidence >= {min_confidence}"))
-        known = seeds.unionByName(found)
-    return found
+        new = stored(best.select("inst", "b.kind", "b.confidence").where(f"confidence >= {min_confidence}"))
+        if new.isEmpty():
+            return found
+        found = stored(found.unionByName(new))
 
 
 def _joined(spans: str) -> str:
@@ -171,14 +181,16 @@ def _joined(spans: str) -> str:
 
 
 def extract(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, base counts by kind, base_sha256 and all spans of each document, n_added counting the spans added."""
+    """doc_id, base counts by kind, base_sha256 and all spans of each document; n_added and n_spans count the added and all spans."""
     rows = stored(candidates(docs))
     found = bootstrap(rows, **options)
-    more = stored(rows.where("kind is null").join(found.withColumnRenamed("kind", "_k"), "inst").groupBy("_row").agg(F.collect_set(F.struct(F.col("_k").alias("kind"), "s", "e")).alias("more")))
+    seen = rows.where("kind is null").join(found.select("inst", F.col("kind").alias("_k")), "inst").select("_row", F.struct(F.col("_k").alias("kind"), "s", "e").alias("x"))
+    secrets = rows.where("kind = 'secret'").select("_row", F.struct("kind", "s", "e").alias("x"))
+    more = seen.unionByName(secrets).groupBy("_row").agg(F.collect_set("x").alias("more"))
     df = attach(base_spans(docs), more, "_row")
     every = F.concat(*(F.transform(k, tagged(i, k)) for i, k in enumerate(KINDS)))
-    order = "case x.kind when 'email' then 0 when 'ip' then 1 when 'card' then 2 else 3 end"
-    df = once(df, base=every, more=F.expr(f"transform(coalesce(more, array()), x -> struct({order} as o, x.s as s, x.e as e, x.kind as kind))"))
+    order = " ".join(f"when '{k}' then {i}" for i, k in enumerate(SEEDED))
+    df = once(df, base=every, more=F.expr(f"transform(coalesce(more, array()), x -> struct(case x.kind {order} end as o, x.s as s, x.e as e, x.kind as kind))"))
     df = once(df, added=F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))))
     return df.select(
         "doc_id",
@@ -186,4 +198,5 @@ def extract(docs: DataFrame, **options) -> DataFrame:
         F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"),
         F.expr(_joined("array_sort(concat(base, added))")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
