@@ -109,6 +109,95 @@ def test_columns_stay(edges, spark):
     assert kept.columns == df.columns and kept.where("doc_id = 1").count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    one = thue_morse(512)
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, two), (3, one + " x"), (4, " ".join(one)), (5, " ".join(two))], "doc_id long, text string")
+    rows = [tuple(r) for r in df.collect()]
+    items = [(1, two)]
+    same(decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")), brute.op1(rows, items))
+    same(jaccard_join.near_duplicates(df), brute.op4(rows))
+    same(substring_dedup.deduplicate(df), brute.op9(rows))
+    same(suffix_dedup.deduplicate(df), brute.op5(rows))
+
+
+def test_longest_previous_factors():
+    r = random.Random(4)
+
+    def shared(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    for _ in range(150):
+        pieces_ = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 5))]
+        if r.random() < 0.3:
+            pieces_[-1] = pieces_[0] * 3
+        data, ends = b"".join(pieces_), np.repeat(np.cumsum([len(p) for p in pieces_]), [len(p) for p in pieces_])
+        tails = [data[i : ends[i]] for i in range(len(data))]
+        order, lcp = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), ends)
+        want = sorted(range(len(data)), key=lambda i: (tails[i], i))
+        assert order.tolist() == want and lcp.tolist() == [0] + [shared(tails[a], tails[b]) for a, b in itertools.pairwise(want)]
+        far = [i for i in want if len(tails[i]) >= 9]
+        order9, lcp9 = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), ends, 9)
+        assert order9.tolist() == far and lcp9.tolist() == [0][: len(far)] + [shared(tails[a], tails[b]) for a, b in itertools.pairwise(far)]
+        place = np.array(r.sample(range(2 * len(data)), len(data))) // r.choice((1, 2))
+        got = suffix_dedup.previous_factors(order, lcp, place).tolist()
+        assert got == [max((shared(tails[i], tails[j]) for j in range(len(data)) if place[j] < place[i]), default=0) for i in range(len(data))]
+
+
+def test_sorted_runs_merge():
+    r = random.Random(5)
+
+    def run():
+        n = r.randint(0, 12)
+        return substring_dedup._sorted([np.array([r.randint(0, 3) for _ in range(n)], t) for t in substring_dedup._TYPES])
+
+    for _ in range(200):
+        a, b = run(), run()
+        got, of_b = substring_dedup._merged(a, b)
+        want = substring_dedup._sorted([np.concatenate(x) for x in zip(a, b, strict=True)])
+        assert all((x == y).all() for x, y in zip(got[:5], want[:5], strict=True)) and of_b.sum() == len(b[0])
+
+
+def test_long_sequences_in_stretches():
+    from lexloom.llm import anchors
+
+    r = np.random.default_rng(0)
+    symbols = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    first = np.array([0, 130, 130, 400])
+    cut = lambda lo, hi: (anchors.eights(symbols[lo:hi]), anchors.eights(symbols[lo:hi] + np.uint64(1)))
+    for stretch in (1000, 37):
+        every = [(t, s + k) for x in anchors.regions(cut, first, 20, 11, stretch) for t, s, m in zip(x.text.tolist(), x.start.tolist(), x.more.tolist(), strict=True) for k in range(m + 1)]
+        assert sorted(every) == [(0, i) for i in range(111)] + [(2, i) for i in range(251)]
+
+
+def test_proximity_matches(spark):
+    w = [f"q{i}" for i in range(13)]
+    docs = [(1, " ".join(w)), (2, " ".join(reversed(w))), (3, " ".join(f"{x} " + "z " * 40 for x in w)), (4, "q0 q1")]
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", " ".join(w))], "item_id string, text string"))
+    assert {r.doc_id: (r.n_items, r.n_near_items) for r in out.collect()} == {1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_line_chunks_of_edge_cases(edges, spark):
+    import duckdb
+
+    rows, df = edges
+    rows = [*rows, (70, "x\ny\n\nz\n" * 40), (71, "p\n" + "x\ny\n\nz\n" * 40), (72, "\n" * 30)]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    r = c.sql(registry.ORACLE_SQL["op10_lines"]).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(r.fetchall())
+    assert got.where("n_removed_chunks > 0").count() > 0
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (3, 2)], "a long, b long")
     assert all(r.component == r.node // 20 * 20 for r in components.components(chain, "a", "b").collect())
@@ -130,6 +219,34 @@ def test_tiles_lose_no_link(spark):
     assert sorted(map(tuple, got.collect())) == sorted((d, c) for d, _, c in brute.op4(rows))
 
 
+def test_every_link_between_different_texts(spark):
+    r = random.Random(8)
+    words, rows = [f"w{i}" for i in range(2000)], []
+    base = [r.choice(words) for _ in range(90)]
+    for i in range(60):
+        b = list(base)
+        for _ in range(r.randint(0, 4)):
+            b[r.randrange(len(b))] = r.choice(words)
+        rows.append((i if i % 4 else None, " ".join(b)))
+    sig, found = jaccard_join.pairs(spark.createDataFrame(rows, "doc_id long, text string"), tile=16)
+    cls = [x.cls for x in jaccard_join.signatures(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5).collect()]
+    grams = {c: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for c, (_, t) in zip(cls, rows, strict=True)}
+    want = {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b])}
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 100
+    chain = [(1, " ".join(base)), (None, " ".join([*base[:86], *"abcd"])), (3, " ".join([*base[:80], *"abcd"]))]
+    label = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
+    assert label == {1: 1, None: 1, 3: 1}
+
+
+def test_secrets_of_other_shapes_are_found(spark):
+    r = random.Random(2)
+    rows = [(i, f"w{i} token = \"{r.getrandbits(160):040x}\" and more") for i in range(8)]
+    rows += [(20, "so TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\" here"), (21, "a version = 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), (22, "7 " * 700 + "x@y.zz")]
+    got = {x.doc_id: x for x in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_added == 1 and got[i].spans.startswith("secret:") for i in (*range(8), 20)) and got[21].n_added == 0
+    assert got[22].spans == "email:1400:1406" and got[22].n_spans == 1
+
+
 def test_unseen_identifiers_are_found(spark):
     r, rows = random.Random(1), []
     for i in range(12):
@@ -144,6 +261,13 @@ def test_unseen_identifiers_are_found(spark):
 
 def test_pieces(edges):
     v = pieces.load()
+    words = [" aaaaaaa", " aaaa", "Ünï", "\U0001f600 x", "x▁y", "\n\n", " " * 9]
+    assert pieces.best_two_of(words, v) == [pieces.best_two(c, v) for c in words]
+    for chunk in words[:3]:
+        every = sorted((-s, backwards) for s, backwards in lattice_paths(chunk, v, backwards=True))
+        assert pieces.n_best(chunk, 5, v) == [(-s, tuple(x for p in reversed(b) for x in p)) for s, b in every[:5]]
+    ways = pieces.Encoder(v, 4).encode("aaaaaaa")[2]
+    assert len({str(w) for _, w in ways}) == 4 and ways[0] == (0, {}) and ways[1][0] == 0
     for chunk in (" the", " internationalization", "Ünï", "x▁y", "\n\n", "   a"):
         ways = []
         table = lattice_paths(chunk, v)
@@ -162,13 +286,13 @@ def test_pieces(edges):
     assert {r.doc_id: r.text for r in pieces.decode(out).collect()} == {d: t or "" for d, t in rows}
 
 
-def lattice_paths(chunk, v):
+def lattice_paths(chunk, v, backwards=False):
     edges, _ = pieces.lattice(chunk, v)
 
     def walk(at):
         if at == 0:
             return [(0, ())]
-        return [(s + w, ids + p) for i, p, w in edges[at] for s, ids in walk(i)]
+        return [(s + w, (p, *ids) if backwards else ids + p) for i, p, w in edges[at] for s, ids in walk(i)]
 
     return walk(len(chunk))
 
@@ -204,6 +328,60 @@ def test_repeated_licenses_with_words_around():
     assert scan("license MIT the under released " * 9) == []
 
 
+def test_licenses_against_longest_common_subsequences():
+    r = random.Random(11)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    words = [f"t{i}" for i in range(7)]
+    found = 0
+    for _ in range(300):
+        t = [r.choice(words) for _ in range(r.randint(4, 10))]
+        scanner = licenses.Scanner({"x": " ".join(t)}, 0.8)
+        text = [r.choice([*words, "z", "y"]) for _ in range(r.randint(0, 20))]
+        if r.random() < 0.7:
+            text[r.randint(0, len(text)) :] = [w for w in t for w in ([w] if r.random() > 0.12 else [])] + text[:3]
+        h = licenses.Words([" ".join(text).encode()], licenses.NOT_ALNUM, lower=True).hash
+        at = np.minimum(np.searchsorted(scanner.vocabulary, h), len(scanner.vocabulary) - 1)
+        hit = np.flatnonzero(scanner.vocabulary[at] == h)
+        got = scanner.scan(hit, at[hit], np.bincount(at[hit], minlength=len(scanner.vocabulary)))
+        best = max((lcs(t, text[s : s + licenses.SPREAD * len(t)]) for s in range(len(text))), default=0)
+        want = best / len(t) if best >= 0.8 * len(t) else None
+        assert (got[0][1] if got else None) == want, (t, text, got, want)
+        found += bool(got)
+    assert found > 60
+
+
+def test_forest_against_plain_walks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    forest = quality_rules.fit_forest(x, trees=7, subsample=64)
+    want = []
+    for row in x:
+        total = 0.0
+        for t in forest["trees"]:
+            at = 0
+            while t[at][0] >= 0:
+                at = int(t[at][2] if row[int(t[at][0])] < t[at][1] else t[at][3])
+            total += t[at][4]
+        want.append(2 ** (-total / 7 / forest["norm"]))
+    assert np.allclose(quality_rules.anomaly(forest, x), want)
+
+
+def test_threshold_rejects_no_more_good_rows_than_said(spark):
+    docs = [(i, "word " * 3 + " ".join(f"w{i}x{j}" + ("##" if i % 10 == 0 else "") for j in range(40))) for i in range(400)]
+    labels = [(i, int(i % 10 > 0)) for i in range(400)]
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(d, m).collect()}
+    assert sum(not kept[i] for i, q in labels if q) <= 1 and not any(kept[i] for i, q in labels if not q)
+
+
 def test_forest_tells_odd_rows(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, (500, 3)), rng.normal(8, 1, (5, 3))])
@@ -237,8 +415,47 @@ def test_language_model_trains_on_every_word(spark):
     pad, ids = lexicon.words + 1, [lexicon.ids(masked_lm.Words([t.encode()], masked_lm.SPACES, lower=True).hash) for t in pairs]
     for i in (0, 1):
         left, right = ids[i]
-        z = net.forward(np.array([[pad, left, pad, pad]]))[2][0]
-        assert z[lexicon.class_of[right]] > z[lexicon.class_of[ids[1 - i][1]]] and z[lexicon.class_of[right]] > np.log(1 / 8)
+        near = np.array([[pad, left, pad, pad]], np.uint16).repeat(lexicon.words + 1, 0)
+        p = np.exp(net.log_probabilities(near, np.arange(lexicon.words + 1)))
+        assert math.isclose(p.sum(), 1, abs_tol=1e-5) and p[right] > 0.9
+
+
+def test_language_model_against_plain_loops():
+    lexicon = masked_lm.Lexicon.__new__(masked_lm.Lexicon)
+    lexicon.words = 6
+    lexicon._classes([9, 7, 4, 2, 1, 1], 3)
+    net = masked_lm.Network(lexicon)
+    rng = np.random.default_rng(1)
+    net.load(rng.normal(0, 0.5, net.flat().size))
+    near, target = rng.integers(0, 8, (9, 2 * masked_lm.RADIUS)).astype(np.uint16), np.array([0, 1, 2, 3, 4, 5, 6, 3, 2])
+
+    def plain(p):
+        out = []
+        for row, t in zip(near, target, strict=True):
+            x = [v for i in row for v in p["e"][i]]
+            h = [math.tanh(sum(a * w for a, w in zip(x, p["w"][:, j], strict=True)) + p["b"][j]) for j in range(masked_lm.HIDDEN)]
+            at = range(lexicon.first[t], lexicon.first[t + 1])
+            z = [sum(a * s for a, s in zip(h, p["s"][:, k], strict=True)) + p["t"][k] for k in range(lexicon.classes)]
+            out.append(z[lexicon.class_of[t]] - math.log(sum(map(math.exp, z))) + sum(-math.log1p(math.exp(-float(lexicon.turns[i]) * (sum(a * b for a, b in zip(h, p["u"][lexicon.nodes[i]], strict=True)) + p["c"][lexicon.nodes[i]]))) for i in at))
+        return out
+
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    assert np.allclose(net.log_probabilities(near, target), plain(p), atol=1e-4)
+    past = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.train(near, target, past)
+    assert lexicon.classes == 4 and lexicon.first[-1] > 4
+    for k, at in (("s", (2, 1)), ("t", (3,)), ("u", (0, 3)), ("c", (1,)), ("w", (4, 2)), ("b", (5,)), ("e", (int(near[0, 0]), 1))):
+        up, down = ({**p, k: p[k].copy()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        grad = (sum(plain(down)) - sum(plain(up))) / 2e-5 / len(target)
+        assert math.isclose(past[k][at], grad * grad, rel_tol=2e-2, abs_tol=1e-7)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    d = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    a, b = (sorted(map(tuple, masked_lm.fit_and_score(d.repartition(n), words_each=20_000).collect())) for n in (2, 7))
+    assert a == b
 
 
 def test_line_chunks_against_sql(spark):
@@ -265,6 +482,18 @@ def test_pipeline(spark):
         if name == "benchmark_decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
             assert ids == {x[0] for x in brute.op1(before, items) if not x[5]}
+        if name == "line_dedup":
+            import duckdb
+
+            c = duckdb.connect()
+            c.execute("create table documents (doc_id bigint, text varchar)")
+            c.executemany("insert into documents values (?, ?)", before)
+            want = dict(c.sql(f"select doc_id, kept_sha256 from ({registry.ORACLE_SQL['op10_lines']})").fetchall())
+            assert {r.doc_id: brute.sha(r.text or "") for r in out.collect()} == want
+        if name == "piece_encoding":
+            e = pieces.Encoder(pieces.load())
+            got = {r.doc_id: r.ids for r in out.collect()}
+            assert all(got[d] == e.encode(t or "")[0].tolist() for d, t in before)
         if name == "quality_rules":
             assert ids <= {x[0] for x in brute.op7(before) if not x[6]}
         docs = out
