@@ -19,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,8 +150,9 @@ def _near_docs(terms: list[int], lists: dict[int, np.ndarray], first: np.ndarray
     return np.unique(doc).tolist()
 
 
-def search(index: DataFrame, block: list, vocabulary: np.ndarray, counts: np.ndarray, width: int = PHRASE, slop: int = SLOP, terms_near: int = PROXIMITY_TERMS) -> DataFrame:
-    """A row per document: items with an exact phrase match, items with a proximity match, and the matched word ranges."""
+def search(index: DataFrame, block: list, vocabulary: np.ndarray, counts: np.ndarray, width: int = PHRASE, slop: int = SLOP, terms_near: int = PROXIMITY_TERMS, finish=None) -> DataFrame:
+    """A row per document: items with an exact phrase match, items with a proximity match, and the matched word ranges;
+    or what `finish` (a function of batches of such rows, and its schema) makes of them in the same task."""
     shared = index.sparkSession.sparkContext.broadcast((vocabulary, _phrases(block, vocabulary, counts, width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +178,31 @@ def search(index: DataFrame, block: list, vocabulary: np.ndarray, counts: np.nda
                 spans = [sorted(x for v in f.values() for x in v) for f in found]
                 yield batch(_HITS, ids, row["keys"], np.diff(first) - 1, [sorted(k for k, v in f.items() if v) for f in found], [sorted(f) for f in found], [[x[0] for x in s] for s in spans], [[x[1] for x in s] for s in spans])
 
+    if finish:
+        return index.mapInArrow(lambda batches: finish[0](run(batches)), finish[1])
     return index.mapInArrow(run, _HITS_SQL)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = PHRASE, slop: int = SLOP, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """doc_id, n_words, items, near_items and matched word ranges of each document, over all blocks of the benchmark."""
-    ship(docs.sparkSession)
-    index, parts = build_index(docs), []
-    for block in benchmark_blocks(benchmark, block_terms):
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = PHRASE, slop: int = SLOP, block_terms: int = BLOCK_TERMS, finish=None) -> DataFrame:
+    """doc_id, n_words, items, near_items and matched word ranges of each document, over all blocks of the benchmark; or what
+    `finish` makes of them."""
+    index, blocks = build_index(docs), list(itertools.islice(stream := benchmark_blocks(benchmark, block_terms), 2))
+    if len(blocks) < 2:  # one block: each row is whole in its task
+        block = blocks[0] if blocks else []
+        vocabulary = np.unique(np.concatenate([w for _, w in block])) if block else np.zeros(0, np.uint64)
+        return search(index, block, vocabulary, term_counts(index, vocabulary), width, slop, finish=finish)
+    parts = []
+    for block in itertools.chain(blocks, stream):
         vocabulary = np.unique(np.concatenate([w for _, w in block]))
         parts.append(search(index, block, vocabulary, term_counts(index, vocabulary), width, slop))
-    if not parts:
-        parts = [search(index, [], np.zeros(0, np.uint64), np.zeros(0, np.int64), width, slop)]
-    if len(parts) == 1:
-        return parts[0]
     # a document's rows of all blocks meet by its id and the hash of its words; equal rows are numbered
     ranked = [p.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("n_words"))) for p in parts]
     every = ranked[0]
     for p in ranked[1:]:
         every = every.unionByName(p)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return every.groupBy("doc_id", "key", "n_words", "_copy").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")), flat("starts"), flat("ends")).drop("_copy")
+    whole = every.groupBy("doc_id", "key", "n_words", "_copy").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")), flat("starts"), flat("ends")).drop("_copy").select(*_HITS.names)
+    return whole.mapInArrow(*finish) if finish else whole
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_share: int = 20, **options) -> DataFrame:
@@ -211,7 +217,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_share: int = 20, **
                 out.append((r["doc_id"], r["n_words"], hit, len(r["items"]), digest, hit > 0 and min_share * hit >= r["n_words"], len(r["near_items"])))
             yield batch(_OUT, *(zip(*out, strict=True) if out else [[]] * len(_OUT)))
 
-    return matches(docs, benchmark, **options).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    sql = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
+    return matches(docs, benchmark, **options, finish=(run, sql))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("n_near_items", pa.int64())])
