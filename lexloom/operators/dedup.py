@@ -55,12 +55,12 @@ def estimated(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / HASHES).alias("similarity"))
 
 
-def near_duplicates_removed(docs: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Documents that are the higher one of no candidate pair over the limit.
+def near_duplicates_removed(docs: DataFrame, limit: float = 0.8, sig: DataFrame | None = None) -> DataFrame:
+    """Documents that are the higher one of no candidate pair over the limit; stored signatures are used if given.
 
     Of documents with one signature only the smallest can stay, and it is compared for all of them, so copies are not
     paired with each other."""
-    sig = signatures(shingle_rows(docs))
+    sig = signatures(shingle_rows(docs)) if sig is None else sig
     hashes = [c for c in sig.columns if c != "doc_id"]
     least = sig.groupBy(*hashes).agg(F.min("doc_id").alias("doc_id"))
     copies = sig.select("doc_id").join(least.select("doc_id"), "doc_id", "left_anti") if limit < 1 else sig.select("doc_id").limit(0)

@@ -108,6 +108,14 @@ def overlap_scores(pairs: DataFrame, p: DataFrame) -> DataFrame:
     return full.withColumn("ce", F.round(F.coalesce(F.col("c") / (F.col("m") + F.col("mq") - F.col("c")), F.lit(0.0)), 6)).drop("c", "m", "mq")
 
 
+def splade(rows: DataFrame, logits: str = "logits", mask: str = "mask", keep: int = NONZERO) -> DataFrame:
+    """(query_id, term, qw): sparse weights from a language model's token logits (array over tokens of arrays over the
+    vocabulary): the largest log(1 + max(logit, 0)) over unmasked tokens, of which the `keep` largest positive ones stay."""
+    x = rows.select("query_id", F.explode(F.arrays_zip(F.col(logits).alias("l"), F.col(mask).alias("m"))).alias("t")).where("t.m > 0")
+    w = x.select("query_id", F.posexplode("t.l").alias("term", "z")).groupBy("query_id", "term").agg(F.max(F.log1p(F.greatest(F.col("z").cast("double"), F.lit(0.0)))).alias("w")).where("w > 0")
+    return top(w, keep, "query_id", "w", "term").select("query_id", F.col("term").cast("string").alias("term"), F.col("w").alias("qw"))
+
+
 def score_with(pairs: DataFrame, scorer, schema: str) -> DataFrame:
     """Hook for a model: scorer maps an iterator of pandas frames of pairs to frames with scores."""
     return pairs.mapInPandas(scorer, schema)

@@ -101,6 +101,15 @@ def silhouette(points: DataFrame) -> DataFrame:
     return s.agg(F.round(F.avg(F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 5).alias("silhouette"))
 
 
+def layer_silhouettes(points: DataFrame) -> DataFrame:
+    """(layer, silhouette) of (layer, doc_id, v, label), one scan for each layer; null where a layer has one label only."""
+    out = None
+    for r in points.select("layer").distinct().orderBy("layer").collect():  # a model has a few dozen layers
+        s = silhouette(points.where(F.col("layer") == r.layer)).select(F.lit(r.layer).alias("layer"), "silhouette")
+        out = s if out is None else out.unionByName(s)
+    return points.sparkSession.createDataFrame([], "layer int, silhouette double") if out is None else out
+
+
 def noise_ratio(clusters: DataFrame) -> DataFrame:
     """Share of points in no cluster (-1), and the number of clusters, of (doc_id, cluster)."""
     return clusters.agg(F.round(F.avg(F.when(F.col("cluster") == -1, 1.0).otherwise(0.0)), 6).alias("noise_ratio"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"))

@@ -9,6 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, ml, quality, search, snippet
 from lexloom.plans import oracle as o
 from lexloom.plans.catalog import Tables
+from lexloom.streaming import delta
 
 # ---------------------------------------------------------------- search
 
@@ -25,6 +26,12 @@ def _search(method: str, **options):
     return lambda t: search.search(_collection(t), _queries(t), method, **options)
 
 
+def _lm_queries(t: Tables) -> DataFrame:
+    """Words that occur in several fields; a query with a word that a field lacks has probability 0 there."""
+    k = F.col("item_id") % 3
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.when(k == 0, "en").when(k == 1, "de").otherwise("en de").alias("text"))
+
+
 def _stemmed(method: str):
     return lambda t: search.search(_collection(t, True), _queries(t), method)
 
@@ -42,7 +49,8 @@ f1 AS (SELECT query_id, doc_id, min(tier) AS t FROM s GROUP BY ALL), b AS (SELEC
 {o._top("SELECT query_id, doc_id, round(sum(s), 5) AS score FROM s JOIN b USING (query_id) WHERE tier = 1 OR (tier = 2 AND n1 < 10) OR (tier = 3 AND n2 < 10) GROUP BY ALL", 10)}"""
 
 
-_LM = f"""WITH {o._FIELDS}, cf AS (SELECT field, term, sum(tf) AS cf FROM fp GROUP BY ALL), tot AS (SELECT field, sum(dl) AS c FROM fdl GROUP BY 1),
+_LM_FIELDS = o._FIELDS.replace("text || ' en src1'", "CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'en de' END")
+_LM = f"""WITH {_LM_FIELDS}, cf AS (SELECT field, term, sum(tf) AS cf FROM fp GROUP BY ALL), tot AS (SELECT field, sum(dl) AS c FROM fdl GROUP BY 1),
 qf AS (SELECT query_id, field, term, qtf, cf, c FROM fq CROSS JOIN tot LEFT JOIN cf USING (field, term)),
 ok AS (SELECT query_id, field FROM qf GROUP BY ALL HAVING count(*) FILTER (cf IS NULL) = 0),
 cand AS (SELECT DISTINCT field, query_id, doc_id FROM fp JOIN fq USING (term)),
@@ -85,15 +93,15 @@ def types(t: Tables) -> DataFrame:
 
 
 def retrieved(t: Tables) -> DataFrame:
-    return fusion.retrieve(fusion.merged(t.dense(), t.sparse()), types(t))
+    return t.once("retrieved", lambda: fusion.retrieve(fusion.merged(t.dense(), t.sparse()), types(t)))
 
 
 def reranked(t: Tables) -> DataFrame:
-    return fusion.rerank_by_type(fusion.overlap_scores(retrieved(t), t.terms_of_candidates()))
+    return t.once("reranked", lambda: fusion.rerank_by_type(fusion.overlap_scores(retrieved(t), t.terms_of_candidates())))
 
 
 def runs(t: Tables) -> DataFrame:
-    return fusion.strategies(reranked(t))
+    return t.once("runs", lambda: fusion.strategies(reranked(t)))
 
 
 def pool(t: Tables) -> DataFrame:
@@ -108,7 +116,7 @@ def judged_pool(t: Tables) -> DataFrame:
 
 
 def products(t: Tables) -> DataFrame:
-    return t.vectors().select("doc_id")
+    return t.vectors().select("doc_id").unionByName(t.documents.select("doc_id")).distinct()
 
 
 _TYPES = "ty AS (SELECT query_id, CASE query_id % 60 WHEN 0 THEN 'image' WHEN 20 THEN 'image_text' ELSE 'text' END AS query_type FROM vq)"
@@ -212,7 +220,7 @@ def profile(t: Tables) -> DataFrame:
 QUERIES = {
     "search_bm25": _search("bm25"),
     "search_vsm": _search("ltn.lnn"),
-    "fielded_lm": _search("unigram"),
+    "fielded_lm": lambda t: search.search(_collection(t), _lm_queries(t), "unigram"),
     "tiered_bm25": _search("bm25", safe=False),
     "tiered_vsm": _search("ltn.lnn", safe=False),
     "search_bm25_stemmed": _stemmed("bm25"),
@@ -249,6 +257,7 @@ QUERIES = {
     "stage5_checks": lambda t: quality.answer_checks(answered(t)),
     "answer_generation": generated,
     "sft_training_rows": training,
+    "event_windows": lambda t: delta.windowed_counts(t.events, "ts", "event_type").select(F.col("window.start").alias("start"), "event_type", "n"),
     "odd_answers": odd,
     "odd_accuracy": lambda t: ml.odd_accuracy(odd(t), questions(t).select("g", F.col("words")[0].alias("right"))),
     "label_decode": lambda t: ml.label_decode(t.part.select("p_partkey", (F.col("p_partkey") % 200).cast("int").alias("code")), ml.label_encode(t.part, "p_type")).select("p_partkey", "label"),
@@ -300,6 +309,7 @@ ORACLE_SQL = {
     "stage5_checks": f"WITH {o._ANS} SELECT true AS roles_valid, true AS decisions_valid, true AS ids_filled, true AS ids_in_first_eight, bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",
     "answer_generation": f"WITH {o._ANS} SELECT CASE WHEN status = 'fallback' THEN 'direct-valid' ELSE status END AS status, CASE WHEN status = 'fallback' THEN query_id::INT % 3 ELSE 0 END + 1 AS attempts, count(*) AS n FROM ans GROUP BY ALL",
     "sft_training_rows": f"WITH {o._BASE}, t8 AS ({o._top(o._BM25, 8)}), pr AS (SELECT query_id, 'Query: ' || any_value(b.text) || chr(10) || 'Products:' || chr(10) || string_agg(rank || '. ' || t8.doc_id || ' | ' || lang || ' | ' || source, chr(10) ORDER BY rank) AS prompt FROM t8 JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = t8.doc_id WHERE query_id % 2 = 0 GROUP BY query_id) SELECT query_id, to_json([{{'role': 'user', 'content': prompt}}, {{'role': 'assistant', 'content': '{{\"decision\":\"ask_clarification\"}}'}}])::VARCHAR AS messages FROM pr",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "odd_answers": f"{_ODD} SELECT * FROM an",
     "odd_accuracy": f"{_ODD}, fw AS (SELECT g, min(CASE WHEN doc_id % 40 = 3 THEN 'unknown' ELSE word END) AS r FROM g GROUP BY 1) SELECT count(*) FILTER (odd = r) AS correct, count(*) AS total, round(count(*) FILTER (odd = r) / count(*), 6) AS accuracy FROM an JOIN fw USING (g) WHERE error IS NULL",
     "label_decode": "WITH c AS (SELECT p_type AS label, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part)) SELECT p_partkey, label FROM part LEFT JOIN c ON code = p_partkey % 200",

@@ -267,3 +267,20 @@ def test_words_are_marked_literally(spark):
     df = spark.sql("select 'c++ and C++ x' t, 'a ***b*** c' s")
     assert one(df.select(T.highlighted(F.col("t"), "c.+").alias("x"))).x == "c++ and C++ x"
     assert one(df.select(T.marked(F.col("s")).alias("x"))).x == "a <mark>b</mark> c"
+
+
+def test_candidates_beat_other_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f"), (3, "q r s"), (4, "x y z"), (5, "k l m"), (6, "o p"), (7, "g h i"), (8, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert tuple(one(dedup.quality_test(pairs, dedup.shingle_rows(docs)))) == (2, 0.5)
+
+
+def test_hooks_for_models(spark):
+    rows = spark.createDataFrame([(1, [[1.0, -2.0, 0.5], [0.0, 3.0, 9.0]], [1, 0])], "query_id long, logits array<array<double>>, mask array<int>")
+    assert {(r.term, round(r.qw, 6)) for r in fusion.splade(rows).collect()} == {("0", round(math.log(2), 6)), ("2", round(math.log(1.5), 6))}
+    pairs = spark.createDataFrame([(1, 2)], "query_id long, doc_id long")
+    scored = fusion.score_with(pairs, lambda frames: (f.assign(ce=0.5) for f in frames), "query_id long, doc_id long, ce double")
+    assert tuple(one(scored)) == (1, 2, 0.5)
+    points = spark.createDataFrame([(k, i, [float(i % 2 * 10 + k), float(i)], i % 2) for k in (0, 1) for i in range(6)], "layer int, doc_id long, v array<double>, label int")
+    got = {r.layer: r.silhouette for r in ml.layer_silhouettes(points).collect()}
+    assert set(got) == {0, 1} and got[0] == got[1] > 0.5
