@@ -232,7 +232,7 @@ def masked(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
 
 
 def shards(docs: DataFrame, lexicon: Lexicon, words_each: int = SHARD_WORDS) -> DataFrame:
-    """(shard, doc_id, ids): the documents' word ids, packed, in shards of about words_each words."""
+    """(shard, doc_id, ids): a row for each document with its word ids, packed, in shards of about words_each words."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     n = lexicon.total // words_each + 1
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -247,7 +247,7 @@ def shards(docs: DataFrame, lexicon: Lexicon, words_each: int = SHARD_WORDS) ->
                 yield batch(schema, b.column(2).slice(lo, len(ids)), ids, [word[x:y].tobytes() for x, y in zip(first, first[1:], strict=False)])
                 lo += len(ids)
 
-    return rows.mapInArrow(run, "shard long, doc_id long, ids binary").where("octet_length(ids) > 0")
+    return rows.mapInArrow(run, "shard long, doc_id long, ids binary")
 
 
 _PART = pa.schema([("segment", pa.int32()), ("shard", pa.int64()), ("weight", pa.float64()), ("p", pa.binary())])
@@ -289,12 +289,17 @@ def shard_step(shared, turn: int, rounds: int):
 
 
 def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, words_each: int = SHARD_WORDS) -> Network:
+    """A network trained on the documents."""
+    return train_on(stored(shards(docs, lexicon, words_each)), lexicon, rounds, words_each)
+
+
+def train_on(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, words_each: int = SHARD_WORDS) -> Network:
     """Each shard trains on all of its documents; the parameters are averaged over the shards after each round."""
-    spark, net = docs.sparkSession, Network(lexicon)
+    spark, net = texts.sparkSession, Network(lexicon)
     if not lexicon.words:
         return net
     groups = math.isqrt(lexicon.total // words_each + 1) + 1
-    texts = stored(shards(docs, lexicon, words_each))
+    texts = texts.where("octet_length(ids) > 0")
 
     def near(table: pa.Table) -> pa.Table:
         return _added(table, table.column("shard")[0].as_py() % groups)
@@ -316,29 +321,37 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("pseudo_log_
 
 
 def score(docs: DataFrame, lexicon: Lexicon, net: Network) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    """The row of each document, of any documents."""
+    return score_on(shards(docs, lexicon), net)
+
+
+def score_on(texts: DataFrame, net: Network) -> DataFrame:
+    """The row of each document, from its word ids."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         lex = model.lexicon
-        for ids, texts in chunks(batches):
-            w = Words(texts, SPACES, lower=True)
-            word = lex.ids(w.hash)
-            around, place = padded(word, w.first, lex.words + 1)
+        for doc, blobs in chunks(batches):
+            first = np.concatenate(([0], np.cumsum([len(x) // 2 for x in blobs])))
+            word = np.frombuffer(b"".join(blobs), _ID)
+            around, place = padded(word, first, lex.words + 1)
             total = lex.share[word]
-            for lo in range(0, len(w), BATCH):
+            for lo in range(0, len(word), BATCH):
                 at = slice(lo, lo + BATCH)
                 total[at] += model.log_probabilities(windows(around, place[at]), word[at])
-            sums = np.concatenate(([0.0], np.cumsum(total)))
-            n = np.diff(w.first)
-            pll = sums[w.first[1:]] - sums[w.first[:-1]]
-            yield batch(_OUT, ids, n, np.round(pll, 4), [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.tolist(), strict=True)])
+            n = np.diff(first)
+            pll = np.zeros(len(n))
+            if len(word):
+                pll[n > 0] = np.add.reduceat(total, first[:-1][n > 0])
+            yield batch(_OUT, doc, n, np.round(pll, 4), [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.tolist(), strict=True)])
 
-    return as_bytes(docs).mapInArrow(run, "doc_id long, n_words long, pseudo_log_likelihood double, per_word double")
+    return texts.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, pseudo_log_likelihood double, per_word double")
 
 
 def fit_and_score(docs: DataFrame, rounds: int = ROUNDS, words_each: int = SHARD_WORDS) -> DataFrame:
-    """Train on all documents and score each of them."""
+    """Train on all documents and score each of them; the words are looked up once for both."""
     ship(docs.sparkSession)
     lexicon = Lexicon(word_counts(docs))
-    return score(docs, lexicon, train(docs, lexicon, rounds, words_each))
+    texts = stored(shards(docs, lexicon, words_each))
+    return score_on(texts, train_on(texts, lexicon, rounds, words_each))
