@@ -16,18 +16,13 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def nearest_words(words: DataFrame, vocab: DataFrame, limit: float = LIMIT, best: int = BEST) -> DataFrame:
-    """(word, candidate, similarity, n, rank). Words meet by a prefix of their grams, rarest in the vocabulary first, that
-    is long enough for every pair over the limit to share one; sizes must be alike; then whole gram sets are compared."""
-    ours = words.select("word", kgrams(F.col("word")).alias("g"))
-    theirs = vocab.select(F.col("word").alias("candidate"), "n", kgrams(F.col("word")).alias("h"))
-    df = theirs.select(F.explode("h").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefixes(rows: DataFrame, key: str, g: str) -> DataFrame:
-        ranked = rows.select(key, F.size(g).alias("m"), F.explode(g).alias("gram")).join(df, "gram", "left").groupBy(key, "m").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("s"))
-        return ranked.select(key, F.col("m").alias(f"m_{key}"), F.explode(F.expr(f"slice(s, 1, cast(m - floor({limit} * m) as int))")).alias("x")).select(key, f"m_{key}", "x.gram")
-
-    met = prefixes(ours, "word", "g").join(prefixes(theirs, "candidate", "h"), "gram").where(f"least(m_word, m_candidate) > {limit} * greatest(m_word, m_candidate)").select("word", "candidate").distinct()
-    near = met.join(ours, "word").join(theirs, "candidate").select("word", "candidate", "n", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("similarity")).where(F.col("similarity") > limit)
+    """(word, candidate, similarity, n, rank). Words meet by a prefix of their grams in sorted order, long enough for every
+    pair over the limit to share one; sizes must be alike; whole gram sets are compared where they meet, before any shuffle."""
+    head = lambda g: F.explode(F.expr(f"slice({g}, 1, cast(size({g}) - floor({limit} * size({g})) as int))")).alias("gram")
+    ours = words.select("word", F.array_sort(kgrams(F.col("word"))).alias("g")).select("word", "g", head("g"))
+    theirs = vocab.select(F.col("word").alias("candidate"), "n", F.array_sort(kgrams(F.col("word"))).alias("h")).select("candidate", "n", "h", head("h"))
+    met = ours.join(theirs, "gram").where(f"least(size(g), size(h)) > {limit} * greatest(size(g), size(h))")
+    near = met.select("word", "candidate", "n", F.round(jaccard(F.col("g"), F.col("h")), 6).alias("similarity")).where(F.col("similarity") > limit).distinct()
     w = Window.partitionBy("word").orderBy(F.desc("similarity"), F.desc("n"), "candidate")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)
 

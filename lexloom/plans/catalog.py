@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import answers, dedup, evalir, fusion, index, ml, quality, rank, snippet, spell
-from lexloom.session import ship, work_dir
+from lexloom.session import ship, spread, stored, work_dir
 
 WEIGHTS = {"characters": 0.3, "genres": 0.3, "description": 0.4}
 STEP = 20  # a query set: rows whose id it divides, against all rows
@@ -20,18 +20,19 @@ class Tables:
     def once(self, name: str, make) -> DataFrame:
         """A table that a query uses several times, computed once and kept in the shared folder."""
         if name not in self.kept:
-            self.kept[name] = make().checkpoint()
+            self.kept[name] = stored(make())
         return self.kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.d}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.d}/{name}.parquet")
+        return spread(df) if name == "documents" else df
 
     def post(self) -> DataFrame:
         return index.postings(self.documents).drop("field")
 
     def post_for_queries(self) -> DataFrame:
         """Postings of the queries' terms only: the rest is dropped before it is counted."""
-        return index.postings(self.documents, terms=self.q()).drop("field")
+        return self.once("post_for_queries", lambda: index.postings(self.documents, terms=self.q()).drop("field"))
 
     def terms_of_candidates(self) -> DataFrame:
         """(doc_id, term) of every document that any vector stands for."""
@@ -41,7 +42,7 @@ class Tables:
         return {"description": F.col("text"), "genres": F.col("lang"), "characters": F.col("source")}
 
     def dl(self) -> DataFrame:
-        return self.documents.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
+        return self.once("dl", lambda: self.documents.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("dl")))
 
     def n_docs(self) -> DataFrame:
         return self.dl().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))

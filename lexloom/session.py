@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,6 +27,43 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
+def _remove_made() -> None:
+    """Delete this process's tables in the shared folder, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    for path in _MADE if spark else ():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    if not _MADE:
+        atexit.register(_remove_made)
+    _MADE.append(f"{work_dir(spark)}/{name}")
+    return _MADE[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. The table goes when
+    the process ends."""
+    spark = df.sparkSession
+    path = new_path(spark, f"lexloom-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_PART = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of less than SMALL_PART for each core, which may lie in one row group, is dealt over all cores; others are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_PART else df
+
+
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
