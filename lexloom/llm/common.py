@@ -6,7 +6,6 @@ task holds a few megabytes whatever the size of its partition.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.session import ship, work_dir  # noqa: F401
+from lexloom.session import new_path, ship, stored  # noqa: F401
 
 CHUNK_BYTES, BUCKET_BYTES = 1 << 19, 16 << 20
 
@@ -24,38 +23,11 @@ CHUNK_BYTES, BUCKET_BYTES = 1 << 19, 16 << 20
 # ---------------------------------------------------------------- session and tables
 
 
-_MADE: list[str] = []
-
-
-def _remove_made() -> None:
-    """Delete this process's tables in the shared folder, if its session still runs."""
-    spark = SparkSession.getActiveSession()
-    for path in _MADE if spark else ():
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _new_path(spark: SparkSession, name: str) -> str:
-    if not _MADE:
-        atexit.register(_remove_made)
-    _MADE.append(f"{work_dir(spark)}/{name}")
-    return _MADE[-1]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. The table goes when
-    the process ends."""
-    spark = df.sparkSession
-    path = _new_path(spark, f"lexloom-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stored_by(df: DataFrame, key: str, buckets: int, part: str) -> DataFrame:
     """Like `stored`, divided by `part` and laid out in buckets of `key`, so that groups and joins by it need no shuffle."""
     spark = df.sparkSession
     name = f"lexloom_{uuid.uuid4().hex}"
-    df.write.format("parquet").partitionBy(part).bucketBy(buckets, key).option("path", _new_path(spark, name)).saveAsTable(name)
+    df.write.format("parquet").partitionBy(part).bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
