@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from lexloom.llm.common import as_bytes, batch, chunks, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST, CACHE, WAYS = 4, 500_000, 50_000
+N_BEST, CACHE, WAYS = 4, 150_000, 20_000
 SHORT = 64  # longer chunks are searched one by one
 SPACE = "▁"
 _CHUNK = re.compile(" +[^ \n]*|\n+|[^ \n]+")
