@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import alignment, decontaminate, jaccard_join, licenses, line_dedup, masked_lm, pieces, pii, quality_rules, substring_dedup, suffix_dedup
+from lexloom.llm import alignment, decontaminate, jaccard_join, licenses, line_dedup, masked_lm, packing, pieces, pii, quality_rules, substring_dedup, suffix_dedup, variants
 
 
 def _docs(spark, d):
@@ -53,8 +53,16 @@ def op11_align(spark, d):
     return alignment.align(_docs(spark, d))
 
 
+def op12_pack(spark, d):
+    return packing.pack(_docs(spark, d))
+
+
+def op13_variants(spark, d):
+    return variants.group(_docs(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pii, op3_pieces, op4_jaccard, op5_suffix, op6_licenses, op7_quality, op8_masked_lm, op9_substring, op10_lines, op11_align)
+    for f in (op1_decontaminate, op2_pii, op3_pieces, op4_jaccard, op5_suffix, op6_licenses, op7_quality, op8_masked_lm, op9_substring, op10_lines, op11_align, op12_pack, op13_variants)
 }
 ORACLE_SQL: dict[str, str] = {"op10_lines": line_dedup.ORACLE_SQL}

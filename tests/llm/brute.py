@@ -132,3 +132,101 @@ def op2(docs):
         found = {k: [(m.start(), m.end()) for m in re.finditer(p, text or "") if ok(m[0])] for k, (p, ok) in PII.items()}
         out.append((doc, *(len(found[k]) for k in PII), sha(",".join(f"{k}:{s}:{e}" for k in PII for s, e in found[k]))))
     return out
+
+
+def _encoders():
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    return a, sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+
+
+def _token_bytes(a, b):
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+    return lambda i: bytes(letter[c] for c in a.id_to_token(i)), lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+
+
+def op11(docs):
+    a, b = _encoders()
+    a.encode_special_tokens = True
+    bytes_a, bytes_b = _token_bytes(a, b)
+    rows, count = [], Counter()
+    for doc, text in docs:
+        x, y = (a.encode(f" {text}", add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        parts = [bytes_a(i) for i in x], [bytes_b(i) for i in y]
+        if b"".join(parts[0]) != b"".join(parts[1]) or b"".join(parts[0]) != f" {text or ''}".encode():
+            x, y, parts = [], [], ([], [])
+        ends = []
+        for p in parts:
+            at = 0
+            ends.append([at := at + len(t) for t in p])
+        both = sorted(set(ends[0]) & set(ends[1]))
+        groups, lo = [], 0
+        for hi in both:
+            groups.append(tuple([i for i, e in zip(ids, own, strict=True) if lo < e <= hi] for ids, own in zip((x, y), ends, strict=True)))
+            lo = hi
+        links = [(g[0][-1], g[1][-1]) for g in groups]
+        count.update(links)
+        rows.append((doc, x, y, groups, links))
+    most = defaultdict(int)
+    for (_, j), n in count.items():
+        most[j] = max(most[j], n)
+    out = []
+    for doc, x, y, groups, links in rows:
+        text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        out.append((doc, len(x), len(y), len(groups), len(links), sum(count[p] == most[p[1]] for p in links), sum(count[p] for p in links), sha(text) if x else ""))
+    return out
+
+
+def op12_pieces(docs, capacity=2048):
+    import struct
+    import zlib
+
+    a, _ = _encoders()
+    out = []
+    for doc, text in docs:
+        ids = [*a.encode(text or "", add_special_tokens=False).ids, 0]
+        sizes = [len(ids)] if len(ids) <= capacity else ([len(ids) % capacity] if len(ids) % capacity else []) + [capacity] * (len(ids) // capacity)
+        lo = 0
+        for k, n in enumerate(sizes):
+            out.append((doc, k, lo, n, zlib.crc32(struct.pack(f"<{n}I", *ids[lo : lo + n]))))
+            lo += n
+    return out
+
+
+def op13(docs):
+    import zlib
+
+    count = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+
+    def near(x, y):
+        if abs(len(x) - len(y)) > 1 or x == y:
+            return False
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y, strict=True)) == 1
+        x, y = sorted((x, y), key=len)
+        return any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+    close = {w: [v for v in words if near(w, v)] for w in words}
+    form = {}
+    for w, vs in close.items():
+        if vs and words[best := min(vs, key=lambda v: (-words[v], v))] >= 10 * words[w]:
+            form[w] = best
+    out = []
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, n, len(close[w]), form.get(w), words.get(form.get(w)), root))
+    return out
