@@ -337,9 +337,9 @@ def score_on(texts: DataFrame, net: Network) -> DataFrame:
             word = np.frombuffer(b"".join(blobs), _ID)
             around, place = padded(word, first, lex.words + 1)
             total = lex.share[word]
-            for lo in range(0, len(word), BATCH):
-                at = slice(lo, lo + BATCH)
-                total[at] += model.log_probabilities(windows(around, place[at]), word[at])
+            for lo in range(0, len(word), BATCH):  # always BATCH rows, so that a word's products don't hang on its neighbours in the block
+                at = np.minimum(np.arange(lo, lo + BATCH), len(word) - 1)
+                total[lo : lo + BATCH] += model.log_probabilities(windows(around, place[at]), word[at])[: len(word) - lo]
             n = np.diff(first)
             pll = np.zeros(len(n))
             if len(word):
