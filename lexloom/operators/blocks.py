@@ -1,8 +1,9 @@
-"""Exact scans of a stated set of query vectors against all vectors, in blocks of bounded size.
+"""Exact scans of a stated set of query vectors against all vectors, as a join of packed blocks.
 
-The queries are read in blocks of at most BLOCK rows; each block is sent to the executors, where batches of the other side
-meet it in one matrix product. A task keeps what it has found so far for the block's rows only, so memory is bounded by
-the block, not by the tables. Vectors that are null or hold nulls match nothing.
+Each task packs its vectors into blocks of at most BLOCK_BYTES. Blocks of vectors are dealt into as many hands as there are shuffle partitions,
+blocks of queries go to each hand, and a join brings them together; every pair of blocks meets once, in one matrix
+product, and Spark aggregates what the pairs give. The driver sees no rows, and a task holds one pair of blocks at a time.
+Vectors that are null or hold nulls match nothing.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.session import ship
 
-BLOCK = 4096
+BLOCK_BYTES = 1 << 20
+_PACK = pa.schema([("hand", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("labels", pa.binary())])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -27,32 +30,53 @@ def usable(rows: DataFrame, v: str) -> DataFrame:
     return rows.where(F.col(v).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()))
 
 
-def query_blocks(queries: DataFrame, key: str, v: str, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most `size` queries at a time."""
-    ids, rows = [], []
-    for r in usable(queries, v).select(key, v).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
+def packed(rows: DataFrame, key: str, v: str, hands: int, label: str | None = None) -> DataFrame:
+    """(hand, ids, vectors, labels): blocks of int64 ids, float64 vectors row by row, and int64 labels (the ids, if there are none)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = matrix(b.column(1))
+            step = max(1, BLOCK_BYTES // (8 * m.shape[1]))
+            for lo in range(0, len(m), step):
+                part = tuple(np.ascontiguousarray(x[lo : lo + step]) for x in (b.column(0).to_numpy(), m, b.column(2).to_numpy()))
+                if size and size + len(part[0]) > step:
+                    yield one(held, number % hands)
+                    held, size, number = [], 0, number + 1
+                held.append(part)
+                size += len(part[0])
+        if size:
+            yield one(held, number % hands)
 
-def scan(queries: DataFrame, rows: DataFrame, make: Callable, sql: str, key: str = "query_id", v: str = "q") -> DataFrame:
-    """make(ids, vectors) gives a function of Arrow batches; its rows for all blocks together."""
-    spark = rows.sparkSession
-    ship(spark)
-    out = spark.createDataFrame([], sql)
-    for ids, q in query_blocks(queries, key, v):
-        shared = spark.sparkContext.broadcast((ids, q))
+    def one(held: list, hand: int) -> pa.RecordBatch:
+        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([hand], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], schema=_PACK)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            yield from make(*shared.value)(batches)
+    own = usable(rows, v).select(F.col(key).cast("long").alias("id"), F.col(v).alias("v"), F.col(label or key).cast("long").alias("label"))
+    return own.mapInArrow(run, "hand int, ids binary, vectors binary, labels binary")
 
-        out = out.unionByName(usable(rows, "v").mapInArrow(run, sql))
-    return out
+
+def unpacked(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids.as_buffer(), np.int64)
+    return own, np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(own), -1)
+
+
+def scan(queries: DataFrame, rows: DataFrame, meet: Callable, schema: pa.Schema, sql: str, key: str = "query_id", v: str = "q", label: str | None = None) -> DataFrame:
+    """The rows that meet(query ids, queries, ids, vectors, labels) gives as columns, for every pair of blocks."""
+    ship(rows.sparkSession)
+    hands = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = packed(queries, key, v, hands).select(F.explode(F.sequence(F.lit(0), F.lit(hands - 1))).alias("hand"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    both = left.join(packed(rows, "doc_id", "v", hands, label), "hand").select("query_ids", "queries", "ids", "vectors", "labels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, qv, r, rv, labels in zip(*b.columns, strict=True):
+                columns = meet(*unpacked(q, qv), *unpacked(r, rv), np.frombuffer(labels.as_buffer(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, sql)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -64,34 +88,29 @@ def unit(m: np.ndarray) -> np.ndarray:
 _HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def best(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool, digits: int = 5) -> DataFrame:
-    """(query_id, doc_id, score): of each task the k best of each query by rounded product (or cosine), then id, itself excluded."""
-    scale = 10.0**digits
+def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest whole numbers of each row, ties by id; the least number is no hit."""
+    none = np.iinfo(np.int64).min
+    k = min(k, s.shape[1])
+    least = np.partition(s, -k, axis=1)[:, -k]
+    r, c = np.nonzero((s >= least[:, None]) & (s > none))
+    order = np.lexsort((ids[c], -s[r, c], r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r] < k
+    return r[keep], c[keep]
 
-    def make(ids: np.ndarray, q: np.ndarray):
-        left = unit(q) if cosine else q
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, doc, score = (np.zeros(0, np.int64) for _ in range(3))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                new, m = b.column(0).to_numpy(), matrix(b.column(1))
-                s = np.rint(left @ (unit(m) if cosine else m).T * scale).astype(np.int64)
-                s[ids[:, None] == new[None, :]] = np.iinfo(np.int64).min
-                least = np.partition(s, -min(k, len(new)), axis=1)[:, -min(k, len(new))]
-                r, c = np.nonzero((s >= least[:, None]) & (s > np.iinfo(np.int64).min))
-                row, doc, score = np.concatenate((row, r)), np.concatenate((doc, new[c])), np.concatenate((score, s[r, c]))
-                order = np.lexsort((doc, -score, row))
-                row, doc, score = row[order], doc[order], score[order]
-                first = np.searchsorted(row, np.arange(len(ids)))
-                keep = np.arange(len(row)) - first[row] < k
-                row, doc, score = row[keep], doc[keep], score[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(doc), pa.array(score / scale)], schema=_HITS)
+def best(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool, digits: int = 5) -> DataFrame:
+    """(query_id, doc_id, score): of each pair of blocks the k best of each query by rounded product (or cosine), then id, itself excluded."""
+    scale = 10.0**digits
 
-        return run
+    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: np.ndarray) -> tuple:
+        s = np.rint((unit(q) @ unit(m).T if cosine else q @ m.T) * scale).astype(np.int64)
+        s[query_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+        r, c = best_of(s, ids, k)
+        return query_ids[r], ids[c], s[r, c] / scale
 
-    return scan(queries, vectors.select("doc_id", "v"), make, "query_id long, doc_id long, score double")
+    return scan(queries, vectors.select("doc_id", "v"), meet, _HITS, "query_id long, doc_id long, score double")
 
 
 def _gaps(q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -103,45 +122,34 @@ _SUMS = pa.schema([("x", pa.int64()), ("label", pa.int64()), ("total", pa.float6
 
 
 def distance_sums(points: DataFrame) -> DataFrame:
-    """(x, label, total, n): sums of the distances of each point to the other points of each label, one row for each task."""
+    """(x, label, total, n): sums of the distances of each point to the other points of each label, one row for each pair of blocks."""
 
-    def make(ids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                d, label, other = _gaps(q, matrix(b.column(1))), b.column(2).to_numpy(), ids[:, None] != b.column(0).to_numpy()[None, :]
-                for c in np.unique(label).tolist():
-                    own = label == c
-                    s, n = total.get(c, (0.0, 0))
-                    total[c] = s + (d[:, own] * other[:, own]).sum(1), n + other[:, own].sum(1)
-            for c, (s, n) in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([c] * len(ids), pa.int64()), pa.array(s), pa.array(n.astype(np.int64))], schema=_SUMS)
+    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, labels: np.ndarray) -> tuple:
+        d, other = _gaps(q, m), query_ids[:, None] != ids[None, :]
+        of, place = np.unique(labels, return_inverse=True)
+        own = np.zeros((len(ids), len(of)))
+        own[np.arange(len(ids)), place] = 1
+        total, n = (d * other) @ own, other @ own
+        return np.repeat(query_ids, len(of)), np.tile(of, len(query_ids)), total.ravel(), np.rint(n.ravel()).astype(np.int64)
 
-        return run
-
-    rows = points.select("doc_id", "v", F.col("label").cast("long").alias("label"))
-    return scan(rows, rows, make, "x long, label long, total double, n long", "doc_id", "v")
+    return scan(points, points, meet, _SUMS, "x long, label long, total double, n long", "doc_id", "v", "label")
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def near(q: np.ndarray, m: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of m) at a Euclidean distance of at most eps."""
+    i, j = np.nonzero((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * (q @ m.T) <= eps * eps + 1e-6)  # then exactly
+    ok = ((q[i] - m[j]) ** 2).sum(1) <= eps * eps
+    return i[ok], j[ok]
+
+
 def within(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of points with Euclidean distance at most eps, itself included."""
-
-    def make(ids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    m = matrix(b.column(1))
-                    near = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * (q @ m.T) <= eps * eps + 1e-6  # then exactly
-                    i, j = np.nonzero(near)
-                    ok = ((q[i] - m[j]) ** 2).sum(1) <= eps * eps
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[ok]]), pa.array(b.column(0).to_numpy()[j[ok]])], schema=_PAIRS)
-
-        return run
-
-    rows = points.select("doc_id", "v")
-    return scan(rows, rows, make, "a long, b long", "doc_id", "v")
+    """(a, b) of points with Euclidean distance at most eps, itself included, from all pairs of blocks."""
+
+    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: np.ndarray) -> tuple:
+        i, j = near(q, m, eps)
+        return query_ids[i], ids[j]
+
+    return scan(points, points, meet, _PAIRS, "a long, b long", "doc_id", "v")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import answers, dedup, evalir, fusion, index, ml, quality, rank, snippet, spell
+from lexloom.operators import ann, answers, dedup, density, evalir, fusion, index, ml, quality, rank, snippet, spell
 from lexloom.session import ship, spread, stored, work_dir
 
 WEIGHTS = {"characters": 0.3, "genres": 0.3, "description": 0.4}
@@ -164,6 +164,17 @@ def _prompt(t: Tables) -> DataFrame:
     return answers.prompts(t.queries(), index.top(t.bm25(), 8), t.documents.select("doc_id", F.concat_ws(" | ", "lang", "source").alias("features")))
 
 
+LISTS, SLICES, PROBES, READ = 16, 16, 12, 0.05  # of the inverted file; READ is the share of the vectors that a query reads
+
+
+def _ann(run):
+    def build(t: Tables) -> DataFrame:
+        ix = ann.build(t.vectors().select("doc_id", "v"), LISTS, SLICES)
+        return run(ix, t.vq(), max(10, int(ix.rows() * READ)))
+
+    return build
+
+
 def _checked(name: str):
     return lambda t: ml.classification_report(ml.classify(*t.split(), name).select("label", "predicted"))
 
@@ -208,6 +219,9 @@ CATALOG = {
     "missing_query_words": lambda t: snippet.missing_words(t.top3(), t.documents, t.queries()),
     "highlight_html": lambda t: t.documents.select("doc_id", T.highlighted(F.col("text"), "the").alias("html"), T.shortened(F.col("text")).alias("short")),
     "dense_topk": lambda t: t.dense(10),
+    "ann_topk": _ann(lambda ix, q, read: ann.search(ix, q, 10, PROBES, read)),
+    "ann_exact": _ann(lambda ix, q, _: ann.exact_search(ix, q, 10)),
+    "ann_report": _ann(lambda ix, q, read: ann.report(ix, q, 10, PROBES, read)),
     "sparse_topk": lambda t: t.sparse(10),
     "hybrid_rrf": lambda t: index.top(fusion.rrf(_merged(t)).select("query_id", "doc_id", "score"), 10),
     "hybrid_weighted": lambda t: index.top(fusion.weighted(_merged(t)).select("query_id", "doc_id", "score"), 10),
@@ -247,6 +261,7 @@ CATALOG = {
     "oversample": lambda t: ml.oversample(t.vectors(), "label", "doc_id"),
     "dbscan_cores": lambda t: ml.neighbours_within(t.vectors(), 1.0).groupBy(F.col("a").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")),
     "dbscan": lambda t: ml.dbscan(t.vectors(), 1.0),
+    "dbscan_pivots": lambda t: density.dbscan(t.vectors(), 1.2),
     "kmeans_fit": lambda t: ml.kmeans(t.vectors(), 10),
     "spherical_kmeans_fit": lambda t: ml.kmeans(t.vectors(), 10, spherical=True),
     "pca_2d": lambda t: ml.pca_2d(t.vectors()),

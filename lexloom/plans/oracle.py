@@ -139,6 +139,15 @@ kn AS (SELECT query_id, predicted, v.label FROM pr JOIN v ON v.doc_id = query_id
 
 _URLS = r"(?i)\S*http\S*|\S*www\S*|\S+\.ir\S*|\S+\.com\S*|\S+\.org\S*|\S*@\S*"
 
+def dbscan(eps: float, least: int = 5) -> str:
+    """Clusters as reachability among core points."""
+    return f"""WITH RECURSIVE {_VEC}, nr AS (SELECT x.doc_id AS a, y.doc_id AS b FROM v x, v y WHERE {_GAP.removeprefix('sqrt')} <= {eps * eps}),
+co AS (SELECT a FROM nr GROUP BY a HAVING count(*) >= {least}), ed AS (SELECT a, b FROM nr SEMI JOIN co USING (a) WHERE b IN (SELECT a FROM co)),
+rc AS (SELECT a, a AS c FROM co UNION SELECT ed.a, rc.c FROM rc JOIN ed ON ed.b = rc.a), lb AS (SELECT a, min(c) AS c FROM rc GROUP BY 1),
+bo AS (SELECT nr.a, arg_min(lb.c, lb.a) AS c FROM nr JOIN lb ON lb.a = nr.b GROUP BY 1),
+db AS (SELECT doc_id, coalesce(lb.c, bo.c, -1) AS cluster FROM v LEFT JOIN lb ON lb.a = doc_id LEFT JOIN bo ON bo.a = doc_id)"""
+
+
 ORACLE_SQL = {
     "clean_text": f"SELECT doc_id, array_to_string({_toks(f"regexp_replace(text, '{_URLS}', ' ', 'g')")}, ' ') AS clean FROM documents",
     "url_removal": f"SELECT doc_id, regexp_replace(text, '{_URLS}', ' ', 'g') AS clean FROM documents",
@@ -181,6 +190,7 @@ f AS (SELECT query_id, doc_id, min(tier) AS t FROM s GROUP BY ALL), b AS (SELECT
     "missing_query_words": f"WITH {_BASE}, {_TOP3} SELECT query_id, t3.doc_id, array_to_string(list_sort(list_filter(list_distinct({_toks('b.text')}), lambda w: NOT list_contains({_toks('d.text')}, w))), ' ') AS missing FROM t3 JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = t3.doc_id",
     "highlight_html": "SELECT doc_id, regexp_replace(text, '(?i)\\b(the)\\b', '<mark>\\1</mark>', 'g') AS html, CASE WHEN len(text) > 35 THEN substr(text, 1, 35) || '...' ELSE text END AS short FROM documents",
     "dense_topk": f"WITH {_VEC} {_top(_DENSE_S, 10)}",
+    "ann_exact": f"WITH {_VEC} {_top(_DENSE_S, 10)}",
     "sparse_topk": f"WITH {_BASE}, {_VEC}, {_SV} {_top(_SPARSE_S, 10)}",
     "hybrid_rrf": f"{_HYB} {_top('SELECT query_id, doc_id, round(coalesce(1 / (60 + dr - 1), 0) + coalesce(1 / (60 + sr - 1), 0), 8) AS score FROM m', 10)}",
     "hybrid_weighted": f"""{_HYB}, mm AS (SELECT *, min(dense) OVER w AS dl0, max(dense) OVER w AS dh, min(sparse) OVER w AS sl, max(sparse) OVER w AS sh0 FROM m WINDOW w AS (PARTITION BY query_id))
@@ -224,5 +234,8 @@ SELECT round((SELECT sum(m) FROM a) / z, 6) AS purity, round(2 * mi / ((SELECT -
     "knn_classify": f"{_KNN} SELECT query_id, predicted, label FROM kn",
     "classification_report": f"{_KNN}, t AS (SELECT label, count(*) AS support, count(*) FILTER (predicted = label) AS tp FROM kn GROUP BY 1), s AS (SELECT predicted AS label, count(*) AS said FROM kn GROUP BY 1), x AS (SELECT support, tp, coalesce(tp / said, 0) AS p, tp / support AS r FROM t LEFT JOIN s USING (label)) SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1, round(sum(tp) / sum(support), 6) AS micro_f1 FROM x",
     "oversample": f"WITH {_VEC}, x AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM v) SELECT doc_id, label, unnest(range(0, ((m - 1 - i) // n + 1)::BIGINT))::INT AS copy FROM x, (SELECT max(n) AS m FROM x)",
+    "dbscan": f"{dbscan(1.0)} SELECT * FROM db",
+    "dbscan_pivots": f"{dbscan(1.2)} SELECT * FROM db",
+    "noise_ratio": f"{dbscan(1.0)} SELECT round(avg((cluster = -1)::INT), 6) AS noise_ratio, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS clusters FROM db",
     "dbscan_cores": f"WITH {_VEC} SELECT x.doc_id, count(*) AS n FROM v x, v y WHERE {_GAP.removeprefix('sqrt')} <= 1.0 GROUP BY 1",
 }

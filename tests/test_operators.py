@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -174,7 +175,7 @@ def test_blocks_of_vectors(spark, monkeypatch):
     import numpy as np
     from lexloom.operators import blocks
 
-    monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 7 * 8 * 5)
     x = np.random.default_rng(0).normal(size=(60, 5)).round(3)
     x[5] = x[9] = x[20]
     rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(100, None, 0), (101, [None] * 5, 1)], "doc_id long, v array<double>, label int").repartition(4)
@@ -284,3 +285,77 @@ def test_hooks_for_models(spark):
     points = spark.createDataFrame([(k, i, [float(i % 2 * 10 + k), float(i)], i % 2) for k in (0, 1) for i in range(6)], "layer int, doc_id long, v array<double>, label int")
     got = {r.layer: r.silhouette for r in ml.layer_silhouettes(points).collect()}
     assert set(got) == {0, 1} and got[0] == got[1] > 0.5
+
+
+def test_vector_index(spark):
+    import numpy as np
+    from lexloom.operators import ann, blocks
+    from lexloom.operators.index import top
+
+    r = np.random.default_rng(2)
+    x = np.concatenate((r.normal(size=(300, 9)), r.normal(size=(300, 9)) * 0.1 + 3))
+    x[7] = x[8] = x[350]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] * 9)], "doc_id long, v array<double>").repartition(3)
+    q = rows.where("doc_id % 20 = 0 or doc_id >= 900").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    want = sorted(map(tuple, top(blocks.best(q, rows, 5, cosine=False), 5).collect()))
+    ix = ann.build(rows, 8, 4)
+    assert ix.rows() == 600 and sorted(map(tuple, ann.exact_search(ix, q, 5).collect())) == want
+    few = ann.build(rows, 8, 4, sample=50)  # a model of few rows changes the work, not the rows
+    assert few.rows() == 600 and sorted(map(tuple, ann.exact_search(few, q, 5).collect())) == want
+    assert sorted(map(tuple, ann.search(ix, q, 5, 8, 600).collect())) == want
+    codes = ann.encode(ix.model, x)
+    made = ix.model.centroids[codes[0]] + np.concatenate([ix.model.books[s][codes[1][:, s]] for s in range(4)], 1)[:, :9]
+    assert np.allclose(np.sqrt(((x - made) ** 2).sum(1)), codes[2])  # the bound of the exact search
+    assert np.allclose(np.sqrt(((x - ix.model.centroids[codes[0]]) ** 2).sum(1)), codes[3])
+    got = ann.report(ix, q, 5, 6, 60).first()
+    assert got.recall >= 0.9 and got.vectors_read <= 0.1 and got.codes_read <= 1
+    none = ann.build(rows.limit(0), 8, 4)
+    assert none.rows() == 0 and ann.exact_search(none, q, 5).count() == ann.search(none, q, 5, 2, 9).count() == 0
+
+
+def test_vector_index_recall_on_the_tables(spark):
+    from lexloom.plans.registry import QUERIES
+
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        got = QUERIES["ann_report"](spark, d).first()
+        assert got.recall >= 0.9 and got.vectors_read <= 0.1 and got.codes_read <= 0.8
+
+
+@pytest.mark.parametrize("eps", [0.2, 0.5, 1.5])
+def test_dbscan_by_pivots(spark, eps):
+    import numpy as np
+    from lexloom.operators import density
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    r = np.random.default_rng(0)
+    x = np.concatenate((r.normal(size=(60, 2)) * 0.3, r.normal(size=(60, 2)) * 0.3 + 4, r.uniform(-3, 8, size=(60, 2)), np.zeros((20, 2)), np.cumsum(np.full((40, 2), 0.3), 0) + 10))
+    ids = r.permutation(len(x)).tolist()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core = d.sum(1) >= 4
+    label = {i: ids[i] for i in range(len(x)) if core[i]}
+    changed = True
+    while changed:
+        changed = False
+        for i in label:
+            least = min(label[j] for j in np.flatnonzero(d[i] & core).tolist())
+            changed, label[i] = changed or least < label[i], least
+    want = {}
+    for i in range(len(x)):
+        near = [j for j in np.flatnonzero(d[i] & core).tolist()]
+        want[ids[i]] = label[i] if core[i] else label[min(near, key=lambda j: ids[j])] if near else -1
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(999, None)], "doc_id long, v array<double>").repartition(3)
+    for pivots, hand in ((7, 20), (1, 1000)):
+        assert dict(map(tuple, density.dbscan(points, eps, 4, pivots=pivots, hand_rows=hand).collect())) == want | {999: -1}
+    assert density.dbscan(points.limit(0), eps).count() == 0
+
+
+def test_components(spark):
+    from lexloom.operators.graph import components
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    edges = [(i, i + 1) for i in range(40, 80)] + [(90, k) for k in range(91, 120)] + [(5, 5), (7, 200), (200, 7), (3, 200)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 40 for i in range(40, 81)} | {i: 90 for i in range(90, 120)} | {5: 5, 7: 3, 200: 3, 3: 3}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
