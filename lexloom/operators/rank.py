@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.index import top
+from lexloom.session import stored
 
 K1, B = 1.5, 0.75
+TIERS = (1, 2, 3)
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -89,15 +92,46 @@ def log_mixture(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataF
 
 def tiered_search(p: DataFrame, q: DataFrame, dl: DataFrame, n_docs: DataFrame, k: int = 10) -> DataFrame:
     """BM25 tier by tier with tier-local df, scores adding up; a tier is used while those before it gave fewer than k documents."""
-    df = p.groupBy("tier", "term").agg(F.count(F.lit(1)).alias("df"))
-    hit = p.join(q, "term").join(df, ["tier", "term"]).join(dl, "doc_id", "left").crossJoin(F.broadcast(n_docs))
-    part = F.col("qtf") * F.log10(F.col("n") / F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return by_tier(hit.groupBy("query_id", "doc_id", "tier").agg(F.sum(part).alias("s")), k)
-
-
-def by_tier(tiers: DataFrame, k: int) -> DataFrame:
-    """The k best of (query_id, doc_id, tier, s), from as many tiers as it takes to have k documents."""
-    first = tiers.groupBy("query_id", "doc_id").agg(F.min("tier").alias("tier"))
-    before = first.groupBy("query_id").agg(F.count(F.when(F.col("tier") < 2, 1)).alias("n1"), F.count(F.when(F.col("tier") < 3, 1)).alias("n2"))
-    used = tiers.join(before, "query_id").where(f"tier = 1 or (tier = 2 and n1 < {k}) or (tier = 3 and n2 < {k})")
-    return top(used.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score")), k)
+    p = stored(p, "tier")
+
+    def score(tier: int, active: DataFrame) -> DataFrame:
+        own = p.where(F.col("tier") == tier)
+        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        hit = own.join(active, "term").join(df, "term").join(dl, "doc_id", "left").crossJoin(F.broadcast(n_docs))
+        part = F.col("qtf") * F.log10(F.col("n") / F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+        return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("s"))
+
+    return by_tier(score, q, k)
+
+
+def tier_by_tier(score: Callable[[int, DataFrame], DataFrame], q: DataFrame, k: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(tier, queries, stored hits) of the tiers that are read: score(tier, queries) gives the hits (query_id, doc_id, ...) of a tier for the
+    queries that have fewer than k documents so far. Tiers that no query needs are not read."""
+    out, found = [], None
+    active = q
+    for tier in TIERS:
+        hits = stored(score(tier, active))
+        out.append((tier, active, hits))
+        docs = hits.select("query_id", "doc_id")
+        found = docs if found is None else found.unionByName(docs)
+        full = found.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= k)
+        active = stored(q.join(full.select("query_id"), "query_id", "left_anti"))
+        if tier == TIERS[-1] or active.isEmpty():
+            return out
+
+
+def by_tier(score: Callable[[int, DataFrame], DataFrame], q: DataFrame, k: int) -> DataFrame:
+    """The k best of the summed scores (query_id, doc_id, s), from as many tiers as it takes to have k documents."""
+    every = None
+    for _, _, hits in tier_by_tier(score, q, k):
+        every = hits if every is None else every.unionByName(hits)
+    return top(every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score")), k)
+
+
+def tier_reads(p: DataFrame, q: DataFrame, k: int = 10) -> DataFrame:
+    """(tier, queries, postings) of each tier that a search for k documents reads."""
+    p, out = stored(p, "tier"), None
+    for tier, active, hits in tier_by_tier(lambda tier, active: p.where(F.col("tier") == tier).join(active, "term").select("query_id", "doc_id"), q, k):
+        row = active.agg(F.count_distinct("query_id").alias("queries")).crossJoin(hits.agg(F.count(F.lit(1)).alias("postings"))).select(F.lit(tier).alias("tier"), "queries", "postings")
+        out = row if out is None else out.unionByName(row)
+    return out

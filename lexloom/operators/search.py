@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import stem
 from lexloom.operators import index as ix
 from lexloom.operators import rank
+from lexloom.session import stored
 
 # The field weights of a plain list, in this order, and other names of methods.
 FIELDS, DEFAULT_WEIGHTS = ("characters", "genres", "description"), (0.3, 0.3, 0.4)
@@ -53,7 +54,7 @@ def search(where: Collection, queries: DataFrame, method: str = "ltn.lnn", weigh
 
     Methods: "bm25", "unigram" (language model with the given smoothing; always over the full index), or a SMART scheme
     "ddd.qqq". With safe=False the tiers are searched in turn until there are max_results documents, with each tier's own
-    document frequencies. Queries without words, or whose words occur nowhere, have no rows.
+    document frequencies; a tier is read for the queries that lack documents only, and not at all if none does. Queries without words, or whose words occur nowhere, have no rows.
     """
     method = ALIASES.get(method, method)
     weights = dict(zip(FIELDS, DEFAULT_WEIGHTS, strict=True)) if weights is None else weights
@@ -63,7 +64,7 @@ def search(where: Collection, queries: DataFrame, method: str = "ltn.lnn", weigh
     q = query_terms(queries, where.stems)
     p, sizes = where.find(q), where.sizes()
 
-    def score(field: str, rows: DataFrame) -> DataFrame:
+    def score(field: str, rows: DataFrame, q: DataFrame = q) -> DataFrame:
         dl = sizes.where(F.col("field") == field).drop("field")
         n = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
         if method == "unigram":
@@ -75,12 +76,14 @@ def search(where: Collection, queries: DataFrame, method: str = "ltn.lnn", weigh
         return ix.top(rank.log_mixture({f: score(f, own[f]) for f in used}, weights), max_results)
     if safe:
         return ix.top(rank.fielded({f: score(f, own[f]) for f in used}, weights), max_results)
-    every = None
-    for tier in (1, 2, 3):
-        parts = {f: score(f, ix.tiered(own[f].withColumn("field", F.lit(f))).where(F.col("tier") == tier).drop("field", "tier")) for f in used}
-        s = rank.fielded(parts, weights).select("query_id", "doc_id", F.lit(tier).alias("tier"), F.col("score").alias("s"))
-        every = s if every is None else every.unionByName(s)
-    return rank.by_tier(every, max_results)
+    tiers = stored(ix.tiered(p), "tier")
+
+    def score_tier(tier: int, active: DataFrame) -> DataFrame:
+        rows = tiers.where(F.col("tier") == tier).drop("tier")
+        parts = {f: score(f, rows.where(F.col("field") == f).drop("field"), active) for f in used}
+        return rank.fielded(parts, weights).select("query_id", "doc_id", F.col("score").alias("s"))
+
+    return rank.by_tier(score_tier, q, max_results)
 
 
 def search_text(where: Collection, text: str, n: int = 10, method: str = "ltn.lnn", weights: tuple[float, ...] = DEFAULT_WEIGHTS, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import ann, answers, dedup, density, evalir, fusion, index, ml, quality, rank, snippet, spell
+from lexloom.operators import ann, answers, blockmax, dedup, density, evalir, fusion, index, ml, quality, rank, snippet, spell
 from lexloom.session import ship, spread, stored, work_dir
 
 WEIGHTS = {"characters": 0.3, "genres": 0.3, "description": 0.4}
@@ -195,6 +195,8 @@ CATALOG = {
     "index_add": lambda t: index.term_stats(index.add(index.postings(t.documents), index.postings(t.benchmark.select(F.col("item_id").cast("long").alias("doc_id"), "text")))),
     "index_remove": lambda t: index.term_stats(index.remove(index.postings(t.documents), t.labels.where("quality = 0"))),
     "bm25_topk": lambda t: index.top(t.bm25(), 10),
+    "bm25_blockmax": lambda t: blockmax.search(blockmax.build(t.documents), t.q()),
+    "blockmax_report": lambda t: blockmax.report(blockmax.build(t.documents), t.q()),
     "vsm_nnn": _vsm("nnn.nnn"),
     "vsm_lnn": _vsm("lnn.nnn"),
     "vsm_ltn": _vsm("ltn.lnn"),
@@ -206,6 +208,7 @@ CATALOG = {
     "fielded_bm25": lambda t: index.top(rank.fielded(t.by_field(rank.bm25), WEIGHTS), 10),
     "fielded_vsm": lambda t: index.top(rank.fielded(t.by_field(lambda p, q, dl, n: rank.vsm(p, q, n, "ltn.lnn")), WEIGHTS), 10),
     "tiered_search": lambda t: rank.tiered_search(index.tiered(index.postings(t.documents, terms=t.q())).drop("field"), t.q(), t.dl(), t.n_docs()),
+    "tier_reads": lambda t: rank.tier_reads(index.tiered(index.postings(t.documents, terms=t.q())).drop("field"), t.q()),
     "shingles": lambda t: dedup.shingle_rows(t.documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("shingle").alias("least")),
     "minhash_signature": lambda t: (lambda s: s.select("doc_id", F.concat_ws("_", *s.columns[1:]).alias("sig")))(dedup.signatures(dedup.shingle_rows(t.documents))),
     "lsh_buckets": lambda t: dedup.bands(dedup.signatures(dedup.shingle_rows(t.documents))),

@@ -163,6 +163,12 @@ ORACLE_SQL = {
     "index_add": f"WITH {_BASE}, b AS (SELECT item_id AS doc_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_toks('text')}) AS term FROM benchmark) GROUP BY ALL), u AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT * FROM b) SELECT 'description' AS field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM u GROUP BY term",
     "index_remove": f"WITH {_BASE} SELECT 'description' AS field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY term",
     "bm25_topk": f"WITH {_BASE} {_top(_BM25, 10)}",
+    "bm25_blockmax": f"WITH {_BASE} {_top(_BM25, 10)}",
+    "tier_reads": f"""WITH {_BASE}, h AS (SELECT query_id, doc_id, CASE WHEN tf >= 10 THEN 1 WHEN tf >= 5 THEN 2 ELSE 3 END AS tier FROM p JOIN q USING (term)),
+f AS (SELECT query_id, doc_id, min(tier) AS t FROM h GROUP BY ALL), n AS (SELECT query_id, count(*) FILTER (t < 2) AS n1, count(*) FILTER (t < 3) AS n2 FROM f GROUP BY 1),
+a AS (SELECT query_id, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN n USING (query_id)),
+u AS (SELECT query_id, unnest(CASE WHEN n1 >= 10 THEN [1] WHEN n2 >= 10 THEN [1, 2] ELSE [1, 2, 3] END)::INT AS tier FROM a)
+SELECT tier, count(DISTINCT query_id) AS queries, count(doc_id) AS postings FROM u LEFT JOIN h USING (query_id, tier) GROUP BY 1""",
     "vsm_nnn": _vsm("nnn.nnn"),
     "vsm_lnn": _vsm("lnn.nnn"),
     "vsm_ltn": _vsm("ltn.lnn"),

@@ -45,12 +45,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. The table goes when
-    the process ends."""
+    the process ends. With `by`, rows of other values of that column are not read where a filter names some."""
     spark = df.sparkSession
     path = new_path(spark, f"lexloom-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

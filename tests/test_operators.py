@@ -359,3 +359,44 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 40 for i in range(40, 81)} | {i: 90 for i in range(90, 120)} | {5: 5, 7: 3, 200: 3, 3: 3}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_block_max_search(spark, tmp_path):
+    import random
+
+    from lexloom.operators import blockmax
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=r.randint(1, 80))) for _ in range(400)] + [None, "", "w1 w1", "w1 w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = [(i, " ".join(r.choices(words, k=r.randint(1, 12)))) for i in range(30)] + [(30, "unknown"), (31, ""), (32, "w59"), (33, "w1 w1 w1")]
+    q = rank.query_terms(spark.createDataFrame(asked, "id long, text string"), "id", "text")
+    p = index.postings(docs).drop("field")
+    dl = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl"))
+    n = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+    want = sorted(map(tuple, index.top(rank.bm25(p, q, dl, n), 10).collect()))
+    for shard, width, prime, block in ((1000, 8, 4, 100), (90, 4, 2, 7)):
+        ix = blockmax.build(docs, shard, width)
+        assert sorted(map(tuple, blockmax.search(ix, q, 10, width, prime, block).collect())) == want
+        if shard == 90:
+            ix.write(str(tmp_path / "ix"))
+            assert sorted(map(tuple, blockmax.search(blockmax.read(spark, str(tmp_path / "ix")), q, 10, width, prime, block).collect())) == want
+        got = blockmax.report(ix, q, 10, width, prime, block).first()
+        assert got.postings == p.join(q, "term").count() and 0 < got.share_read
+    alike = spark.createDataFrame([(i, "w1 w2") for i in range(40)], "doc_id long, text string")
+    assert [r.doc_id for r in blockmax.search(blockmax.build(alike.unionByName(spark.createDataFrame([(99, "w3")], "doc_id long, text string"))), q.where("query_id = 33"), 10).orderBy("rank").collect()] == list(range(10))
+
+
+def test_tiers_that_no_query_needs_are_not_read(spark):
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    p = spark.createDataFrame([(t, d, 11 if t == "a" and d < 12 else 6 if d < 20 else 1) for t in "ab" for d in range(30)], "term string, doc_id long, tf long").withColumn("field", F.lit("description"))
+    q = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "x", 1)], "query_id long, term string, qtf long")
+    tiers = index.tiered(p).drop("field")
+    assert sorted(map(tuple, rank.tier_reads(tiers, q.where("query_id < 2")).collect())) == [(1, 1, 12)]
+    assert sorted(map(tuple, rank.tier_reads(tiers, q.where("query_id < 3")).collect())) == [(1, 2, 12), (2, 1, 20)]
+    assert sorted(map(tuple, rank.tier_reads(tiers, q).collect())) == [(1, 3, 12), (2, 2, 20), (3, 1, 0)]
