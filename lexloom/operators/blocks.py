@@ -9,6 +9,7 @@ Vectors that are null or hold nulls match nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +64,26 @@ def unpacked(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray
     return own, np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(own), -1)
 
 
-def scan(queries: DataFrame, rows: DataFrame, meet: Callable, schema: pa.Schema, sql: str, key: str = "query_id", v: str = "q", label: str | None = None) -> DataFrame:
-    """The rows that meet(query ids, queries, ids, vectors, labels) gives as columns, for every pair of blocks."""
+@dataclass
+class Block:
+    ids: np.ndarray
+    v: np.ndarray
+    labels: np.ndarray
+
+
+def scan(queries: DataFrame, rows: DataFrame, meet: Callable[[Block, Block], tuple], schema: pa.Schema, sql: str, key: str = "query_id", v: str = "q", label: str | None = None) -> DataFrame:
+    """The rows that meet(queries, rows) gives as columns, for every pair of blocks; queries have labels if they come from the rows."""
     ship(rows.sparkSession)
     hands = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = packed(queries, key, v, hands).select(F.explode(F.sequence(F.lit(0), F.lit(hands - 1))).alias("hand"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    both = left.join(packed(rows, "doc_id", "v", hands, label), "hand").select("query_ids", "queries", "ids", "vectors", "labels")
+    names = ("ids", "vectors", "labels")
+    left = packed(queries, key, v, hands, label if label in queries.columns else None)
+    left = left.select(F.explode(F.sequence(F.lit(0), F.lit(hands - 1))).alias("hand"), *(F.col(c).alias(f"query_{c}") for c in names))
+    both = left.join(packed(rows, "doc_id", "v", hands, label), "hand").select(*(f"query_{c}" for c in names), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, qv, r, rv, labels in zip(*b.columns, strict=True):
-                columns = meet(*unpacked(q, qv), *unpacked(r, rv), np.frombuffer(labels.as_buffer(), np.int64))
+            for q, qv, ql, r, rv, rl in zip(*b.columns, strict=True):
+                columns = meet(*(Block(*unpacked(i, x), np.frombuffer(y.as_buffer(), np.int64)) for i, x, y in ((q, qv, ql), (r, rv, rl))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return both.mapInArrow(run, sql)
@@ -104,16 +114,16 @@ def best(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool, digits: i
     """(query_id, doc_id, score): of each pair of blocks the k best of each query by rounded product (or cosine), then id, itself excluded."""
     scale = 10.0**digits
 
-    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: np.ndarray) -> tuple:
-        s = np.rint((unit(q) @ unit(m).T if cosine else q @ m.T) * scale).astype(np.int64)
-        s[query_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-        r, c = best_of(s, ids, k)
-        return query_ids[r], ids[c], s[r, c] / scale
+    def meet(q: Block, m: Block) -> tuple:
+        s = np.rint((unit(q.v) @ unit(m.v).T if cosine else q.v @ m.v.T) * scale).astype(np.int64)
+        s[q.ids[:, None] == m.ids[None, :]] = np.iinfo(np.int64).min
+        r, c = best_of(s, m.ids, k)
+        return q.ids[r], m.ids[c], s[r, c] / scale
 
     return scan(queries, vectors.select("doc_id", "v"), meet, _HITS, "query_id long, doc_id long, score double")
 
 
-def _gaps(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+def gaps(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed from differences so that near points lose no digits; a few rows at a time."""
     return np.sqrt(np.stack([((m - row) ** 2).sum(1) for row in q]))
 
@@ -124,13 +134,13 @@ _SUMS = pa.schema([("x", pa.int64()), ("label", pa.int64()), ("total", pa.float6
 def distance_sums(points: DataFrame) -> DataFrame:
     """(x, label, total, n): sums of the distances of each point to the other points of each label, one row for each pair of blocks."""
 
-    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, labels: np.ndarray) -> tuple:
-        d, other = _gaps(q, m), query_ids[:, None] != ids[None, :]
-        of, place = np.unique(labels, return_inverse=True)
-        own = np.zeros((len(ids), len(of)))
-        own[np.arange(len(ids)), place] = 1
+    def meet(q: Block, m: Block) -> tuple:
+        d, other = gaps(q.v, m.v), q.ids[:, None] != m.ids[None, :]
+        of, place = np.unique(m.labels, return_inverse=True)
+        own = np.zeros((len(m.ids), len(of)))
+        own[np.arange(len(m.ids)), place] = 1
         total, n = (d * other) @ own, other @ own
-        return np.repeat(query_ids, len(of)), np.tile(of, len(query_ids)), total.ravel(), np.rint(n.ravel()).astype(np.int64)
+        return np.repeat(q.ids, len(of)), np.tile(of, len(q.ids)), total.ravel(), np.rint(n.ravel()).astype(np.int64)
 
     return scan(points, points, meet, _SUMS, "x long, label long, total double, n long", "doc_id", "v", "label")
 
@@ -148,8 +158,8 @@ def near(q: np.ndarray, m: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarr
 def within(points: DataFrame, eps: float) -> DataFrame:
     """(a, b) of points with Euclidean distance at most eps, itself included, from all pairs of blocks."""
 
-    def meet(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: np.ndarray) -> tuple:
-        i, j = near(q, m, eps)
-        return query_ids[i], ids[j]
+    def meet(q: Block, m: Block) -> tuple:
+        i, j = near(q.v, m.v, eps)
+        return q.ids[i], m.ids[j]
 
     return scan(points, points, meet, _PAIRS, "a long, b long", "doc_id", "v")
