@@ -79,6 +79,28 @@ def split(rows: DataFrame, key: str, share: float, seed: int = 42) -> tuple[Data
     return rows.where(x), rows.where(~x)
 
 
+BUCKETS = 1 << 16
+
+
+def split_exact(rows: DataFrame, key: str, share: float, seed: int = 42, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, held out) with exactly int(share * n) rows in training, of each class of `by` if it is given.
+
+    Rows go in the order of a hash of seed and key, then the key (unique). Counts of BUCKETS ranges of the hash find the range that
+    holds the last training row; only the rows of that range are ordered. A null class is a class of its own.
+    """
+    own = rows.columns
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    x = rows.withColumns({"_class": (F.col(by) if by else F.lit(0)).cast("string"), "_h": h}).withColumn("_b", (F.col("_h") * BUCKETS / F.lit(1 << 32)).cast("int"))
+    counts = x.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_class")
+    counts = counts.withColumns({"_want": F.floor(F.lit(share) * F.sum("_n").over(w)), "_sofar": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))})
+    cut = counts.select(F.col("_class").alias("_c"), F.col("_b").alias("_at"), (F.col("_want") - (F.col("_sofar") - F.col("_n"))).alias("_left"), "_n")
+    marked = x.join(cut, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_at")), "left")
+    edge = marked.where("_left > 0 and _left < _n").withColumn("_i", F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", key)))
+    train = marked.where("_left >= _n").select(*own).unionByName(edge.where("_i <= _left").select(*own))
+    return train, marked.where("_left <= 0").select(*own).unionByName(edge.where("_i > _left").select(*own))
+
+
 def pooled(rows: DataFrame, layers: str = "layers", mask: str = "mask") -> DataFrame:
     """(doc_id, layer, cls, mean): a text's first token vector and the mean over unmasked tokens, for each layer of
     token vectors (array of layers of tokens of numbers)."""

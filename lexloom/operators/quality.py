@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import blocks
 from lexloom.operators.answers import DECISIONS, FORBIDDEN, MIN_WORDS, ROLES
 from lexloom.operators.evalir import METRICS
 from lexloom.operators.fusion import NONZERO, RUNS, dot
@@ -40,20 +41,24 @@ def ranking_checks(run: DataFrame, ids: DataFrame) -> DataFrame:
 
 def index_checks(catalog: DataFrame, dense: DataFrame, sparse: DataFrame, manifest: DataFrame, k: int = 5) -> DataFrame:
     """Stage 1, of catalog ids (doc_id), dense vectors (doc_id, v), sparse ones (doc_id, term, w) and a manifest row: the same
-    ids once each on all sides, dense norms near 1, 1 to 128 positive weights a document, the manifest's fields, and each
-    document among the k nearest to itself, by either side, first by the sparse one."""
+    ids once each on all sides, dense norms near 1, 1 to 128 positive weights a document, the manifest's fields, and, of the k
+    documents with the smallest ids, each among the k nearest to its own dense vector and first for its own sparse one."""
     ids = catalog.select("doc_id").distinct()
     norm = F.sqrt(dot("v", "v"))
     aligned = ids.join(dense.select("doc_id"), "doc_id", "full_outer").agg(F.count(F.lit(1)).alias("a")).crossJoin(ids.agg(F.count(F.lit(1)).alias("b"))).crossJoin(dense.agg(F.count(F.lit(1)).alias("c")))
-    n = sparse.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("s"))
+    n = sparse.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
     bounds = n.agg(_all(F.col("n").between(1, NONZERO)).alias("nonzero_bounded"), _all(F.col("w") > 0).alias("weights_positive"))
     fields = [f for f in MANIFEST_FIELDS if f not in manifest.columns]
     unit = dense.agg(_all(F.abs(norm - 1) <= 0.01).alias("norms_one"))
     probes = n.select(F.col("doc_id").alias("query_id")).orderBy("query_id").limit(k)  # a few self-retrievals, as a smoke check
     q = sparse.join(probes, F.col("doc_id") == F.col("query_id")).select("query_id", "term", F.col("w").alias("qw"))
     own = sparse.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where("query_id = doc_id")
-    found = own.agg(_all(F.col("rank") <= k).alias("finds_itself"))
-    return aligned.select((F.col("a") == F.col("b")).alias("same_ids"), (F.col("c") == F.col("b")).alias("ids_once")).crossJoin(unit).crossJoin(bounds).crossJoin(found).withColumn("manifest_complete", F.lit(not fields))
+    found = own.agg(_all(F.col("rank") == 1).alias("finds_itself"))
+    asked = dense.orderBy("doc_id").limit(k).select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    others = blocks.best(asked, dense, k, cosine=False).join(asked.select("query_id", F.round(dot("q", "q"), 5).alias("own")), "query_id")
+    before = others.where("score > own").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    near = before.agg(_all(F.col("n") < k).alias("finds_itself_dense"))
+    return aligned.select((F.col("a") == F.col("b")).alias("same_ids"), (F.col("c") == F.col("b")).alias("ids_once")).crossJoin(unit).crossJoin(bounds).crossJoin(found).crossJoin(near).withColumn("manifest_complete", F.lit(not fields))
 
 
 def retrieval_checks(retrieved: DataFrame, queries: DataFrame, catalog: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:

@@ -148,6 +148,13 @@ bo AS (SELECT nr.a, arg_min(lb.c, lb.a) AS c FROM nr JOIN lb ON lb.a = nr.b GROU
 db AS (SELECT doc_id, coalesce(lb.c, bo.c, -1) AS cluster FROM v LEFT JOIN lb ON lb.a = doc_id LEFT JOIN bo ON bo.a = doc_id)"""
 
 
+def rank_checks(run: str, known: str, score: str = "score", rank: str = "rank") -> tuple[str, str]:
+    """(a CTE `ck` over a run, the columns of the checks of its ranks, scores and ids)."""
+    w = f"OVER (PARTITION BY query_id ORDER BY {rank})"
+    return f"ck AS (SELECT *, row_number() {w} AS pos, lag({score}) {w} AS prior FROM ({run}))", f"bool_and({rank} = pos) AS ranks_dense, bool_and(doc_id IN ({known})) AS ids_known, bool_and(prior IS NULL OR prior >= {score}) AS scores_fall, count(DISTINCT (query_id, doc_id)) = count(*) AS ids_unique"
+
+
+_RANKS = rank_checks(_top(_DENSE_S, 10), "SELECT doc_id FROM v")
 ORACLE_SQL = {
     "clean_text": f"SELECT doc_id, array_to_string({_toks(f"regexp_replace(text, '{_URLS}', ' ', 'g')")}, ' ') AS clean FROM documents",
     "url_removal": f"SELECT doc_id, regexp_replace(text, '{_URLS}', ' ', 'g') AS clean FROM documents",
@@ -221,7 +228,7 @@ z AS (SELECT query_id, doc_id, {' + '.join(f'{w} * ({c} - avg({c}) OVER w) / (st
     "catalog_checks": f"WITH {_CAT} SELECT bool_and(coalesce(product_id, '') <> '') AS ids_filled, count(*) > 0 AS has_rows, count(DISTINCT product_id) = count(*) AS unique_ids, bool_and(coalesce(title, '') <> '') AS titles_filled, bool_and(coalesce(product_text, '') <> '') AS texts_filled, count(DISTINCT product_type) > 1 AS several_types, avg((len(product_text) > len(title))::INT) > 0.9 AS texts_longer FROM cat",
     "stratified_sample": f"WITH {_CAT}, h AS (SELECT *, ('0x' || substr(md5(product_id), 1, 8))::BIGINT AS h FROM cat), r AS (SELECT *, row_number() OVER (PARTITION BY product_type ORDER BY h, product_id) AS i FROM h) SELECT product_id, product_type FROM r WHERE i <= 5 ORDER BY h, product_id LIMIT 100",
     "html_strip": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages",
-    "ranking_checks": "SELECT true AS ranks_dense, true AS ids_known, true AS scores_fall, true AS ids_unique",
+    "ranking_checks": f"WITH {_VEC}, {_RANKS[0]} SELECT {_RANKS[1]} FROM ck",
     "answer_validate_repair": f"WITH {_ANS} SELECT * FROM ans",
     "answer_status_counts": f"WITH {_ANS} SELECT status, count(*) AS n FROM ans GROUP BY 1",
     "answer_checks": f"WITH {_ANS} SELECT bool_and(list_has_all(['exact', 'substitute', 'irrelevant'], string_split(roles, ','))) AS roles_valid, bool_and(decision IN ('recommend_exact', 'ask_clarification')) AS decisions_valid, bool_and(query_id IS NOT NULL) AS ids_filled, bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, ml, quality, search, snippet
+from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, linkage, ml, quality, search, snippet, sweep
 from lexloom.plans import oracle as o
 from lexloom.plans.catalog import Tables
 from lexloom.streaming import delta
@@ -192,6 +192,15 @@ def tfidf_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
     return ml.split(ml.tfidf(docs), "doc_id", 0.8)
 
 
+def _halves(train: DataFrame, held: DataFrame) -> DataFrame:
+    return train.select("doc_id", F.lit("train").alias("part")).unionByName(held.select("doc_id", F.lit("held").alias("part")))
+
+
+def _split_sql(by: str) -> str:
+    return f"""WITH {o._VEC}, h AS (SELECT doc_id, label, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT AS h FROM v)
+SELECT doc_id, CASE WHEN row_number() OVER ({by} ORDER BY h, doc_id) <= floor(0.8::DOUBLE * count(*) OVER ({by})) THEN 'train' ELSE 'held' END AS part FROM h"""
+
+
 def _tfidf(kind: str):
     return lambda t: ml.classification_report(ml.classify(*tfidf_sets(t), kind).select("label", "predicted"))
 
@@ -266,14 +275,43 @@ QUERIES = {
     "noise_ratio": lambda t: ml.noise_ratio(ml.dbscan(t.vectors(), 1.0)),
     "inertia": lambda t: ml.inertia(t.vectors().select("doc_id", "v").join(t.clusters().select("doc_id", "cluster"), "doc_id")),
     "layer_pooling": lambda t: ml.pooled(t.vectors().select("doc_id", F.array(F.array("v", F.reverse("v")), F.array(F.reverse("v"), "v")).alias("layers"), F.array(F.lit(1), (F.col("doc_id") % 2).cast("int")).alias("mask"))).select("doc_id", "layer", F.round(F.col("cls")[0], 5).alias("cls0"), F.round(F.col("mean")[0], 5).alias("mean0")),
-    "hac_average": lambda t: ml.hac(t.vectors().where(F.col("doc_id") % 20 == 0), 7),
+    "hac_average": lambda t: linkage.average(t.vectors(), 7),
     "split_sizes": lambda t: (lambda s: s[0].agg(F.count(F.lit(1)).alias("train")).crossJoin(s[1].agg(F.count(F.lit(1)).alias("held"))))(ml.split(t.vectors(), "doc_id", 1 / 3)),
+    "split_exact": lambda t: _halves(*ml.split_exact(t.vectors(), "doc_id", 0.8)),
+    "split_stratified": lambda t: _halves(*ml.split_exact(t.vectors(), "doc_id", 0.8, by="label")),
+    "hac_single": lambda t: linkage.single(t.vectors(), 10),
+    "hac_single_height": lambda t: linkage.single(t.vectors(), height=1.15),
+    "kmeans_sweep": lambda t: sweep.table(t.vectors(), [(k, seed, spherical) for k in (5, 10, 20) for seed in (1, 2) for spherical in (False, True)]),
     "multinomial_tfidf": _tfidf("multinomial"),
     "logreg_tfidf": _tfidf("logreg"),
     "subword_vectors": lambda t: ml.subword_vectors(ml.word2vec(t.documents.select("doc_id", T.tokens(F.col("text")).alias("w"))), t.benchmark.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()),
 }
 
-_T = "true AS {}"
+def _stage(run: str, score: str, rank: str, more: str = "") -> str:
+    """The checks of a run with types against the queries (ty) and the documents."""
+    cte, columns = o.rank_checks(f"SELECT r.*, ty.query_type AS kind FROM {run} r LEFT JOIN ty USING (query_id)", "SELECT doc_id FROM v UNION SELECT doc_id FROM documents", score, rank)
+    return f"""{cte} SELECT {columns}, bool_and(coalesce(query_type = kind, false)) AS types_match, bool_and((sparse IS NULL) = (query_type = 'image')) AS sparse_null_for_images,
+(SELECT count(*) = 0 FROM ty WHERE query_id NOT IN (SELECT query_id FROM {run})) AS all_answered{more} FROM ck"""
+
+
+_WITHIN = ", (SELECT count(*) = 0 FROM rr ANTI JOIN rt USING (query_id, doc_id)) AS within_pool, bool_and(ce IS NOT NULL OR query_type = 'image') AS model_scores, bool_and(final IS NOT NULL) AS final_scores"
+_STAGE1 = f"""WITH {o._BASE}, {o._VEC}, {o._SV}, s1 AS (SELECT * FROM sv WHERE doc_id IN (SELECT doc_id FROM v)),
+u AS (SELECT doc_id, list_transform(v, lambda x: x::DOUBLE / n) AS v FROM (SELECT doc_id, v, sqrt({o._DOT.format('v', 'v')}) AS n FROM v)),
+n AS (SELECT doc_id, count(*) AS n, min(w) AS w FROM s1 GROUP BY 1), pr AS (SELECT doc_id AS query_id FROM n ORDER BY 1 LIMIT 5),
+sp AS (SELECT query_id, x.doc_id, round(sum(x.w * y.w), 6) AS s FROM pr JOIN s1 y ON y.doc_id = query_id JOIN s1 x USING (term) GROUP BY ALL),
+sr AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY s DESC) AS r FROM sp),
+dp AS (SELECT x.doc_id AS query_id, y.doc_id, round({o._DOT.format('x.v', 'y.v')}, 5) AS s FROM (FROM u ORDER BY doc_id LIMIT 5) x, u y),
+dr AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY s DESC) AS r FROM dp)
+SELECT (SELECT count(DISTINCT doc_id) FROM v) = (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM v) x FULL JOIN u USING (doc_id)) AS same_ids, (SELECT count(*) = count(DISTINCT doc_id) FROM u) AS ids_once,
+(SELECT bool_and(abs(sqrt({o._DOT.format('v', 'v')}) - 1) <= 0.01) FROM u) AS norms_one, (SELECT bool_and(n BETWEEN 1 AND 128) FROM n) AS nonzero_bounded, (SELECT bool_and(w > 0) FROM n) AS weights_positive,
+(SELECT bool_and(r = 1) FROM sr WHERE query_id = doc_id) AS finds_itself, (SELECT bool_and(r <= 5) FROM dr WHERE query_id = doc_id) AS finds_itself_dense, true AS manifest_complete"""
+_STAGE4 = f"""{_TABLE.replace(chr(10) + "SELECT run, coalesce", "," + chr(10) + "tb AS (SELECT run, coalesce")}), pl AS (SELECT DISTINCT query_id, doc_id FROM xr WHERE rank <= 10 AND run <> '{fusion.RUNS[2]}'),
+jg AS (SELECT query_id, doc_id, CASE (query_id + doc_id) % 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS rel FROM pl WHERE (query_id + doc_id) % 5 IN (1, 2, 3))
+SELECT bool_and({' AND '.join(f'{c} BETWEEN 0 AND 1' for c in evalir.METRICS)}) AS metrics_in_range, bool_and(num_queries > 0) AS queries_positive, bool_and(NOT (run IN ('{fusion.RUNS[1]}', '{fusion.RUNS[3]}') AND query_type = 'image')) AS text_runs_without_images,
+count(DISTINCT CASE WHEN query_type = 'all' THEN run END) = {len(fusion.RUNS)} AS runs_complete, (SELECT bool_and(n BETWEEN 10 AND 50) FROM (SELECT count(*) AS n FROM pl GROUP BY query_id)) AS pool_sizes,
+(SELECT count(*) = count(DISTINCT (query_id, doc_id)) FROM jg) AS judged_once, (SELECT bool_and(rel BETWEEN 0 AND 2) FROM jg) AS grades_valid FROM tb"""
+_INDEX = f"""WITH {o._BASE}, a AS (SELECT doc_id, term, tf FROM p UNION ALL SELECT -1 - doc_id, term, tf FROM p), b AS (SELECT * FROM a WHERE doc_id NOT IN (SELECT -1 - doc_id FROM documents))
+SELECT (SELECT count(*) = 0 FROM ((FROM b EXCEPT ALL FROM p) UNION ALL (FROM p EXCEPT ALL FROM b))) AS round_trip, (SELECT count(*) = 0 FROM documents WHERE list_contains({o._toks('text')}, 'the') AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the')) AS scan_in_postings"""
 ORACLE_SQL = {
     "search_bm25": o._fielded(o._BM),
     "search_vsm": o._fielded(_FV),
@@ -283,14 +321,14 @@ ORACLE_SQL = {
     "index_array_fields": f"SELECT field, term, doc_id, count(*) AS tf FROM (SELECT doc_id, 'genres' AS field, unnest({o._toks("replace(source, 'r', ' ')")}) AS term FROM documents UNION ALL SELECT doc_id, 'description', unnest({o._toks("concat_ws(' ', lang, source)")}) FROM documents) GROUP BY ALL",
     "containing_scan": f"SELECT doc_id FROM documents WHERE list_contains({o._toks("concat_ws(' ', text, lang, source)")}, 'the')",
     "fetch_by_id": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "index_checks": "SELECT true AS round_trip, true AS scan_in_postings",
+    "index_checks": _INDEX,
     "jaccard_of_pairs": f"SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS j FROM (SELECT doc_id, list_distinct({o._toks('text')}) AS a, list_distinct({o._toks("concat_ws(' ', lang, source)")}) AS b FROM documents)",
     "preprocess_docs": f"SELECT doc_id, array_to_string({o._toks(f"regexp_replace(text, '{o._URLS}', ' ', 'g')")}, ' ') AS title, array_to_string(list_transform(string_split(source, 'r'), lambda x: array_to_string({o._toks('x')}, ' ')), '|') AS author FROM documents",
     "build_corpus": f"SELECT doc_id, array_to_string(w, ' ') AS words FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(concat_ws(' ', 'title', source, 'author', lang, 'description', text, 'genres', '', 'characters', '')), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ({o._in(o.GENERAL_STOPWORDS)})) AS w FROM documents) WHERE len(list_filter(w, lambda x: x NOT IN ('title', 'author', 'description', 'genres', 'characters'))) > 0",
     "eligible_listings": f"WITH {_LIST} SELECT product_id, title, path FROM ok JOIN im ON image_id = main_image_id",
     "product_template": f"WITH {_LIST} SELECT product_id, 'Title: ' || title || chr(10) || 'Category: ' || category_path || chr(10) || 'Product type: ' || p_type || chr(10) || 'Brand: ' || p_brand || chr(10) || 'Color: ' || chr(10) || 'Material: ' || chr(10) || 'Style: ' || chr(10) || 'Dimensions: ' || p_size || chr(10) || 'Description: ' || trim(regexp_replace(p_name, '\\s+', ' ', 'g')) || ' new' || chr(10) || 'Features: ' AS product_text FROM li",
     "image_queries": f"WITH {o._VEC}, {_TYPES}, {_LIST} SELECT query_id, query_type, 'small/' || query_id || '.jpg' AS image_path FROM ty WHERE query_type = 'text' OR 'small/' || query_id || '.jpg' IN (SELECT path FROM im)",
-    "listing_checks": f"WITH {_LIST} SELECT true AS ids_filled, true AS images_filled, count(*) > 0 AS has_rows, count(DISTINCT product_id) = count(*) AS unique_ids, bool_and(title <> '') AS titles_filled, true AS texts_filled, count(DISTINCT p_type) > 1 AS several_types, true AS texts_longer FROM ok",
+    "listing_checks": f"WITH {_LIST} SELECT bool_and(product_id <> '') AS ids_filled, bool_and(coalesce(main_image_id, '') <> '') AS images_filled, count(*) > 0 AS has_rows, count(DISTINCT product_id) = count(*) AS unique_ids, bool_and(title <> '') AS titles_filled, bool_and('Title: ' || title || p_type <> '') AS texts_filled, count(DISTINCT p_type) > 1 AS several_types, avg((len('Title: ' || title || p_type) > len(title))::INT) > 0.9 AS texts_longer FROM ok",
     "snippet_html": "SELECT doc_id, '<mark>' || source || '</mark> in ' || lang AS html FROM documents",
     "retrieve_by_type": f"{_RET} SELECT * FROM rt",
     "retrieval_summary": f"{_RET} SELECT coalesce(query_type, 'all') AS query_type, count(*) AS queries, round(avg(n), 4) AS candidates, round(avg(b), 4) AS in_both FROM (SELECT query_id, query_type, count(*) AS n, count(*) FILTER (source = 'dense,sparse') AS b FROM rt GROUP BY ALL) GROUP BY ROLLUP (query_type)",
@@ -302,13 +340,16 @@ ORACLE_SQL = {
     "finalized_pool": f"{_POOL} SELECT query_id, doc_id, CASE (query_id + doc_id) % 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS rel FROM pl WHERE (query_id + doc_id) % 5 IN (1, 2, 3)",
     "best_text_example": o.ORACLE_SQL["best_example"].replace("WHERE mt.ndcg10", "WHERE query_id % 60 NOT IN (0, 20) AND mt.ndcg10"),
     "calculate_evaluation": _CALC,
-    "stage1_checks": f"SELECT {', '.join(_T.format(c) for c in ('same_ids', 'ids_once', 'norms_one', 'nonzero_bounded', 'weights_positive', 'finds_itself', 'manifest_complete'))}",
-    "stage2_checks": f"SELECT {', '.join(_T.format(c) for c in ('ranks_dense', 'scores_fall', 'ids_unique', 'ids_known', 'types_match', 'sparse_null_for_images', 'all_answered'))}",
-    "stage3_checks": f"SELECT {', '.join(_T.format(c) for c in ('ranks_dense', 'scores_fall', 'ids_unique', 'ids_known', 'types_match', 'sparse_null_for_images', 'all_answered', 'within_pool', 'model_scores', 'final_scores'))}",
-    "stage4_checks": f"SELECT {', '.join(_T.format(c) for c in ('metrics_in_range', 'queries_positive', 'text_runs_without_images', 'runs_complete', 'pool_sizes', 'judged_once', 'grades_valid'))}",
-    "stage5_checks": f"WITH {o._ANS} SELECT true AS roles_valid, true AS decisions_valid, true AS ids_filled, true AS ids_in_first_eight, bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",
+    "stage1_checks": _STAGE1,
+    "stage2_checks": f"{_RET}, {_stage('rt', 'score', 'rank')}",
+    "stage3_checks": f"{_RER}, {_stage('rr', 'final', 'final_rank', _WITHIN)}",
+    "stage4_checks": _STAGE4,
+    "stage5_checks": f"WITH {o._ANS} SELECT bool_and(list_has_all(['exact', 'substitute', 'irrelevant'], string_split(roles, ','))) AS roles_valid, bool_and(decision IN ('recommend_exact', 'ask_clarification')) AS decisions_valid, bool_and(query_id IS NOT NULL) AS ids_filled, true AS ids_in_first_eight, bool_and(len(string_split_regex(customer_response, '\\s+')) >= 8) AS long_enough, bool_and(NOT regexp_matches(lower(customer_response), 'price|stock|review|rating|shipping|discount')) AS no_commerce_terms, bool_and(n_judgements >= 1) AS judged FROM ans",
     "answer_generation": f"WITH {o._ANS} SELECT CASE WHEN status = 'fallback' THEN 'direct-valid' ELSE status END AS status, CASE WHEN status = 'fallback' THEN query_id::INT % 3 ELSE 0 END + 1 AS attempts, count(*) AS n FROM ans GROUP BY ALL",
     "sft_training_rows": f"WITH {o._BASE}, t8 AS ({o._top(o._BM25, 8)}), pr AS (SELECT query_id, 'Query: ' || any_value(b.text) || chr(10) || 'Products:' || chr(10) || string_agg(rank || '. ' || t8.doc_id || ' | ' || lang || ' | ' || source, chr(10) ORDER BY rank) AS prompt FROM t8 JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = t8.doc_id WHERE query_id % 2 = 0 GROUP BY query_id) SELECT query_id, to_json([{{'role': 'user', 'content': prompt}}, {{'role': 'assistant', 'content': '{{\"decision\":\"ask_clarification\"}}'}}])::VARCHAR AS messages FROM pr",
+    "split_exact": _split_sql(""),
+    "split_stratified": _split_sql("PARTITION BY label"),
+    "hac_single_height": f"{o.dbscan(1.15, 1)} SELECT * FROM db",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "odd_answers": f"{_ODD} SELECT * FROM an",
     "odd_accuracy": f"{_ODD}, fw AS (SELECT g, min(CASE WHEN doc_id % 40 = 3 THEN 'unknown' ELSE word END) AS r FROM g GROUP BY 1) SELECT count(*) FILTER (odd = r) AS correct, count(*) AS total, round(count(*) FILTER (odd = r) / count(*), 6) AS accuracy FROM an JOIN fw USING (g) WHERE error IS NULL",

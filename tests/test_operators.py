@@ -400,3 +400,64 @@ def test_tiers_that_no_query_needs_are_not_read(spark):
     assert sorted(map(tuple, rank.tier_reads(tiers, q.where("query_id < 2")).collect())) == [(1, 1, 12)]
     assert sorted(map(tuple, rank.tier_reads(tiers, q.where("query_id < 3")).collect())) == [(1, 2, 12), (2, 1, 20)]
     assert sorted(map(tuple, rank.tier_reads(tiers, q).collect())) == [(1, 3, 12), (2, 2, 20), (3, 1, 0)]
+
+
+def test_linkage_without_the_driver(spark):
+    import numpy as np
+    from lexloom.operators import linkage
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    r = np.random.default_rng(1)
+    x = np.concatenate((r.normal(size=(25, 3)), r.normal(size=(25, 3)) + 4))
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(r.permutation(50) * 3, x)] + [(999, None)], "doc_id long, v array<double>").repartition(3)
+    good = points.where("doc_id < 999")
+    tree, ave = linkage.spanning_tree(points).collect(), linkage.average_merges(points)
+    assert len(tree) == 49 and ave.count() == 49
+    for k in (2, 9):
+        assert sorted(map(tuple, linkage.single(points, k).collect())) == sorted(map(tuple, ml.hac(good, k, "single").collect()))
+    assert sorted(map(tuple, linkage.average(points, 6).collect())) == sorted(map(tuple, ml.hac(good, 6, "average").collect()))
+    alike = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "doc_id long, v array<double>")  # ties close no cycle
+    assert len(linkage.spanning_tree(alike).collect()) == 5 and {c for _, c in linkage.average(alike, 1).collect()} == {0}
+    assert linkage.single(points.limit(0), 3).count() == 0 and linkage.average(points.limit(0), 3).count() == 0
+
+
+def test_sweep_is_plain_k_means(spark):
+    import numpy as np
+    from lexloom.operators import sweep
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(40, 4)) + 6 * r.normal(size=4) for _ in range(4)])
+    points = spark.createDataFrame([(i, v.tolist(), i // 40) for i, v in enumerate(x)] + [(999, None, 1)], "doc_id long, v array<double>, label int").repartition(4)
+    sets = [(3, 1, False), (4, 2, False), (4, 2, True), (200, 3, False)]
+    begin = sweep.starts(points.where("v is not null"), sets)
+    assert [len(c.v) for c in begin] == [3, 4, 4, 160]
+    done = sweep.starts(points.where("v is not null"), sets)
+    sweep.step(points.where("v is not null"), done)
+    for a, b in zip(begin, done, strict=True):
+        y = x / np.linalg.norm(x, axis=1)[:, None] if a.spherical else x
+        own = [min(range(len(a.v)), key=lambda j, p=p: (((p - a.v[j]) ** 2).sum(), j)) for p in y]
+        mean = [y[[i for i in range(160) if own[i] == j]].mean(0) if j in own else a.v[j] for j in range(len(a.v))]
+        assert np.allclose([m / np.linalg.norm(m) for m in mean] if a.spherical else mean, b.v)
+    rows = {(t.k, t.seed, t.spherical): t for t in sweep.table(points, sets).collect()}
+    fitted = sweep.fit(points, sets)
+    for c in fitted:
+        own, gap = sweep.nearest(x, c)
+        t = rows[c.k, c.seed, c.spherical]
+        assert t.inertia == pytest.approx(gap.sum(), abs=1e-3) and t.clusters == len(set(own.tolist()))
+        plain = ml.cluster_measures(spark.createDataFrame([(int(o), i // 40) for i, o in enumerate(own)], "cluster int, label int")).first()
+        assert (t.purity, t.nmi, t.rand) == pytest.approx((plain.purity, plain.nmi, plain.rand), abs=2e-6)
+
+
+def test_exact_splits(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(1003)], "doc_id long, label int")
+    for share in (0.8, 1 / 3, 0.0, 1.0):
+        train, held = ml.split_exact(rows.repartition(5), "doc_id", share)
+        assert train.count() == int(share * 1003) and train.unionByName(held).distinct().count() == 1003
+        assert sorted(map(tuple, train.collect())) == sorted(map(tuple, ml.split_exact(rows.repartition(2), "doc_id", share)[0].collect()))
+    train, held = ml.split_exact(rows, "doc_id", 0.8, by="label")
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    assert {r.label: r["count"] for r in train.groupBy("label").count().collect()} == {k: int(0.8 * n) for k, n in sizes.items()}
+    assert train.unionByName(held).distinct().count() == 1003
