@@ -151,7 +151,7 @@ def _signatures(t: Tables) -> DataFrame:
 
 
 def _unknown(t: Tables) -> tuple[DataFrame, DataFrame]:
-    vocab = spell.vocabulary(t.documents)
+    vocab = t.once("vocab", lambda: spell.vocabulary(t.documents))
     words = t.benchmark.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return words.join(vocab, "word", "left_anti"), vocab
 
@@ -217,7 +217,7 @@ CATALOG = {
     "exact_jaccard_pairs": lambda t: dedup.exact_pairs(dedup.shingle_rows(t.documents)),
     "kgrams": lambda t: spell.vocabulary(t.documents).select("word", F.array_join(F.array_sort(T.kgrams(F.col("word"))), ",").alias("grams")),
     "spell_candidates": lambda t: spell.nearest_words(*_unknown(t)),
-    "spell_check": lambda t: spell.spell_check(t.queries(), spell.vocabulary(t.documents)),
+    "spell_check": lambda t: spell.spell_check(t.queries(), t.once("vocab", lambda: spell.vocabulary(t.documents))),
     "snippets": lambda t: snippet.snippets(t.top3(), t.documents, t.queries()),
     "missing_query_words": lambda t: snippet.missing_words(t.top3(), t.documents, t.queries()),
     "highlight_html": lambda t: t.documents.select("doc_id", T.highlighted(F.col("text"), "the").alias("html"), T.shortened(F.col("text")).alias("short")),
