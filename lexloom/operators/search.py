@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import stem
 from lexloom.operators import index as ix
-from lexloom.operators import rank
+from lexloom.operators import lemma, rank
 from lexloom.session import stored
 
 # The field weights of a plain list, in this order, and other names of methods.
@@ -19,21 +19,44 @@ ALIASES = {"okapibm25": "bm25"}
 
 @dataclass
 class Collection:
-    """Documents, their searched fields, and whether terms are stems. An index of stored postings and lengths is used if given."""
+    """Documents, their searched fields, and whether terms are stems or lemmas. An index of stored postings and lengths is used if given."""
 
     docs: DataFrame
     fields: dict[str, Column]
     stems: bool = False
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    lemmas: bool = False
+
+    def words(self) -> DataFrame:
+        """(word): the distinct words of all fields."""
+        every = F.concat(*(ix.words_of(self.docs, c) for c in self.fields.values()))
+        return self.docs.select(F.explode(every).alias("word")).distinct()
+
+    def forms(self, words: DataFrame, known: DataFrame) -> DataFrame:
+        """(word, form): the stem or lemma of each of the distinct words; lemmas must be known words."""
+        return words.select("word", stem("word").alias("form")) if self.stems else lemma.lemmas(words, known).withColumnRenamed("lemma", "form")
 
     def find(self, terms: DataFrame) -> DataFrame:
-        """Postings of the terms (stems, if the collection has them)."""
+        """Postings of the terms (stems or lemmas, if the collection has them). Only distinct words are brought to their form, and only
+        words of a wanted form are counted."""
         if self.postings is not None:
             return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        if not self.stems:
+        if not (self.stems or self.lemmas):
             return ix.postings(self.docs, self.fields, terms)
-        return ix.stemmed(ix.postings(self.docs, self.fields)).join(terms.select("term").distinct(), "term", "left_semi")
+        words = stored(self.words())
+        wanted = stored(self.forms(words, words).join(terms.select(F.col("term").alias("form")).distinct(), "form", "left_semi"))
+        p = ix.postings(self.docs, self.fields, wanted.select(F.col("word").alias("term")))
+        rows = p.join(wanted.withColumnRenamed("word", "term"), "term").groupBy("field", "form", "doc_id").agg(F.sum("tf").alias("tf"))
+        return rows.select("field", F.col("form").alias("term"), "doc_id", "tf")
+
+    def terms_of(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, qtf) of (query_id, text), in the collection's forms."""
+        if not self.lemmas or self.stems:
+            return query_terms(queries, self.stems)
+        q = query_terms(queries)
+        forms = lemma.lemmas(q.select(F.col("term").alias("word")), self.words())
+        return stored(q.join(forms.withColumnRenamed("word", "term"), "term").groupBy("query_id", "lemma").agg(F.sum("qtf").alias("qtf")).select("query_id", F.col("lemma").alias("term"), "qtf"))
 
     def sizes(self) -> DataFrame:
         return ix.lengths(self.docs, self.fields) if self.lengths is None else self.lengths
@@ -61,7 +84,7 @@ def search(where: Collection, queries: DataFrame, method: str = "ltn.lnn", weigh
     used = [f for f in where.fields if weights.get(f)]
     if not used:
         raise ValueError("no field has a weight")
-    q = query_terms(queries, where.stems)
+    q = where.terms_of(queries)
     p, sizes = where.find(q), where.sizes()
 
     def score(field: str, rows: DataFrame, q: DataFrame = q) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, linkage, ml, quality, search, snippet, sweep
+from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, lemma, linkage, ml, quality, search, snippet, sweep
 from lexloom.plans import oracle as o
 from lexloom.plans.catalog import Tables
 from lexloom.streaming import delta
@@ -234,6 +234,8 @@ QUERIES = {
     "tiered_vsm": _search("ltn.lnn", safe=False),
     "search_bm25_stemmed": _stemmed("bm25"),
     "search_vsm_stemmed": _stemmed("ltn.lnn"),
+    "search_bm25_lemmas": lambda t: search.search(search.Collection(t.documents, t.fields(), lemmas=True), _queries(t), "bm25"),
+    "lemma_table": lambda t: lemma.lemmas(t.documents.select(F.explode(T.tokens(F.col("text"))).alias("word"))),
     "snippets_stemmed": lambda t: snippet.snippets(t.top3(), t.documents, t.queries(), stems=True),
     "index_array_fields": lambda t: index.postings(t.documents, {"genres": F.split("source", "r"), "description": F.array("lang", "source")}),
     "containing_scan": lambda t: index.containing(t.documents, "the", t.fields()),
@@ -312,7 +314,17 @@ count(DISTINCT CASE WHEN query_type = 'all' THEN run END) = {len(fusion.RUNS)} A
 (SELECT count(*) = count(DISTINCT (query_id, doc_id)) FROM jg) AS judged_once, (SELECT bool_and(rel BETWEEN 0 AND 2) FROM jg) AS grades_valid FROM tb"""
 _INDEX = f"""WITH {o._BASE}, a AS (SELECT doc_id, term, tf FROM p UNION ALL SELECT -1 - doc_id, term, tf FROM p), b AS (SELECT * FROM a WHERE doc_id NOT IN (SELECT -1 - doc_id FROM documents))
 SELECT (SELECT count(*) = 0 FROM ((FROM b EXCEPT ALL FROM p) UNION ALL (FROM p EXCEPT ALL FROM b))) AS round_trip, (SELECT count(*) = 0 FROM documents WHERE list_contains({o._toks('text')}, 'the') AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the')) AS scan_in_postings"""
+def _lemma_sql() -> str:
+    """`lm`: the words of the documents with their lemmas, a join a rule."""
+    tried = " UNION ALL ".join(f"SELECT word, {i} AS i, substr(word, 1, len(word) - {len(a)}) || '{b}' AS base FROM vc WHERE suffix(word, '{a}') AND len(word) - {len(a)} + {len(b)} >= {lemma.SHORTEST}" for i, (a, b) in enumerate(lemma.rules()))
+    odd = " ".join(f"WHEN '{w}' THEN '{b}'" for w, b in lemma.irregular().items())
+    return f"""vc AS (SELECT DISTINCT unnest({o._toks('text')}) AS word FROM documents), tr AS ({tried}),
+fd AS (SELECT word, arg_min(base, i) AS base FROM tr WHERE base IN (SELECT word FROM vc) GROUP BY 1),
+lm AS (SELECT word, coalesce(CASE word {odd} END, base, word) AS lemma FROM vc LEFT JOIN fd USING (word))"""
+
+
 ORACLE_SQL = {
+    "lemma_table": f"WITH {_lemma_sql()} SELECT * FROM lm",
     "search_bm25": o._fielded(o._BM),
     "search_vsm": o._fielded(_FV),
     "fielded_lm": _LM,

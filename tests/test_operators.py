@@ -461,3 +461,19 @@ def test_exact_splits(spark):
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     assert {r.label: r["count"] for r in train.groupBy("label").count().collect()} == {k: int(0.8 * n) for k, n in sizes.items()}
     assert train.unionByName(held).distinct().count() == 1003
+
+
+def test_lemmas(spark):
+    from lexloom.operators import lemma
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    words = "cats cat boxes box buses bus women woman cities city running run runn making make baked bake larger large mice better glass is as yes tests".split()
+    got = dict(map(tuple, lemma.lemmas(spark.createDataFrame([(w,) for w in words] + [(None,), ("cats",)], "word string")).collect()))
+    assert got == {w: w for w in words} | {"cats": "cat", "boxes": "box", "buses": "bus", "women": "woman", "cities": "city", "running": "runn", "making": "make", "baked": "bake", "larger": "large", "mice": "mouse", "better": "good"}
+    assert dict(map(tuple, lemma.lemmas(spark.createDataFrame([("larger",), ("cats",), ("mice",)], "word string"), spark.createDataFrame([("cat",), ("large",)], "word string"), ("noun",)).collect())) == {"larger": "larger", "cats": "cat", "mice": "mouse"}
+    docs = spark.createDataFrame([(1, "the mouse and the cat"), (2, "mice mice"), (3, "cats"), (4, "dogs")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "mice"), (2, "cats cat"), (3, "dog")], "query_id long, text string")
+    where = search.Collection(docs, {"description": F.col("text")}, lemmas=True)
+    hits = search.search(where, asked, "nnn.nnn", {"description": 1.0}).collect()
+    assert sorted((h.query_id, h.doc_id, h.score) for h in hits) == [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 3, 2.0)]  # "dogs" has no base in the documents
