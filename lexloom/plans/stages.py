@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lexloom.functions import text as T
 from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, lemma, linkage, ml, quality, search, snippet, sweep
 from lexloom.plans import oracle as o
 from lexloom.plans.catalog import Tables
-from lexloom.streaming import delta
+from lexloom.session import new_path
+from lexloom.streaming import delta, segments
 
 # ---------------------------------------------------------------- search
 
@@ -226,7 +229,18 @@ def profile(t: Tables) -> DataFrame:
     return ml.cluster_terms(t.clusters().select("doc_id", "cluster"), words, t.vectors().select("doc_id", "label"))
 
 
+def segmented(t: Tables) -> DataFrame:
+    """The statistics of an index after two batches of new documents, one of updates and one of deletions, which comes twice."""
+    at, d = new_path(t.spark, f"lexloom-{uuid.uuid4().hex}"), t.documents.select("doc_id", "text", "lang", "source")
+    batches = [d.where("doc_id % 3 = 0"), d.where("doc_id % 3 > 0"), d.where("doc_id % 10 = 0").withColumn("text", F.concat_ws(" ", "lang", "source")), t.labels.where("quality = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"))]
+    for i, rows in enumerate(batches):
+        segments.ingest(rows, at, i)
+    segments.ingest(batches[-1], at, len(batches) - 1)
+    return index.term_stats(segments.index(t.spark, at, len(batches)).withColumn("field", F.lit("description")))
+
+
 QUERIES = {
+    "segment_index": segmented,
     "search_bm25": _search("bm25"),
     "search_vsm": _search("ltn.lnn"),
     "fielded_lm": lambda t: search.search(_collection(t), _lm_queries(t), "unigram"),
@@ -324,6 +338,7 @@ lm AS (SELECT word, coalesce(CASE word {odd} END, base, word) AS lemma FROM vc L
 
 
 ORACLE_SQL = {
+    "segment_index": f"SELECT 'description' AS field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({o._toks("CASE WHEN doc_id % 10 = 0 THEN concat_ws(' ', lang, source) ELSE text END")}) AS term FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) GROUP BY ALL) GROUP BY term",
     "lemma_table": f"WITH {_lemma_sql()} SELECT * FROM lm",
     "search_bm25": o._fielded(o._BM),
     "search_vsm": o._fielded(_FV),

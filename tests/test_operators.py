@@ -477,3 +477,41 @@ def test_lemmas(spark):
     where = search.Collection(docs, {"description": F.col("text")}, lemmas=True)
     hits = search.search(where, asked, "nnn.nnn", {"description": 1.0}).collect()
     assert sorted((h.query_id, h.doc_id, h.score) for h in hits) == [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 2.0), (2, 3, 2.0)]  # "dogs" has no base in the documents
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    import random
+
+    from lexloom.streaming import segments
+
+    r, path, state = random.Random(3), str(tmp_path / "ix"), {}
+    schema = "doc_id long, text string, deleted boolean"
+    text = lambda: " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9)))
+    written = []
+    for n in range(9):
+        ids = r.sample(range(30), 6)
+        rows = [(i, text(), r.random() < 0.3) for i in ids] + [(None, "x y", False)] + ([(ids[0], "zzz", False)] if n == 2 else [])
+        for i, t, gone in sorted(rows[:6] + rows[7:], key=lambda x: (x[2], x[1])):
+            state[i] = None if gone else t
+        batch = spark.createDataFrame(rows, schema)
+        segments.ingest(batch, path, n, fan=3)
+        if n in (4, 8):
+            segments.ingest(batch, path, n, fan=3)  # replayed
+        docs = spark.createDataFrame([(i, t) for i, t in state.items() if t is not None], "doc_id long, text string")
+        assert sorted(map(tuple, segments.index(spark, path, n + 1).collect())) == sorted(map(tuple, index.postings(docs).select("term", "doc_id", "tf").collect()))
+        written.append(segments.segments(spark, path, n + 1))
+    assert [sorted(level for _, level in s) for s in written] == [[0], [0, 0], [1], [0, 1], [0, 0, 1], [1, 1], [0, 1, 1], [0, 0, 1, 1], [2]]
+    before = sorted(map(tuple, segments.index(spark, path, 9).collect()))
+    assert len(segments.vacuum(spark, path, 9)) == 12 - 0 and sorted(map(tuple, segments.index(spark, path, 9).collect())) == before
+    assert segments.index(spark, path, 0).count() == 0
+
+
+def test_segments_of_a_stream(spark, tmp_path):
+    from lexloom.streaming import segments
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    for part in (docs, spark.createDataFrame([(2, "d"), (3, "a a")], "doc_id long, text string")):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        segments.maintain(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted(map(tuple, segments.index(spark, str(tmp_path / "ix"), 2).collect()))
+    assert got == [("a", 1, 1), ("a", 3, 2), ("b", 1, 1), ("d", 2, 1)]
