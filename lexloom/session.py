@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,19 +29,25 @@ def work_dir(spark: SparkSession) -> str:
 
 
 _MADE: list[str] = []
+_HADOOP: list = []  # the session's file system settings, which outlive it
 
 
 def _remove_made() -> None:
-    """Delete this process's tables in the shared folder, if its session still runs."""
+    """Delete this process's tables in the shared folder, whether its session still runs or was stopped."""
+    if (jvm := SparkContext._jvm) is None:
+        return
     spark = SparkSession.getActiveSession()
-    for path in _MADE if spark else ():
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path in _MADE:
+        if spark and (name := path.rsplit("/", 1)[-1]).startswith("lexloom_"):  # a bucketed table has an entry in the catalog
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(_HADOOP[-1]).delete(p, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     if not _MADE:
         atexit.register(_remove_made)
+    _HADOOP[:] = [spark._jsc.hadoopConfiguration()]
     _MADE.append(f"{work_dir(spark)}/{name}")
     return _MADE[-1]
 
