@@ -154,7 +154,7 @@ class Network:
             at += x.size
 
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.p["e"][near].reshape(len(near), -1)
+        x = np.take(self.p["e"], near, axis=0).reshape(len(near), -1)
         return x, np.tanh(x @ self.p["w"] + self.p["b"])
 
     def log_probabilities(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ class Network:
         out = own - top - np.log(np.exp(z, out=z).sum(1))
         nodes, turns, row, some, begin = self.lexicon.paths(target)
         if len(nodes):
-            z = turns * (np.einsum("ij,ij->i", self.p["u"][nodes], h[row]) + self.p["c"][nodes])
+            z = turns * (np.einsum("ij,ij->i", np.take(self.p["u"], nodes, axis=0), np.take(h, row, axis=0)) + np.take(self.p["c"], nodes))
             out[some] += np.add.reduceat(-np.log1p(np.exp(-np.clip(z, -30, 30))).astype(np.float64), begin)
         return out
 
@@ -187,20 +187,20 @@ class Network:
         dh, grads = dz @ self.p["s"].T, []
         nodes, turns, row, some, begin = self.lexicon.paths(target)
         if len(nodes):
-            u, hr = self.p["u"][nodes], h[row]
-            z = turns * (np.einsum("ij,ij->i", u, hr) + self.p["c"][nodes])
+            u, hr = np.take(self.p["u"], nodes, axis=0), np.take(h, row, axis=0)
+            z = turns * (np.einsum("ij,ij->i", u, hr) + np.take(self.p["c"], nodes))
             d = -turns / (1 + np.exp(np.clip(z, -30, 30))) / len(target)
             u *= d[:, None]
             dh[some] += np.add.reduceat(u, begin)
             hr *= d[:, None]
             order, head = grouped(nodes)
             at = nodes[order[head]]
-            grads += [("u", at, np.add.reduceat(hr[order], head)), ("c", at, np.add.reduceat(d[order], head))]
+            grads += [("u", at, np.add.reduceat(np.take(hr, order, axis=0), head)), ("c", at, np.add.reduceat(d[order], head))]
         dh *= 1 - h * h
         dx = (dh @ self.p["w"].T).reshape(-1, DIM)
         flat = near.ravel()
         order, head = grouped(flat)
-        grads += [("e", flat[order[head]], np.add.reduceat(dx[order], head)), ("w", slice(None), x.T @ dh), ("b", slice(None), dh.sum(0)), ("s", slice(None), h.T @ dz), ("t", slice(None), dz.sum(0))]
+        grads += [("e", flat[order[head]], np.add.reduceat(np.take(dx, order, axis=0), head)), ("w", slice(None), x.T @ dh), ("b", slice(None), dh.sum(0)), ("s", slice(None), h.T @ dz), ("t", slice(None), dz.sum(0))]
         for k, rows, g in grads:
             total = past[k][rows] + g * g
             past[k][rows] = total
