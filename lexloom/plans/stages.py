@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import answers, catalogue, dedup, evalir, fusion, index, lemma, linkage, ml, quality, search, snippet, sweep
+from lexloom.operators import answers, catalogue, dedup, embeddings, evalir, fusion, index, lemma, linkage, ml, quality, search, snippet, sweep
 from lexloom.plans import oracle as o
 from lexloom.plans.catalog import Tables
 from lexloom.session import new_path
@@ -239,7 +239,14 @@ def segmented(t: Tables) -> DataFrame:
     return index.term_stats(segments.index(t.spark, at, len(batches)).withColumn("field", F.lit("description")))
 
 
+def trained(t: Tables, buckets: int) -> DataFrame:
+    """Vectors of the benchmark's words by a model of the documents; unknown words have some with grams only."""
+    return embeddings.vectors(t.benchmark.select(F.explode(T.tokens(F.col("text"))).alias("word")), embeddings.fit(t.documents, buckets=buckets))
+
+
 QUERIES = {
+    "skipgram_vectors": lambda t: trained(t, 0),
+    "gram_vectors": lambda t: trained(t, 1 << 14),
     "segment_index": segmented,
     "search_bm25": _search("bm25"),
     "search_vsm": _search("ltn.lnn"),

@@ -515,3 +515,54 @@ def test_segments_of_a_stream(spark, tmp_path):
         segments.maintain(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(120)
     got = sorted(map(tuple, segments.index(spark, str(tmp_path / "ix"), 2).collect()))
     assert got == [("a", 1, 1), ("a", 3, 2), ("b", 1, 1), ("d", 2, 1)]
+
+
+def topics(r, texts):
+    words = [[f"{t}{c}{d}" for c in "abcd" for d in "xyz"] for t in ("red", "blue", "sun", "rock")]
+    return [(i, " ".join(r.choice(words[i % 4]) for _ in range(30))) for i in range(texts)], words
+
+
+def test_trained_vectors(spark):
+    import random
+
+    import numpy as np
+    from lexloom.operators import embeddings as e
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    rng = np.random.default_rng(0)
+    m = e.Model(["cat", "cats", "dog"], 7, rng.normal(size=(10, 4)), rng.normal(size=(3, 4)))
+    c, o, neg = np.array([0, 1, 0, 2]), np.array([1, 2, 2, 0]), rng.integers(0, 3, (4, 2))
+    loss, (units, du), (outs, dv) = e.gradients(m, c, o, neg)
+    plain = 0.0
+    for i in range(4):
+        x = np.mean([m.vin[u] for u in e.units_of(m.words[c[i]], int(c[i]), 3, 7)], axis=0)
+        plain += np.log1p(np.exp(-x @ m.vout[o[i]])) + sum(np.log1p(np.exp(x @ m.vout[j])) for j in neg[i])
+    assert loss == pytest.approx(plain / 4)
+    for rows, grads, matrix in ((units, du, m.vin), (outs, dv, m.vout)):
+        for row, g in zip(rows.tolist(), grads, strict=True):
+            for k in range(4):
+                kept, ends = matrix[row, k], []
+                for step in (1e-6, -1e-6):
+                    matrix[row, k] = kept + step
+                    ends.append(e.gradients(m, c, o, neg)[0])
+                matrix[row, k] = kept
+                assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[k], abs=1e-6)
+    a, b = e.pairs(np.array([5, 6, 7, 8]), np.array([0, 3, 3, 4]), 2)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 6), (5, 7), (6, 5), (6, 7), (7, 5), (7, 6)]
+    rows, words = topics(random.Random(1), 120)
+    docs = spark.createDataFrame(rows + [(500, None), (501, "alone")], "doc_id long, text string")
+    one, two = (e.fit(docs.repartition(n), dim=12, rounds=8, shard_words=1500) for n in (2, 7))
+    assert (one.vin == two.vin).all() and (one.vout == two.vout).all() and len(one.words) == 48
+    unit = one.vin / np.linalg.norm(one.vin, axis=1)[:, None]
+    near = np.argsort(-(unit @ unit.T), axis=1)[:, 1:6]
+    of = [next(t for t, ws in enumerate(words) if w in ws) for w in one.words]
+    assert np.mean([of[j] == of[i] for i in range(48) for j in near[i]]) > 0.8  # 0.23 by chance
+    grams = e.fit(docs, dim=12, rounds=8, shard_words=1500, buckets=500)
+    unseen = {r.word: np.array(r.vector) for r in e.vectors(spark.createDataFrame([("redax1",), ("sunby",), (None,)], "word string"), grams).collect()}
+    number = {w: i for i, w in enumerate(grams.words)}
+    full = np.stack([grams.vector(w, number) for w in grams.words])
+    full /= np.linalg.norm(full, axis=1)[:, None]
+    assert set(unseen) == {"redax1", "sunby"} and all(of_word == grams.words[int(np.argmax(full @ v))][:3] for of_word, v in ((w[:3], v) for w, v in unseen.items()))
+    assert e.vectors(spark.createDataFrame([("redax1",), ("redax",)], "word string"), one).count() == 1
+    assert e.fit(docs.limit(0)).words == []
