@@ -566,3 +566,21 @@ def test_trained_vectors(spark):
     assert set(unseen) == {"redax1", "sunby"} and all(of_word == grams.words[int(np.argmax(full @ v))][:3] for of_word, v in ((w[:3], v) for w, v in unseen.items()))
     assert e.vectors(spark.createDataFrame([("redax1",), ("redax",)], "word string"), one).count() == 1
     assert e.fit(docs.limit(0)).words == []
+
+
+def test_sparse_hits_are_cut_where_they_arise(spark):
+    import numpy as np
+
+    from lexloom.operators import blocks
+
+    r = np.random.default_rng(5)
+    w = {i: {f"t{t}": round(float(x), 6) for t, x in zip(r.choice(40, 12, replace=False), r.random(12), strict=True)} for i in range(300)}
+    v = spark.createDataFrame([(i, t, x) for i, ws in w.items() for t, x in ws.items()], "doc_id long, term string, w double")
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
+    want = []
+    for i in range(0, 300, 20):
+        s = [(-round(sum(x * w[j].get(t, 0) for t, x in w[i].items()), 4), j) for j in w if j != i and set(w[i]) & set(w[j])]
+        want += [(i, j, -x, n + 1) for n, (x, j) in enumerate(sorted(s)[:7])]
+    got = sorted(((x.query_id, x.doc_id, x.score, x.rank) for x in fusion.sparse_search(q, v, 7).collect()), key=lambda x: (x[0], x[3]))
+    assert got == want
+    assert blocks.sparse_best(q, v, 7).count() == 15 * 7  # not all pairs that share a term
