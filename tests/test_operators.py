@@ -584,3 +584,14 @@ def test_sparse_hits_are_cut_where_they_arise(spark):
     got = sorted(((x.query_id, x.doc_id, x.score, x.rank) for x in fusion.sparse_search(q, v, 7).collect()), key=lambda x: (x[0], x[3]))
     assert got == want
     assert blocks.sparse_best(q, v, 7).count() == 15 * 7  # not all pairs that share a term
+
+
+def test_judgments_follow_from_counts(spark):
+    from lexloom.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    run, qrels = t.dense(10), t.qrels()
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(t.judged(run)) == rows(evalir.judged(run, qrels).select(*t.judged(run).columns))
+    assert rows(t.grades()) == rows(evalir.grades(qrels))
+    assert rows(t.metrics(run)) == rows(evalir.metrics(run, qrels))
