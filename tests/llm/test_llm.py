@@ -534,3 +534,14 @@ def test_pipeline(spark):
             assert ids <= {x[0] for x in brute.op7(before) if not x[6]}
         docs = out
     assert sorted(map(str, docs.select("doc_id", "ids_sha256").collect())) == sorted(map(str, cp.run(spark, DIR).select("doc_id", "ids_sha256").collect()))
+
+
+def test_op7_learns_from_every_labelled_row(spark):
+    """More labelled rows than the 4,096 that were once taken: each counts in the threshold, none of the good ones beyond it goes."""
+    words = " ".join(f"word{i}" for i in range(30))
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit(words), F.expr("repeat(' #', int(id % 97))")).alias("text"))
+    labels = d.select("doc_id", F.lit(1).alias("quality"))
+    one, two = (quality_rules.fit(quality_rules.measured(d.repartition(n)), labels) for n in (2, 5))
+    assert one["threshold"] == two["threshold"] and all((a == b).all() for a, b in zip(one["trees"], two["trees"], strict=True))
+    score = sorted(r.anomaly for r in quality_rules.judge(d, labels).collect())
+    assert one["threshold"] == score[min(5999, math.ceil(6000 * (1 - quality_rules.MAX_GOOD_REJECTED)))]
