@@ -166,7 +166,28 @@ def dbscan(points: DataFrame, eps: float, min_points: int = 5, pivots: int = PIV
     core = stored(n.where(F.col("n") >= min_points).select("doc_id"))
     marked = stored(rows.join(core.withColumn("core", F.lit(True)), "doc_id", "left").withColumn("core", F.coalesce("core", F.lit(False))))
     ties = stored(met(marked, parts, _tie, _TIES, "a long, b long, border boolean").distinct())
+    return _clusters(points, core, ties)
+
+
+def _clusters(points: DataFrame, core: DataFrame, ties: DataFrame) -> DataFrame:
     found = components(ties.where("not border").unionByName(core.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(False).alias("border"))).select("a", "b"))
     inner = stored(found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
     edge = ties.where("border").groupBy("a").agg(F.min("b").alias("core")).join(inner.withColumnRenamed("doc_id", "core"), "core").select(F.col("a").alias("doc_id"), "cluster")
     return points.select("doc_id").join(inner.unionByName(edge), "doc_id", "left").select("doc_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def dbscan_scanned(points: DataFrame, eps: float, min_points: int = 5) -> DataFrame:
+    """dbscan without pivots, by two scans of all pairs of blocks: for many dimensions, where halos reach every pivot. Blocks emit
+    counts and ties, no pairs."""
+    ship(points.sparkSession)
+    rows = blocks.usable(points, "v").select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    core = stored(blocks.counts_within(rows, eps).where(F.col("n") >= min_points).select("doc_id"))
+    if core.isEmpty():
+        return points.select("doc_id", F.lit(-1).cast("long").alias("cluster"))
+    marked = stored(rows.join(core.withColumn("core", F.lit(1)), "doc_id", "left").withColumn("core", F.coalesce("core", F.lit(0)).cast("long")))
+
+    def meet(q: blocks.Block, m: blocks.Block) -> tuple:
+        return _tie(q.ids, q.labels > 0, m.ids, m.labels > 0, *blocks.near(q.v, m.v, eps))
+
+    ties = stored(blocks.scan(marked, marked, meet, _TIES, "a long, b long, border boolean", "doc_id", "v", "core").distinct())
+    return _clusters(points, core, ties)

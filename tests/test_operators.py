@@ -595,3 +595,18 @@ def test_judgments_follow_from_counts(spark):
     assert rows(t.judged(run)) == rows(evalir.judged(run, qrels).select(*t.judged(run).columns))
     assert rows(t.grades()) == rows(evalir.grades(qrels))
     assert rows(t.metrics(run)) == rows(evalir.metrics(run, qrels))
+
+
+def test_dbscan_of_many_neighbours_emits_no_pairs(spark):
+    import numpy as np
+
+    from lexloom.operators import blocks, density
+
+    r = np.random.default_rng(3)
+    x = np.concatenate((r.normal(size=(80, 2)), r.uniform(-6, 6, size=(60, 2)), np.full((30, 2), 2.5), np.arange(8.0).repeat(2).reshape(8, 2) * 0.5 + 9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "doc_id long, v array<double>").repartition(3)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    for eps in (0.5, 0.5**0.5, 1.5):
+        assert {r.doc_id: r.n for r in blocks.counts_within(df, eps).collect()} == {i: int(n) for i, n in enumerate((d2 <= eps * eps).sum(1))}
+    assert np.allclose(blocks.gaps(x, x), np.sqrt(d2), atol=1e-9)
+    assert sorted(map(tuple, ml.dbscan(df, 0.5**0.5).collect())) == sorted(map(tuple, density.dbscan(df, 0.5**0.5).collect()))
