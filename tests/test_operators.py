@@ -610,3 +610,28 @@ def test_dbscan_of_many_neighbours_emits_no_pairs(spark):
         assert {r.doc_id: r.n for r in blocks.counts_within(df, eps).collect()} == {i: int(n) for i, n in enumerate((d2 <= eps * eps).sum(1))}
     assert np.allclose(blocks.gaps(x, x), np.sqrt(d2), atol=1e-9)
     assert sorted(map(tuple, ml.dbscan(df, 0.5**0.5).collect())) == sorted(map(tuple, density.dbscan(df, 0.5**0.5).collect()))
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_and_signatures_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"some words that are in every text and one {i % 7} of seven") for i in range(40)], "doc_id long, text string")
+    sig = dedup.signatures(dedup.shingle_rows(docs))
+    assert "BroadcastHashJoin" not in plan_of(dedup.estimated(dedup.candidates(dedup.bands(sig)), sig))
+    assert "BroadcastHashJoin" not in plan_of(dedup.exact_pairs(dedup.shingle_rows(docs)))
+
+
+def test_exact_pairs_expand_copies(spark):
+    long = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, long) for i in range(30)] + [(99, long + " more"), (50, "a b"), (51, "b a"), (52, "")], "doc_id long, text string")
+    got = {(r.a, r.b): r.similarity for r in dedup.exact_pairs(dedup.shingle_rows(docs)).collect()}
+    assert got == {(a, b): 1.0 for a in range(30) for b in range(a + 1, 30)} | {(a, 99): round(119 / 120, 6) for a in range(30)}
+
+
+def test_quality_test_takes_no_sets_through_a_window(spark):
+    docs = spark.createDataFrame([(i, f"a b c d {i // 2}") for i in range(20)], "doc_id long, text string")
+    rows = dedup.shingle_rows(docs)
+    out = dedup.quality_test(dedup.exact_pairs(rows, unrounded=True), rows)
+    assert "Window" not in plan_of(out) and tuple(out.first()) == (10, 1.0)
