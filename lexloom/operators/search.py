@@ -27,12 +27,19 @@ class Collection:
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
     lemmas: bool = False
+    kept: DataFrame | None = None
 
     def words(self) -> DataFrame:
         """(word): the distinct words of all fields."""
         every = F.concat(*(ix.words_of(self.docs, c) for c in self.fields.values()))
         return self.docs.select(F.explode(every).alias("word")).distinct()
 
+    def vocabulary(self) -> DataFrame:
+        """`words`, stored once."""
+        if self.kept is None:
+            self.kept = stored(self.words())
+        return self.kept
+
     def forms(self, words: DataFrame, known: DataFrame) -> DataFrame:
         """(word, form): the stem or lemma of each of the distinct words; lemmas must be known words."""
         return words.select("word", stem("word").alias("form")) if self.stems else lemma.lemmas(words, known).withColumnRenamed("lemma", "form")
@@ -44,7 +51,7 @@ class Collection:
             return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
         if not (self.stems or self.lemmas):
             return ix.postings(self.docs, self.fields, terms)
-        words = stored(self.words())
+        words = self.vocabulary()
         wanted = stored(self.forms(words, words).join(terms.select(F.col("term").alias("form")).distinct(), "form", "left_semi"))
         p = ix.postings(self.docs, self.fields, wanted.select(F.col("word").alias("term")))
         rows = p.join(wanted.withColumnRenamed("word", "term"), "term").groupBy("field", "form", "doc_id").agg(F.sum("tf").alias("tf"))
@@ -55,7 +62,7 @@ class Collection:
         if not self.lemmas or self.stems:
             return query_terms(queries, self.stems)
         q = query_terms(queries)
-        forms = lemma.lemmas(q.select(F.col("term").alias("word")), self.words())
+        forms = lemma.lemmas(q.select(F.col("term").alias("word")), self.vocabulary())
         return stored(q.join(forms.withColumnRenamed("word", "term"), "term").groupBy("query_id", "lemma").agg(F.sum("qtf").alias("qtf")).select("query_id", F.col("lemma").alias("term"), "qtf"))
 
     def sizes(self) -> DataFrame:
@@ -85,26 +92,24 @@ def search(where: Collection, queries: DataFrame, method: str = "ltn.lnn", weigh
     if not used:
         raise ValueError("no field has a weight")
     q = where.terms_of(queries)
-    p, sizes = where.find(q), where.sizes()
-
-    def score(field: str, rows: DataFrame, q: DataFrame = q) -> DataFrame:
-        dl = sizes.where(F.col("field") == field).drop("field")
-        n = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-        if method == "unigram":
-            return rank.language_model(rows, q, dl, smoothing, alpha, lam)
-        return rank.bm25(rows, q, dl, n) if method == "bm25" else rank.vsm(rows, q, n, method)
+    p, sizes = stored(where.find(q).where(F.col("field").isin(used))), where.sizes().where(F.col("field").isin(used))
+    q = stored(q)
 
-    own = {f: p.where(F.col("field") == f).drop("field") for f in used}
     if method == "unigram":
-        return ix.top(rank.log_mixture({f: score(f, own[f]) for f in used}, weights), max_results)
+        scores = stored(rank.language_model(p, q, sizes, smoothing, alpha, lam))
+        return ix.top(rank.log_mixture({f: scores.where(F.col("field") == f) for f in used}, weights), max_results)
+    n = stored(sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")))
+
+    def score(rows: DataFrame, q: DataFrame = q) -> DataFrame:
+        return rank.over_fields(rank.bm25(rows, q, sizes, n) if method == "bm25" else rank.vsm(rows, q, n, method), weights)
+
     if safe:
-        return ix.top(rank.fielded({f: score(f, own[f]) for f in used}, weights), max_results)
+        return ix.top(score(p), max_results)
     tiers = stored(ix.tiered(p), "tier")
 
     def score_tier(tier: int, active: DataFrame) -> DataFrame:
         rows = tiers.where(F.col("tier") == tier).drop("tier")
-        parts = {f: score(f, rows.where(F.col("field") == f).drop("field"), active) for f in used}
-        return rank.fielded(parts, weights).select("query_id", "doc_id", F.col("score").alias("s"))
+        return score(rows, active).select("query_id", "doc_id", F.col("score").alias("s"))
 
     return rank.by_tier(score_tier, q, max_results)
 

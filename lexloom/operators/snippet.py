@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import PUNCTUATION, STOPWORDS, stem, tokens, without
+from lexloom.session import few, stored
 
 WINDOW = 5
 
@@ -21,7 +22,8 @@ def snippets(pairs: DataFrame, docs: DataFrame, queries: DataFrame, n: int = WIN
 
     With `stems`, words are hit that have the stem of a query word."""
     words = queries.select("query_id", F.explode(F.array_distinct(without(tokens(F.col("text")), STOPWORDS))).alias("word"))
-    toks = raw_tokens(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    pairs = few(pairs)
+    toks = stored(raw_tokens(docs.join(few(pairs.select("doc_id").distinct()), "doc_id", "left_semi")))
     if stems:
         words = words.select("query_id", stem("word").alias("word")).distinct()
         toks = toks.join(toks.select("word").distinct().withColumn("stem", stem("word")), "word").select("doc_id", "pos", "tok", F.col("stem").alias("word"))
@@ -40,6 +42,7 @@ def snippets(pairs: DataFrame, docs: DataFrame, queries: DataFrame, n: int = WIN
 
 def missing_words(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, missing): the query's words that the document lacks, sorted and joined."""
-    d = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("dw"))
+    pairs = few(pairs)
+    d = docs.join(few(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("dw"))
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("qw"))
     return pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.array_join(F.array_sort(F.array_except("qw", "dw")), " ").alias("missing"))

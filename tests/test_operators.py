@@ -635,3 +635,30 @@ def test_quality_test_takes_no_sets_through_a_window(spark):
     rows = dedup.shingle_rows(docs)
     out = dedup.quality_test(dedup.exact_pairs(rows, unrounded=True), rows)
     assert "Window" not in plan_of(out) and tuple(out.first()) == (10, 1.0)
+
+
+def test_hits_of_queries_stay_with_their_documents(spark):
+    docs = spark.createDataFrame([(i, f"the word {i % 5} of {i % 3}") for i in range(60)], "doc_id long, text string")
+    q = rank.query_terms(spark.createDataFrame([(1, "the word 3"), (2, "of 1")], "query_id long, text string"), "query_id", "text")
+    p = index.postings(docs, terms=q).drop("field")
+    n = spark.createDataFrame([(60, 5.0)], "n long, avg_dl double")
+    plan = plan_of(rank.vsm(p, q, n, "ltn.lnn"))
+    assert "hashpartitioning(query_id" not in plan and "SortMergeJoin" not in plan
+
+
+def test_missing_words_tokenises_the_named_documents_only(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
+    out = snippet.missing_words(spark.createDataFrame([(1, 7)], "query_id long, doc_id long"), docs, spark.createDataFrame([(1, "c d a")], "query_id long, text string"))
+    assert [tuple(r) for r in out.collect()] == [(1, 7, "d")] and "LeftSemi" in plan_of(out)
+
+
+def test_tiers_add_up_over_tiers(spark):
+    s = {1: [(1, 10, 2.0), (1, 11, 1.0), (2, 10, 5.0)], 2: [(1, 11, 4.0), (1, 12, 0.5), (2, 12, 9.0)], 3: [(1, 10, 7.0)]}
+    read = []
+
+    def score(tier, active):
+        read.append((tier, sorted(r.query_id for r in active.collect())))
+        return spark.createDataFrame(s[tier], "query_id long, doc_id long, s double").join(active.select("query_id").distinct(), "query_id", "left_semi")
+
+    out = rank.by_tier(score, spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, term string"), 2)
+    assert sorted(map(tuple, out.collect())) == [(1, 10, 2.0, 1), (1, 11, 1.0, 2), (2, 10, 5.0, 2), (2, 12, 9.0, 1)] and read == [(1, [1, 2]), (2, [2])]
