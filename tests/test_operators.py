@@ -662,3 +662,15 @@ def test_tiers_add_up_over_tiers(spark):
 
     out = rank.by_tier(score, spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, term string"), 2)
     assert sorted(map(tuple, out.collect())) == [(1, 10, 2.0, 1), (1, 11, 1.0, 2), (2, 10, 5.0, 2), (2, 12, 9.0, 1)] and read == [(1, [1, 2]), (2, [2])]
+
+
+def test_block_trees_hold_the_tree_whatever_the_ties(spark):
+    import numpy as np
+    from lexloom.operators import blocks, linkage
+
+    v = np.array([[float(i % 4), float(i // 4)] for i in range(16)])  # a grid: all short edges are alike
+    one = lambda at: blocks.Block(np.array(at), v[at], np.array(at))
+    whole = sorted(zip(*linkage._tree(one(list(range(16))), one(list(range(16))))))
+    parts = [[0, 5, 10, 15, 3], [1, 2, 4, 6, 7], [8, 9, 11, 12, 13, 14]]
+    some = {e for p in parts for q in parts for e in zip(*linkage._tree(one(p), one(q)))}
+    assert set(whole) <= some and len(whole) == 15 and all(d == 1.0 for _, _, d in whole)
