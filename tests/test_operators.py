@@ -674,3 +674,22 @@ def test_block_trees_hold_the_tree_whatever_the_ties(spark):
     parts = [[0, 5, 10, 15, 3], [1, 2, 4, 6, 7], [8, 9, 11, 12, 13, 14]]
     some = {e for p in parts for q in parts for e in zip(*linkage._tree(one(p), one(q)))}
     assert set(whole) <= some and len(whole) == 15 and all(d == 1.0 for _, _, d in whole)
+
+
+def test_units_of_a_word_are_added_up_once_a_batch(monkeypatch):
+    import numpy as np
+    from lexloom.operators import embeddings
+
+    r = np.random.default_rng(3)
+    m = embeddings.Model(["alpha", "beta", "gamma"], 16, r.normal(size=(19, 4)), r.normal(size=(3, 4)))
+    centre, context, negatives = np.array([0, 2, 0, 0, 1, 2]), np.array([1, 0, 2, 1, 0, 1]), r.integers(0, 3, (6, 2))
+    taken, take = [], np.take
+    monkeypatch.setattr(embeddings.np, "take", lambda x, i, **k: (taken.append((x is m.vin, len(i))), take(x, i, **k))[1])
+    loss, (units, du), _ = embeddings.gradients(m, centre, context, negatives)
+    assert [n for own, n in taken if own] == [len(m.units)]
+    for row in (int(units[0]), int(units[-1])):  # against differences of the loss
+        for sign in (1, -1):
+            m.vin[row, 0] += sign * 1e-6
+            up = embeddings.gradients(m, centre, context, negatives)[0]
+            m.vin[row, 0] -= sign * 1e-6
+            assert abs((up - loss) / (sign * 1e-6) - du[list(units).index(row), 0]) < 1e-4
