@@ -617,8 +617,10 @@ def plan_of(df) -> str:
 
 
 def test_sets_and_signatures_are_not_broadcast(spark):
+    from lexloom.session import stored
+
     docs = spark.createDataFrame([(i, f"some words that are in every text and one {i % 7} of seven") for i in range(40)], "doc_id long, text string")
-    sig = dedup.signatures(dedup.shingle_rows(docs))
+    sig = stored(dedup.signatures(dedup.shingle_rows(docs)))  # a file, whose size the planner knows
     assert "BroadcastHashJoin" not in plan_of(dedup.estimated(dedup.candidates(dedup.bands(sig)), sig))
     assert "BroadcastHashJoin" not in plan_of(dedup.exact_pairs(dedup.shingle_rows(docs)))
 
