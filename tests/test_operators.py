@@ -422,6 +422,28 @@ def test_linkage_without_the_driver(spark):
     assert linkage.single(points.limit(0), 3).count() == 0 and linkage.average(points.limit(0), 3).count() == 0
 
 
+def test_average_linkage_in_bands(spark, monkeypatch):
+    import numpy as np
+    from lexloom.operators import linkage
+    from lexloom.session import work_dir
+
+    work_dir(spark)
+    r = np.random.default_rng(3)
+    x = np.concatenate((r.normal(size=(20, 3)), r.normal(size=(20, 3)) + 2))
+    x[5:9] = x[30]
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(r.permutation(40) * 3 - 30, x)], "doc_id long, v array<double>").repartition(3)
+    whole = sorted(map(tuple, linkage.average_merges(points).collect()))
+    monkeypatch.setattr(linkage, "FEW_CLUSTERS", 20)
+    monkeypatch.setattr(linkage, "BAND_BYTES", 900)
+    assert sorted(map(tuple, linkage.average_merges(points).collect())) == whole and len(whole) == 39
+    assert sorted(map(tuple, linkage.average(points, 5).collect())) == sorted(map(tuple, ml.hac(points, 5, "average").collect()))
+    tables = []
+    monkeypatch.setattr(linkage, "stored", lambda df, store=linkage.stored: tables.append(1) or store(df))
+    copies = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(99, [0.0, 1.0])], "doc_id long, v array<double>")
+    got = sorted(map(tuple, linkage.average_merges(copies).collect()))  # copies take no round each
+    assert len(tables) < 12 and got[:2] == [(0, 1, 0.0, 2), (0, 2, 0.0, 3)] and len(got) == 30 and [h for *_, h, n in got if n == 31] == [pytest.approx(2**0.5)]
+
+
 def test_sweep_is_plain_k_means(spark):
     import numpy as np
     from lexloom.operators import sweep
