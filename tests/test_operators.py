@@ -313,6 +313,23 @@ def test_vector_index(spark):
     assert none.rows() == 0 and ann.exact_search(none, q, 5).count() == ann.search(none, q, 5, 2, 9).count() == 0
 
 
+def test_vector_index_cuts(spark, monkeypatch):
+    import numpy as np
+    from lexloom.operators import ann
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 6))
+    x[20:60] = x[19]  # ties at the cut
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, v array<double>").repartition(2)
+    q = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    ix = ann.build(rows, 4, 3)
+    cut = sorted(map(tuple, ann.cuts(ix, q, 3, 30).collect()))  # one row a query, whatever is reranked
+    assert len(cut) == 10 and all(c[4] == 30 for c in cut)
+    found = sorted(map(tuple, ann.search(ix, q, 5, 3, 30).collect()))
+    monkeypatch.setattr(ann, "PART_ROWS", 70)
+    assert sorted(map(tuple, ann.cuts(ix, q, 3, 30).collect())) == cut and sorted(map(tuple, ann.search(ix, q, 5, 3, 30).collect())) == found
+
+
 def test_vector_index_recall_on_the_tables(spark):
     from lexloom.plans.registry import QUERIES
 
@@ -528,6 +545,7 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert segments.index(spark, path, 0).count() == 0
 
 
+
 def test_segments_of_a_stream(spark, tmp_path):
     from lexloom.streaming import segments
 
