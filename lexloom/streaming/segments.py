@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators.index import postings
+from lexloom.functions.text import tokens
 
 FAN = 4
 _POSTINGS, _DOCS = "term string, doc_id long, tf long, batch long", "doc_id long, batch long, deleted boolean"
@@ -47,13 +47,21 @@ def _write(path: str, name: str, rows: DataFrame, docs: DataFrame) -> None:
     docs.write.mode("overwrite").parquet(f"{path}/segments/{name}/docs")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of documents with unique ids: words are counted as runs of the sorted words of a row, so that no table of words is held or shuffled."""
+    rows = docs.select("doc_id", F.array_sort(tokens(F.col("text"))).alias("w")).where("size(w) > 0")
+    ends = rows.select("doc_id", "w", F.expr("filter(sequence(1, size(w)), i -> i = size(w) or w[i - 1] <> w[i])").alias("ends"))
+    found = ends.select("doc_id", F.explode(F.expr("transform(ends, (e, j) -> named_struct('term', w[e - 1], 'tf', cast(e - if(j = 0, 0, ends[j - 1]) as long)))")).alias("x"))
+    return found.select("x.term", "doc_id", "x.tf")
+
+
 def ingest(batch: DataFrame, path: str, version: int, fan: int = FAN) -> None:
     """Write version + 1 of the index from a version and a batch of documents."""
     spark = batch.sparkSession
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
     rows = batch.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.struct(gone.alias("deleted"), "text")).alias("x")).select("doc_id", "x.deleted", "x.text")
     rows = rows.withColumn("batch", F.lit(version).cast("long"))
-    own = postings(rows.where("not deleted")).select("term", "doc_id", "tf", F.lit(version).cast("long").alias("batch"))
+    own = counted(rows.where("not deleted")).select("term", "doc_id", "tf", F.lit(version).cast("long").alias("batch"))
     name = f"{version:012d}-0"
     _write(path, name, own, rows.select("doc_id", "batch", "deleted"))
     now, level = [*segments(spark, path, version), (name, 0)], 0

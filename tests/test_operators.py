@@ -545,6 +545,17 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert segments.index(spark, path, 0).count() == 0
 
 
+def test_segments_count_words_by_document(spark):
+    from lexloom.operators import index
+    from lexloom.streaming import segments
+
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "The the c"), (5, "x " * 50)], "doc_id long, text string")
+    got = segments.counted(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.postings(docs).select("term", "doc_id", "tf").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan  # a task holds the words of a document, not those of all it reads
+
+
 
 def test_segments_of_a_stream(spark, tmp_path):
     from lexloom.streaming import segments
