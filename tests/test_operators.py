@@ -746,3 +746,16 @@ def test_units_of_a_word_are_added_up_once_a_batch(monkeypatch):
             up = embeddings.gradients(m, centre, context, negatives)[0]
             m.vin[row, 0] -= sign * 1e-6
             assert abs((up - loss) / (sign * 1e-6) - du[list(units).index(row), 0]) < 1e-4
+
+
+def test_blocks_and_candidates_are_not_broadcast(spark):
+    from lexloom.operators import blocks
+    from lexloom.session import stored
+
+    terms = stored(spark.createDataFrame([(i, f"t{(i + j) % 9}", 0.5) for i in range(60) for j in range(4)], "doc_id long, term string, w double"))  # files, whose size the planner knows
+    q = terms.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
+    v = stored(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "doc_id long, v array<double>"))
+    pairs = stored(spark.createDataFrame([(0, i) for i in range(1, 30)], "query_id long, doc_id long"))
+    for df in (blocks.sparse_best(q, terms, 7), blocks.best(v.where("doc_id = 20").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), v, 7, False), fusion.overlap_scores(pairs, terms.select("doc_id", "term"))):
+        assert "BroadcastHashJoin" not in plan_of(df)
+    assert "BroadcastHashJoin" not in plan_of(fusion.sparse_vectors(terms.select("doc_id", "term", F.lit(1).alias("tf")), spark.createDataFrame([(60,)], "n long")))
