@@ -186,8 +186,10 @@ def dbscan_scanned(points: DataFrame, eps: float, min_points: int = 5) -> DataFr
         return points.select("doc_id", F.lit(-1).cast("long").alias("cluster"))
     marked = stored(rows.join(core.withColumn("core", F.lit(1)), "doc_id", "left").withColumn("core", F.coalesce("core", F.lit(0)).cast("long")))
 
-    def meet(q: blocks.Block, m: blocks.Block) -> tuple:
-        return _tie(q.ids, q.labels > 0, m.ids, m.labels > 0, *blocks.near(q.v, m.v, eps))
+    def meet(q: blocks.Block, m: blocks.Block, same: bool) -> tuple:
+        i, j = blocks.near(q.v, m.v, eps)
+        out = _tie(q.ids, q.labels > 0, m.ids, m.labels > 0, i, j)
+        return out if same else blocks.joined(out, _tie(m.ids, m.labels > 0, q.ids, q.labels > 0, j, i))
 
-    ties = stored(blocks.scan(marked, marked, meet, _TIES, "a long, b long, border boolean", "doc_id", "v", "core").distinct())
+    ties = stored(blocks.scan_once(marked, meet, _TIES, "a long, b long, border boolean", "core").distinct())
     return _clusters(points, core, ties)

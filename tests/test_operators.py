@@ -759,3 +759,28 @@ def test_blocks_and_candidates_are_not_broadcast(spark):
     for df in (blocks.sparse_best(q, terms, 7), blocks.best(v.where("doc_id = 20").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), v, 7, False), fusion.overlap_scores(pairs, terms.select("doc_id", "term"))):
         assert "BroadcastHashJoin" not in plan_of(df)
     assert "BroadcastHashJoin" not in plan_of(fusion.sparse_vectors(terms.select("doc_id", "term", F.lit(1).alias("tf")), spark.createDataFrame([(60,)], "n long")))
+
+
+def test_points_meet_once_in_cells_of_groups(spark, monkeypatch):
+    import numpy as np
+
+    from lexloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 16 * 9)  # nine points of two dimensions a block
+    r = np.random.default_rng(8)
+    x = np.concatenate((r.integers(-3, 4, (150, 2)).astype(float), r.normal(size=(60, 2)) * 1e-3, [[1e20, 0.0], [1e20, 1.0]]))
+    label = r.integers(0, 3, len(x))
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "doc_id long, v array<double>, label int").repartition(3)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    for eps in (1.0, 2**0.5, 1e-3):
+        assert sorted((r.a, r.b) for r in blocks.within(df, eps).collect()) == sorted(zip(*(c.tolist() for c in np.nonzero(d2 <= eps * eps)), strict=True))
+        assert {r.doc_id: r.n for r in blocks.counts_within(df, eps).collect()} == {i: int(n) for i, n in enumerate((d2 <= eps * eps).sum(1))}
+    small = df.where("doc_id < 210")
+    got = {(r.x, r.label): (r.d, r.n) for r in blocks.distance_sums(small).groupBy("x", "label").agg(F.sum("total").alias("d"), F.sum("n").alias("n")).collect()}
+    for i in range(210):
+        for k in range(3):
+            others = [j for j in range(210) if j != i and label[j] == k]
+            assert got[i, k][1] == len(others) and got[i, k][0] == pytest.approx(np.sqrt(d2[i, others]).sum(), abs=1e-6)
+    pairs = blocks.scan_once(small, lambda q, m, same: (q.ids[:1], m.ids[:1]), blocks._PAIRS, "a long, b long").collect()
+    n = len({r.a for r in pairs} | {r.b for r in pairs})
+    assert n > 20 and len(pairs) == n * (n + 1) // 2  # each pair of blocks once
