@@ -114,7 +114,7 @@ def met(rows: DataFrame, parts: Parts, meet: Callable, schema: pa.Schema, sql: s
                 columns = meet(ids, np.frombuffer(am.as_buffer(), bool), others, np.frombuffer(sm.as_buffer(), bool), *blocks.near(x, y, eps))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    pairs = own.join(sent, ["pivot", "hand"])
+    pairs = sent.join(own.hint("merge"), ["pivot", "hand"])  # a merge join holds the right side of a key: a hand's own blocks, not all that is sent
     return pairs.select("own.ids", "own.vectors", "own.marks", *(F.col(f"sent.{c}").alias(f"sent_{c}") for c in ("ids", "vectors", "marks"))).mapInArrow(run, sql)
 
 

@@ -784,3 +784,15 @@ def test_points_meet_once_in_cells_of_groups(spark, monkeypatch):
     pairs = blocks.scan_once(small, lambda q, m, same: (q.ids[:1], m.ids[:1]), blocks._PAIRS, "a long, b long").collect()
     n = len({r.a for r in pairs} | {r.b for r in pairs})
     assert n > 20 and len(pairs) == n * (n + 1) // 2  # each pair of blocks once
+
+
+def test_a_pivot_holds_its_own_blocks_only(spark, monkeypatch):
+    from lexloom.operators import density
+
+    plans, met = [], density.met
+    monkeypatch.setattr(density, "met", lambda *a: (plans.append(out := met(*a)), out)[1])
+    df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(60)], "doc_id long, v array<double>")
+    assert density.dbscan(df, 3.0, pivots=4).count() == 60
+    for out in plans:
+        join = out._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[1]
+        assert join.index("AS sent") < join.index("AS own") and "SortMergeJoin" in plan_of(out)
